@@ -84,23 +84,23 @@ gappy as (
 RISK_MODELS = {
     "price_risk": LinearScore(
         -0.4,
-        (("o_totalprice", 250000.0, 140000.0, 0.8), ("qty", 100.0, 60.0, -0.5), ("c_acctbal", 4500.0, 3200.0, 0.3)),
+        (("o_totalprice", 250000.0, 140013.37, 0.8), ("qty", 100.0, 61.0, -0.5), ("c_acctbal", 4500.0, 3201.7, 0.3)),
         (("rank", "1-URGENT", 0.6), ("rank", "5-LOW", -0.4), ("trend", "P", 0.2)),
     ),
     "return_risk": LinearScore(
         0.9,
-        (("qty", 100.0, 60.0, 1.1), ("n_lines", 4.0, 2.0, 0.7), ("disc", 0.05, 0.02, -0.2)),
+        (("qty", 100.0, 61.0, 1.1), ("n_lines", 4.0, 2.3, 0.7), ("disc", 0.05, 0.02003, -0.2)),
         (("mos", "MACHINERY", -0.3), ("division_level", "EUROPE", 0.5), ("division_level", "ASIA", -0.25)),
     ),
     "credit_risk": LinearScore(
         -1.0,
-        (("c_acctbal", 4500.0, 3200.0, -1.4), ("o_totalprice", 250000.0, 140000.0, 0.2)),
+        (("c_acctbal", 4500.0, 3201.7, -1.4), ("o_totalprice", 250000.0, 140013.37, 0.2)),
         (("mos", "BUILDING", 0.35), ("trend", "F", -0.15)),
     ),
 }
 SCORE_MODEL = LinearScore(
     96.0,
-    (("o_totalprice", 250000.0, 140000.0, 3.7), ("n_lines", 4.0, 2.0, 41.0), ("disc", 0.05, 0.02, -0.75)),
+    (("o_totalprice", 250000.0, 140013.37, 3.7), ("n_lines", 4.0, 2.3, 41.0), ("disc", 0.05, 0.02003, -0.75)),
     (("rank", "2-HIGH", 1.25), ("mos", "FURNITURE", -2.0)),
     link="identity",
 )
