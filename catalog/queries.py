@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import columns as C
+from rosterlens.functions.caching import kept
+from rosterlens.functions.small_tables import computed
 from rosterlens.operators import (
     association,
     attribution,
@@ -569,13 +571,10 @@ def _regression_frame(df):
 
 
 def _fit_and_measure(df, learner):
-    rows = split.random_split(_regression_frame(df), KEY).persist()
-    try:
+    with kept(split.random_split(_regression_frame(df), KEY)) as rows:
         train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
         model = fit_regressor(train, FEATURES, learner)
         metrics = evaluate.regression_metrics(model.transform(test), "y", "prediction").collect()
-    finally:
-        rows.unpersist()
     return model, df.sparkSession.createDataFrame(metrics)
 
 
@@ -603,11 +602,12 @@ def forest_importance(df):
 
 @query
 def tree_attribution(df):
-    data = _regression_frame(df)
-    model = fit_regressor(data, FEATURES, forest_learner("y", trees=5, depth=4))
-    prep, forest = model.stages
-    values, _ = attribution.tree_attribution(prepare(prep, data), KEY, forest, feature_names(prep, FEATURES))
-    return attribution.attribution_summary(values)
+    with kept(_regression_frame(df)) as data:
+        model = fit_regressor(data, FEATURES, forest_learner("y", trees=5, depth=4))
+        prep, forest = model.stages
+        names = feature_names(prep, FEATURES)
+        values, _ = attribution.tree_attribution(prepare(prep, data), KEY, forest, names)
+        return computed(attribution.attribution_summary(values))
 
 
 # --- screening ----------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import number, present, text_is
@@ -99,15 +99,13 @@ def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     grid is n * (sum O^2 / (R C) - 1); the empty cells are in the closed form.  On a 2 x 2 table all
     four |O - E| are equal and sum 1/E = n * (sum 1/R) * (sum 1/C).
     """
-    row = Window.partitionBy("a", "b", "x")
-    col = Window.partitionBy("a", "b", "y")
     n = F.col("n")
-    cells = (
-        _cells(df, pairs)
-        .withColumn("R", F.sum("n").over(row))
-        .withColumn("C", F.sum("n").over(col))
-    )
-    table = cells.groupBy("a", "b").agg(
+    cells = _cells(df, pairs)
+    row_sums = cells.groupBy("a", "b", "x").agg(F.sum("n").alias("R"))
+    column_sums = cells.groupBy("a", "b", "y").agg(F.sum("n").alias("C"))
+    # joined, not windowed: the row of a two-level column may have very many cells
+    filled = cells.join(row_sums, ["a", "b", "x"]).join(column_sums, ["a", "b", "y"])
+    table = filled.groupBy("a", "b").agg(
         F.sum("n").alias("n"),
         F.round(F.sum(n / F.col("R"))).cast("long").alias("r"),  # each row adds 1
         F.round(F.sum(n / F.col("C"))).cast("long").alias("k"),

@@ -10,6 +10,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.caching import kept
 from ..functions.columns import number
 from ..schema import DEFAULT_THRESHOLD, FeatureSpec
 from .features import fit_preparation, prepare
@@ -117,9 +118,10 @@ def roc_auc(df: DataFrame, label: str, prob: str) -> float | None:
     known = df.filter(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(
         F.col(label).cast("double").alias("y"), F.col(prob).cast("double").alias("p")
     )
-    if known.agg(F.min("y") < F.max("y")).first()[0] is not True:
-        return None
-    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0).evaluate(known)
+    with kept(known) as rows:
+        if rows.agg(F.min("y") < F.max("y")).first()[0] is not True:
+            return None
+        return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0).evaluate(rows)
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -152,9 +154,8 @@ def cross_validate(
     df: DataFrame, features: FeatureSpec, learner: Estimator, label: str, fold: str, k: int
 ) -> DataFrame:
     """(fold, n, rmse, r2); preparation and learner are refitted on the other folds each time."""
-    rows = df.select(fold, *dict.fromkeys([*features.columns, label])).persist()
     scores = []
-    try:
+    with kept(df.select(fold, *dict.fromkeys([*features.columns, label]))) as rows:
         for i in range(k):
             train, held_out = rows.filter(F.col(fold) != i), rows.filter(F.col(fold) == i)
             prep = fit_preparation(train, features)
@@ -162,8 +163,6 @@ def cross_validate(
             scored = model.transform(prepare(prep, held_out))
             r = regression_metrics(scored, label, model.getPredictionCol()).first()
             scores.append((i, r["n"], r["rmse"], r["r2"]))
-    finally:
-        rows.unpersist()
     return df.sparkSession.createDataFrame(scores, "fold int, n long, rmse double, r2 double")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag_at_most, flag_below, flag_in_set
+from ..functions.small_tables import shared_dir
 from ..schema import SEED, FeatureSpec, TargetSpec
 from .features import FEATURES, fit_preparation, prepare
 from .quantiles import quantile
@@ -115,6 +116,7 @@ LEARNERS = {"linreg": linear_learner, "rfreg": forest_learner, "xgbreg": boosted
 
 def fit_regressor(train: DataFrame, features: FeatureSpec, learner: Estimator) -> PipelineModel:
     """Preparation and learner fitted on the same rows, as one saved-and-loaded unit."""
+    shared_dir(train.sparkSession)  # the tree learners checkpoint there between rounds
     prep = fit_preparation(train, features)
     return with_preparation(prep, learner.fit(prepare(prep, train)))
 

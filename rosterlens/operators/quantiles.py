@@ -102,26 +102,27 @@ def _boxed_in(values: DataFrame, keys: list[str], probs: Sequence[float], sort_r
     return _interpolate(bounds, stats, keys, probs)
 
 
-def _inside(values: DataFrame, keys: list[str], brackets: DataFrame, fits: bool) -> DataFrame:
-    boxes = brackets.drop("_n")
-    return join_pinned(values, boxes, fits, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+def _inside(values: DataFrame, keys: list[str], boxes: DataFrame, fits: bool) -> DataFrame:
+    """Rows within a box.  The boxes of a group are disjoint, so a row is in one of them at most."""
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    return join_pinned(values, boxes, fits, keys).filter(inside)
 
 
 def _narrow(values: DataFrame, keys: list[str], brackets: DataFrame, fits: bool) -> DataFrame:
     """Each bracket cut down to the bin that holds its rank."""
+    box = [*keys, "_below"]
     share = F.expr("(_v / 2 - _lo / 2) / (_hi / 2 - _lo / 2)")
     bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-    box = [*keys, "_rank", "_below"]
     counts = (
-        _inside(values, keys, brackets, fits)
+        _inside(values, keys, brackets.select(*box, "_lo", "_hi").distinct(), fits)
         .groupBy(*box, bin_.alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
     upto = F.sum("_n").over(Window.partitionBy(*box).orderBy("_bin"))  # at most BINS rows
-    before = F.expr("_below + _upto - _n")
     return (
         counts.withColumn("_upto", upto)
-        .withColumn("_before", before)
+        .withColumn("_before", F.expr("_below + _upto - _n"))
+        .join(brackets.select(*box, "_rank"), box)
         .filter("_rank >= _before and _rank < _before + _n")
         .select(*keys, "_rank", "_lo", "_hi", F.col("_before").alias("_below"), "_n")
     )
@@ -130,11 +131,14 @@ def _narrow(values: DataFrame, keys: list[str], brackets: DataFrame, fits: bool)
 def _order_statistics(values: DataFrame, keys: list[str], brackets: DataFrame, fits: bool) -> DataFrame:
     known = brackets.filter("_lo >= _hi").select(*keys, "_rank", F.col("_lo").alias("_stat"))
     # a bracket that is still open here holds at most sort_rows rows
+    box = [*keys, "_below"]
+    rest = brackets.filter("_lo < _hi")
     place = F.expr("cast(_rank - _below + 1 as int)")
     found = (
-        _inside(values, keys, brackets.filter("_lo < _hi"), fits)
-        .groupBy(*keys, "_rank", "_below")
+        _inside(values, keys, rest.select(*box, "_lo", "_hi").distinct(), fits)
+        .groupBy(*box)
         .agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+        .join(rest.select(*box, "_rank"), box)
         .select(*keys, "_rank", F.element_at("_vs", place).alias("_stat"))
     )
     return known.unionByName(found)

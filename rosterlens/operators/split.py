@@ -8,7 +8,7 @@ no row moves, whatever the size of a class.  Keys must be unique.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,16 +20,24 @@ from .clean import seeded_hash
 PREFIX = 4  # hex digits: 65,536 about equal buckets per stratum
 
 
-def hash_cuts(df: DataFrame, key: str, ranks: DataFrame, by: Sequence[str], seed: int | str) -> DataFrame:
-    """The hash at each wanted rank: (by..., _cut) for a table (by..., _rank), ranks from 1."""
+def hash_cuts(
+    df: DataFrame, key: str, by: Sequence[str], seed: int | str, ranks: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The hash at each wanted rank: (by..., _cut).
+
+    ``ranks`` turns the stratum sizes (by..., _n) into the wanted ranks (by..., _rank), from 1.
+    Sizes are summed from the bucket counts, so finding the buckets reads the rows once.
+    """
     by = list(by)
     hashed = df.select(*by, seeded_hash(key, seed).alias("_h")).withColumn(
         "_bucket", F.substring("_h", 1, PREFIX)
     )
+    buckets = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    wanted_ranks = ranks(buckets.groupBy(*by).agg(F.sum("_n").alias("_n")))
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket"))  # at most 65,536 rows
-    buckets = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", upto)
     wanted = (
-        buckets.join(ranks, by)
+        buckets.withColumn("_upto", upto)
+        .join(wanted_ranks, by)
         .withColumn("_place", F.expr("_rank - (_upto - _n)"))
         .filter("_place between 1 and _n")
         .select(*by, "_bucket", "_rank", "_place")
@@ -45,10 +53,15 @@ def hash_cuts(df: DataFrame, key: str, ranks: DataFrame, by: Sequence[str], seed
 
 
 def _with_cuts(
-    df: DataFrame, key: str, ranks: DataFrame, by: Sequence[str], seed: int | str, how: str
+    df: DataFrame,
+    key: str,
+    by: Sequence[str],
+    seed: int | str,
+    ranks: Callable[[DataFrame], DataFrame],
+    how: str = "left",
 ) -> DataFrame:
     """Rows with their hash ``_h`` and the sorted hash cuts ``_cuts`` of their stratum."""
-    cuts = hash_cuts(df, key, ranks, by, seed)
+    cuts = hash_cuts(df, key, by, seed, ranks)
     per_stratum = cuts.groupBy(*by).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))  # few ranks
     return attach(df.withColumn("_h", seeded_hash(key, seed)), per_stratum, by, how)
 
@@ -57,21 +70,24 @@ def _one_stratum(df: DataFrame) -> DataFrame:
     return df.withColumn("_all", F.lit(1))
 
 
+def _share_of(n: Column, share: float) -> Column:
+    """ceil(share * n), safe against 0.2 * 5 = 1.0000000000000002."""
+    return F.ceil(F.round(n * F.lit(share), 9))
+
+
 def test_quotas(counts: DataFrame, label: str, test_share: float) -> DataFrame:
     """Test rows per class, as ``_rank``, from class counts (label, _n).
 
     The test set has ceil(share * n) rows in all.  The train rows are shared out in proportion, the
     odd ones going to the classes with the largest remainders (ties to the smaller label).
     """
-    total = counts.agg(F.sum("_n")).scalar()
-    test_total = F.ceil(F.round(F.lit(test_share) * F.col("_total"), 9))
+    classes = Window.partitionBy(F.lit(1))  # one row per class
     exact = F.expr("_n * _train_total / _total")
-    # the windows see one row per class
-    turn = F.row_number().over(Window.orderBy(F.desc("_remainder"), label))
-    left_over = F.col("_train_total") - F.sum("_base").over(Window.partitionBy())
+    turn = F.row_number().over(classes.orderBy(F.desc("_remainder"), label))
+    left_over = F.col("_train_total") - F.sum("_base").over(classes)
     return (
-        counts.withColumn("_total", total)
-        .withColumn("_train_total", F.col("_total") - test_total)
+        counts.withColumn("_total", F.sum("_n").over(classes))
+        .withColumn("_train_total", F.col("_total") - _share_of(F.col("_total"), test_share))
         .withColumn("_base", F.floor(exact))
         .withColumn("_remainder", F.round(exact - F.floor(exact), 9))
         .withColumn("_train", F.col("_base") + (turn <= left_over).cast("int"))
@@ -80,6 +96,11 @@ def test_quotas(counts: DataFrame, label: str, test_share: float) -> DataFrame:
     )
 
 
+def _low_hash(cut: DataFrame, *helpers: str) -> DataFrame:
+    low = F.col("_h") <= F.element_at("_cuts", 1)
+    return cut.withColumn("is_test", F.coalesce(low, F.lit(False))).drop("_h", "_cuts", *helpers)
+
+
 def stratified_split(
     df: DataFrame, key: str, label: str, test_share: float = TEST_SHARE, seed: int | str = SEED
 ) -> DataFrame:
@@ -88,22 +109,20 @@ def stratified_split(
     Rows without a label are dropped.
     """
     known = df.filter(F.col(label).isNotNull())
-    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    cut = _with_cuts(known, key, test_quotas(counts, label, test_share), [label], seed, "left")
-    low = F.col("_h") <= F.element_at("_cuts", 1)
-    return cut.withColumn("is_test", F.coalesce(low, F.lit(False))).drop("_h", "_cuts")
+    return _low_hash(
+        _with_cuts(known, key, [label], seed, lambda counts: test_quotas(counts, label, test_share))
+    )
 
 
 def random_split(
     df: DataFrame, key: str, test_share: float = TEST_SHARE, seed: int | str = SEED
 ) -> DataFrame:
     """Add ``is_test`` for ceil(share * n) rows."""
-    one = _one_stratum(df)
-    n_test = F.ceil(F.round(F.count(F.lit(1)) * F.lit(test_share), 9))
-    ranks = one.groupBy("_all").agg(n_test.alias("_rank")).filter("_rank > 0")
-    cut = _with_cuts(one, key, ranks, ["_all"], seed, "left")
-    low = F.col("_h") <= F.element_at("_cuts", 1)
-    return cut.withColumn("is_test", F.coalesce(low, F.lit(False))).drop("_h", "_cuts", "_all")
+
+    def ranks(sizes: DataFrame) -> DataFrame:
+        return sizes.select("_all", _share_of(F.col("_n"), test_share).alias("_rank")).filter("_rank > 0")
+
+    return _low_hash(_with_cuts(_one_stratum(df), key, ["_all"], seed, ranks), "_all")
 
 
 def bucket_split(key: str, test_share: float = TEST_SHARE, seed: int | str = SEED) -> Column:
@@ -114,26 +133,24 @@ def bucket_split(key: str, test_share: float = TEST_SHARE, seed: int | str = SEE
 
 def assign_folds(df: DataFrame, key: str, k: int = FOLDS, seed: int | str = SEED) -> DataFrame:
     """Add ``fold`` 0..k-1: equal slices of the hash order, the first n % k one row longer."""
-    one = _one_stratum(df)
-    n = F.count(F.lit(1))
-    ends = [F.floor(n / k) * i + F.least(n % k, F.lit(i)) for i in range(1, k)]
-    ranks = (
-        one.groupBy("_all")
-        .agg(F.array(*ends).alias("_ends"))
-        .select("_all", F.explode(F.array_distinct("_ends")).alias("_rank"))
-        .filter("_rank > 0")
-    )
-    cut = _with_cuts(one, key, ranks, ["_all"], seed, "left")
+
+    def ranks(sizes: DataFrame) -> DataFrame:
+        n = F.col("_n")
+        ends = F.array(*[F.floor(n / k) * i + F.least(n % k, F.lit(i)) for i in range(1, k)])
+        return sizes.select("_all", F.explode(F.array_distinct(ends)).alias("_rank")).filter("_rank > 0")
+
+    cut = _with_cuts(_one_stratum(df), key, ["_all"], seed, ranks)
     above = F.size(F.filter("_cuts", lambda c: F.col("_h") > c))
     return cut.withColumn("fold", F.coalesce(above, F.lit(0)).cast("int")).drop("_h", "_cuts", "_all")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int | str = SEED) -> DataFrame:
     """The ``n`` records with the lowest hash; all of them if there are no more than ``n``."""
-    one = _one_stratum(df)
-    size = F.least(F.count(F.lit(1)), F.lit(n)).cast("long")
-    ranks = one.groupBy("_all").agg(size.alias("_rank")).filter("_rank > 0")
-    cut = _with_cuts(one, key, ranks, ["_all"], seed, "inner")
+
+    def ranks(sizes: DataFrame) -> DataFrame:
+        return sizes.select("_all", F.least("_n", F.lit(n)).alias("_rank")).filter("_rank > 0")
+
+    cut = _with_cuts(_one_stratum(df), key, ["_all"], seed, ranks, "inner")
     return cut.filter(F.col("_h") <= F.element_at("_cuts", 1)).drop("_h", "_cuts", "_all")
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.caching import kept
 from ..functions.small_tables import computed
 from ..operators.clean import complete_cases
 from ..operators.evaluate import best_threshold, class_report, confusion, roc_auc
@@ -63,23 +63,15 @@ def train_risk_models(
         raise ValueError("tune_on is 'test' or 'train', fit_on is 'all' or 'train'")
     clean = complete_cases(df, features.columns)
     results = {}
-    if shared_preparation:
-        prep = fit_preparation(clean, features)
-        base = prepare(prep, clean).persist(StorageLevel.MEMORY_AND_DISK)
-    else:
-        prep, base = None, clean.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    prep = fit_preparation(clean, features) if shared_preparation else None
+    with kept(prepare(prep, clean) if prep else clean) as base:
         for name, spec in targets.items():
-            results[name] = _train_one(
-                base, prep, features, spec, key, tune_on, fit_on, max_iter, seed
-            )
+            r = _train_one(base, prep, features, spec, key, tune_on, fit_on, max_iter, seed)
+            results[name] = r
             if models_dir:
-                r = results[name]
                 save_model(r.model, models_dir, CLASSIFIER_PREFIX + name, features, r.threshold)
             if reports_dir:
-                save_drivers(results[name].drivers, reports_dir, "logreg", name)
-    finally:
-        base.unpersist()
+                save_drivers(r.drivers, reports_dir, "logreg", name)
     return results
 
 
@@ -99,8 +91,7 @@ def _train_one(base, prep, features, spec, key, tune_on, fit_on, max_iter, seed)
             key, LABEL, vector_to_array(fitted.getProbabilityCol())[1].alias("prob")
         )
 
-    outcome = scored(test).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(scored(test)) as outcome:
         threshold = best_threshold(outcome if tune_on == "test" else scored(train), LABEL, "prob")
         result = outcome.withColumn("pred", apply_threshold("prob", threshold))
         return RiskResult(
@@ -113,7 +104,5 @@ def _train_one(base, prep, features, spec, key, tune_on, fit_on, max_iter, seed)
             confusion=computed(confusion(result, LABEL, "pred")),
             train_share=computed(class_share(train.select(LABEL), LABEL)),
             drivers=logistic_sentences(logistic_drivers(coefficient_table(model, features)), spec.name),
-            scored=result,
+            scored=scored(test).withColumn("pred", apply_threshold("prob", threshold)),
         )
-    finally:
-        outcome.unpersist()

@@ -9,6 +9,7 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.caching import kept
 from ..functions.columns import number
 from ..functions.small_tables import computed
 from ..operators.attribution import attribution_summary, tree_attribution
@@ -67,23 +68,18 @@ def train_score_models(
     wanted = [*features.columns, target]
     clean = complete_cases(df, wanted).select(key, *dict.fromkeys(wanted))
     clean = clean.withColumn(target, number(target))
-    split = random_split(clean, key, TEST_SHARE, seed)
-    train = split.filter(~F.col("is_test")).drop("is_test").persist()
-    test = split.filter("is_test").drop("is_test").persist()
-    folded = assign_folds(train, key, cv_folds, seed) if cv_folds else None
     results = {}
-    try:
+    with kept(random_split(clean, key, TEST_SHARE, seed)) as split:
+        train, test = split.filter(~F.col("is_test")), split.filter("is_test")
+        folded = assign_folds(train, key, cv_folds, seed) if cv_folds else None
         for kind in learners:
             learner = LEARNERS[kind](target, **(settings or {}).get(kind, {}))
-            results[kind] = _one(kind, learner, train, test, folded, cv_folds, features, target, key)
-            model = results[kind].model
+            r = _one(kind, learner, train, test, folded, cv_folds, features, target, key)
+            results[kind] = r
             if models_dir:
-                save_model(model, models_dir, f"{kind}_{target}", features)
-            if reports_dir and results[kind].drivers is not None:
-                save_drivers(results[kind].drivers, reports_dir, kind, target)
-    finally:
-        train.unpersist()
-        test.unpersist()
+                save_model(r.model, models_dir, r.name, features)
+            if reports_dir and r.drivers is not None:
+                save_drivers(r.drivers, reports_dir, kind, target)
     return results
 
 
