@@ -20,8 +20,6 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    units = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    people = table("customer").join(units, F.col("c_nationkey") == F.col("n_nationkey"))
     lines = (
         table("lineitem")
         .groupBy("l_orderkey")
@@ -32,10 +30,13 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max((F.col("l_returnflag") == "R").cast("int")).alias("returned"),
         )
     )
+    # the two big joins first: unit names are looked up at the end and never shuffled
     return (
         table("orders")
-        .join(people, F.col("o_custkey") == F.col("c_custkey"))
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             KEY,
             F.col("r_name").alias("division_level"),

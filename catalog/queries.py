@@ -320,8 +320,10 @@ def sample_n(df):
 
 
 def _spread(df, spec, names):
-    prep = fit_preparation(df, spec)
-    wide = feature_columns(prepare(prep, df.select(KEY, *spec.columns)), feature_names(prep, spec))
+    data = df.select(KEY, *spec.columns)
+    with kept(data) as rows:
+        prep = fit_preparation(rows, spec)
+    wide = feature_columns(prepare(prep, data), feature_names(prep, spec))
     return wide.select(KEY, *[r(F.col(f"`{old}`")).alias(new) for old, new in names.items()])
 
 
@@ -545,7 +547,8 @@ def residuals(df):
 @query
 def fit_linear(df):
     spec = FeatureSpec(("qty", "c_acctbal"), ())
-    model = fit_regressor(df.select("o_totalprice", *spec.columns), spec, linear_learner("o_totalprice"))
+    with kept(df.select("o_totalprice", *spec.columns)) as rows:
+        model = fit_regressor(rows, spec, linear_learner("o_totalprice"))
     coefs = coefficient_table(model, spec).withColumn("intercept", F.lit(float(model.stages[1].intercept)))
     return rounded(coefs, 2)
 
@@ -655,6 +658,6 @@ def zscore_scaled(df):
 
 @query
 def kmeans_groups(df):
-    data = df.select(KEY, *FEATURES.columns)
-    grouped = screening.fit_groups(data, FEATURES, 4, components=3).transform(data)
-    return grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    with kept(df.select(KEY, *FEATURES.columns)) as data:
+        grouped = screening.fit_groups(data, FEATURES, 4, components=3).transform(data)
+        return computed(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")))

@@ -35,7 +35,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Compute ``df`` once.  Returns (frame, whether it has at most ``max_rows`` rows)."""
-    rows = df.limit(max_rows + 1).collect()
+    # coalesced, so that the limit is one job and not a series of growing attempts
+    rows = df.limit(max_rows + 1).coalesce(1).collect()
     if len(rows) <= max_rows:
         return df.sparkSession.createDataFrame(rows, df.schema), True
     return cut_lineage(df), False

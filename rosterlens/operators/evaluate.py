@@ -118,10 +118,13 @@ def roc_auc(df: DataFrame, label: str, prob: str) -> float | None:
     known = df.filter(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(
         F.col(label).cast("double").alias("y"), F.col(prob).cast("double").alias("p")
     )
-    with kept(known) as rows:
+    rows = known.persist()
+    try:
         if rows.agg(F.min("y") < F.max("y")).first()[0] is not True:
             return None
         return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0).evaluate(rows)
+    finally:
+        rows.unpersist()
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
