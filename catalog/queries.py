@@ -565,7 +565,10 @@ def fit_logistic(df):
     for name, x in fitted.items():
         for line in x.report.collect():  # five lines per target
             rows.append((name, float(x.threshold), float(x.auc), *line))
-    names = "target string, threshold double, auc double, class string, precision double, recall double, f1 double, support long"
+    names = (
+        "target string, threshold double, auc double, class string, "
+        "precision double, recall double, f1 double, support long"
+    )
     return df.sparkSession.createDataFrame(rows, names)
 
 

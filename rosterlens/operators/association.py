@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import number, present, text_is
 from ..functions.student_t import chi2_tail_p, f_tail_p, two_sided_p
-from .profile import one_row_per_column
 
 
 def welch_stats(df: DataFrame, group: str, value: str, high: str, low: str) -> DataFrame:

@@ -45,7 +45,10 @@ def box_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     )
     q = exact_quantiles(data, ["v"], (0.25, 0.5, 0.75), [group])
     boxes = q.groupBy(group).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+        *[
+            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
+            for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
+        ]
     )
     reach = WHISKER * (F.col("q75") - F.col("q25"))
     inside = F.col("v").between(F.col("q25") - reach, F.col("q75") + reach)

@@ -1,4 +1,4 @@
-"""Risk classifiers and score regressors with the reference settings, fitted by MLlib."""
+"""Risk classifiers and score regressors, fitted by MLlib."""
 
 from __future__ import annotations
 

@@ -60,7 +60,10 @@ def unit_summary(
     pick = exact_quantiles if exact else approximate_quantiles
     long = pick(scored, list(regressors), (0.1, 0.5, 0.9))
     spread = long.groupBy(F.col("column").alias("metric")).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))]
+        *[
+            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
+            for p, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))
+        ]
     )
     return table.join(spread, "metric", "left")
 

@@ -9,7 +9,7 @@ from rosterlens.schema import FeatureSpec, TargetSpec
 from rosterlens.sources import registry
 
 SMALL = FeatureSpec(("stress_score", "sleep_score", "fatigue", "OPTEMPO", "acft_failure", "low_morale"), ("rank", "morale"))
-TARGETS = {t: S.RISK_TARGETS[t] for t in ("high_burnout_risk", "ucmj", "profile_status", "low_readiness_risk", "low_retention_risk")}
+TARGETS = {t: S.RISK_TARGETS[t] for t in ("high_burnout_risk", "ucmj", "low_readiness_risk")}
 
 
 @pytest.fixture(scope="module")
@@ -72,7 +72,7 @@ def test_score_models_beat_the_mean(stored):
 def test_registry_round_trip(spark, soldiers, stored):
     root, risks, scores = stored
     models = registry.load_models(spark, str(root / "models"))
-    assert len(models) == 5 + 4 and registry.load_models(spark, str(root / "nothing")) == {}
+    assert len(models) == 3 + 4 and registry.load_models(spark, str(root / "nothing")) == {}
     assert models["logreg_ucmj"].features == SMALL and models["logreg_ucmj"].threshold == risks["ucmj"].threshold
     assert registry.preferred_score_model(models, "soldier_readiness").name == "rfreg_soldier_readiness"
     assert registry.preferred_score_model(models, "retention_rate").name == "xgbreg_retention_rate"
@@ -94,7 +94,7 @@ def test_dashboard_pages(spark, soldiers, stored):
     assert page["rate_by_group"].count() == 2 and page["kpi"].first().soldier_readiness > 1
     record = soldiers.orderBy("soldier_id").limit(1)
     risks = dashboard.record_risks(record, models, {"stress_score": 95.0})
-    assert risks.count() == 5 and {r.band for r in risks.collect()} <= {"high", "moderate", "lower"}
+    assert risks.count() == 3 and {r.band for r in risks.collect()} <= {"high", "moderate", "lower"}
     low = dashboard.record_risks(record, models, {"stress_score": 5.0}).filter("risk = 'high_burnout_risk'").first()
     high = risks.filter("risk = 'high_burnout_risk'").first()
     assert high.probability > low.probability
@@ -118,7 +118,7 @@ def test_unit_page(spark, soldiers, stored):
     )
     assert page["matrix"].count() == 2 and set(risks) < set(page["matrix"].columns)
     table = page["before_after"].collect()
-    assert len(table) == 5 and [r.change_pp for r in table] == sorted(r.change_pp for r in table)
+    assert len(table) == 3 and [r.change_pp for r in table] == sorted(r.change_pp for r in table)
 
 
 def test_forest_attribution_plan(soldiers, stored):
