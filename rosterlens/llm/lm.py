@@ -5,9 +5,9 @@ The weights depend on how often the context was seen (buckets by powers of two)
 expectation-maximisation on a deleted part: its n-grams, with the counts of the other training documents.
 
 N-gram tables grow with the corpus, so they are never in one place.  Documents are dealt by hash to blocks
-of a bounded size.  A block counts its own n-grams and sends each once, with its counts, to where the n-gram
-is summed up; what comes back to a block are the counts of all other blocks, for those n-grams that others
-have too.  So an n-gram that is everywhere makes one row a block, and texts are read twice.
+of a bounded size, n-grams to as many shards.  A block counts its own n-grams and sends each shard a packet of
+them; the shard adds up what all blocks have sent and answers each with the counts of the others, in the
+order of the packet.  An n-gram that is everywhere thus is one entry a block.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, small_batches, text_or_empty
@@ -102,27 +102,34 @@ class Block:
         return np.bincount(self.place[k][here], minlength=len(self.keys[k]))
 
 
-def rows_of(block: int, b: Block) -> pa.Table:
-    return pa.table(
-        {
-            "block": pa.array(np.full(sum(map(len, b.keys)), block), pa.int32()),
-            "key": pa.array(np.concatenate(b.keys).view(np.int64), pa.int64()),
-            "fit": pa.array(np.concatenate([b.counts(k, FIT) for k in range(len(b.keys))]), pa.int64()),
-            "part": pa.array(np.concatenate([b.counts(k, PART) for k in range(len(b.keys))]), pa.int64()),
-        }
-    )
+def packed(a: np.ndarray) -> bytes:
+    """64-bit integers by byte planes: sorted keys and small counts then compress well."""
+    return a.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: Iterable[bytes]) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(8, -1).T).view("<i8").ravel() for r in raw]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def blocked(docs: DataFrame, block_chars: int) -> DataFrame:
-    """block, doc_id, text, held_out and part of every document row."""
+def dealt_keys(b: Block, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of a block by shard: their order, the shards that occur, and where each begins."""
+    keys = np.concatenate(b.keys)
+    shard = ((keys >> np.uint64(1)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    order = np.argsort(shard, kind="stable")
+    found, starts = np.unique(shard[order], return_index=True)
+    return order, found, starts
+
+
+def blocked(docs: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """block, doc_id, text, held_out and part of every document row; the number of blocks."""
     texts = docs.select("doc_id", text_or_empty(docs).alias("text"))
     total = texts.select(F.sum(F.length("text") + 1)).first()[0] or 0
     n = max(1, -(-total // block_chars))
     f = fold("doc_id", 10)
     part = F.when(f.isin(HELD_OUT, -1), TEST).when(f == DELETED, PART).otherwise(FIT)
-    return texts.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text", (f == HELD_OUT).alias("held_out"), part.alias("part")
-    )
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    return texts.select(block, "doc_id", "text", (f == HELD_OUT).alias("held_out"), part.alias("part")), n
 
 
 @dataclass(frozen=True)
@@ -135,52 +142,56 @@ class Totals:
     types: int
 
 
-def counted(docs: DataFrame, order: int) -> tuple[DataFrame, Totals]:
-    """The counts of other blocks for the n-grams of each block, where it needs them, and the totals.
+TOTALS = ("fit_tokens", "fit_types", "tokens", "types")
+
 
-    block, key, fit and part (of others); ``own_part``: the block's own deleted occurrences.
+def counted(docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, Totals]:
+    """What the shards answer to the blocks, and the totals.
+
+    block, shard; ``others``: occurrences in the training documents of other blocks, in the order of the
+    block's packet; ``keys``, ``fit``: for the n-grams of the block's deleted part, how often all fitted
+    documents have them.
     """
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        return rows_of(key[0].as_py(), Block.of(rows.column("text").to_pylist(), rows.column("part").to_pylist(), order))
-
-    own = docs.select("block", "text", "part").groupBy("block").applyInArrow(run, "block int, key long, fit long, part long")
-    same = Window.partitionBy("key")
-    learned = F.col("fit") + F.col("part")
-    summed = own.select(
-        "block",
-        "key",
-        F.col("fit").alias("own_fit"),
-        F.col("part").alias("own_part"),
-        (F.sum("fit").over(same) - F.col("fit")).alias("fit"),
-        (F.sum("part").over(same) - F.col("part")).alias("part"),
-        F.min(F.when(learned > 0, F.col("block"))).over(same).alias("first"),
-        F.min(F.when(F.col("fit") > 0, F.col("block"))).over(same).alias("first_fit"),
-    )
-    single = F.col("key").bitwiseAND(1) == 1
-    number = lambda c: F.sum(F.when(single, c).otherwise(0))
-    seen = Observation()
-    summed = summed.observe(
-        seen,
-        number(F.col("own_fit")).alias("fit_tokens"),
-        number((F.col("first_fit").eqNullSafe(F.col("block"))).cast("long")).alias("fit_types"),
-        number(F.col("own_fit") + F.col("own_part")).alias("tokens"),
-        number((F.col("first").eqNullSafe(F.col("block"))).cast("long")).alias("types"),
-    )
-    wanted = (F.col("fit") + F.col("part") > 0) | (F.col("own_part") > 0)
-    others = written(summed.where(wanted).select("block", "key", "fit", "part", "own_part", "own_fit"))
-    got = seen.get
-    return others, Totals(*(int(got[c] or 0) for c in ("fit_tokens", "fit_types", "tokens", "types")))
-
-
-def known(b: Block, k: int, own: np.ndarray, keys: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Counts of the block's n-grams of an order: its own and those that came back."""
-    out = own.astype(np.int64)
-    at = np.searchsorted(b.keys[k], keys)
-    at[at == len(b.keys[k])] = 0
-    hit = b.keys[k][at] == keys if len(b.keys[k]) else np.zeros(len(keys), dtype=bool)
-    out[at[hit]] += more[hit]
-    return out
+    def send(key: tuple, rows: pa.Table) -> pa.Table:
+        b = Block.of(rows.column("text").to_pylist(), rows.column("part").to_pylist(), order)
+        by, found, starts = dealt_keys(b, shards)
+        values = [np.concatenate(b.keys).view(np.int64)]
+        values += [np.concatenate([b.counts(k, part) for k in range(order)]) for part in (FIT, PART)]
+        packets = [[packed(x) for x in np.split(v[by], starts[1:])] for v in values]
+        columns = [pa.array(found.astype(np.int32)), pa.array([key[0].as_py()] * len(found), pa.int32()), *(pa.array(x, pa.binary()) for x in packets)]
+        return pa.table(columns, names=["shard", "block", "keys", "fit", "part"])
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        columns = {c: unpacked(x.as_py() for x in rows.column(c)) for c in ("keys", "fit", "part")}
+        size = [len(x.as_py()) // 8 for x in rows.column("keys")]
+        distinct, place = np.unique(columns["keys"], return_inverse=True)
+        add = lambda v: np.bincount(place, weights=v, minlength=len(distinct)).astype(np.int64)
+        fit = add(columns["fit"])
+        learned = fit + add(columns["part"])
+        single = (distinct & 1) == 1
+        totals = (fit[single].sum(), (fit[single] > 0).sum(), learned[single].sum(), (learned[single] > 0).sum())
+        cut = np.cumsum(size)[:-1]
+        others = np.split(learned[place] - columns["fit"] - columns["part"], cut)
+        deleted = np.split(columns["part"] > 0, cut)
+        keys = [packed(k[d]) for k, d in zip(np.split(columns["keys"], cut), deleted)]
+        fits = [packed(k[d]) for k, d in zip(np.split(fit[place], cut), deleted)]
+        made = {
+            "block": pa.array([*rows.column("block").to_pylist(), None], pa.int32()),
+            "shard": pa.array([key[0].as_py()] * (len(size) + 1), pa.int32()),
+            "others": pa.array([*map(packed, others), None], pa.binary()),
+            "keys": pa.array([*keys, None], pa.binary()),
+            "fit": pa.array([*fits, None], pa.binary()),
+        }
+        more = {c: pa.array([None] * len(size) + [int(v)], pa.int64()) for c, v in zip(TOTALS, totals)}
+        return pa.table(made | more)
+
+    packets = "shard int, block int, keys binary, fit binary, part binary"
+    answers = "block int, shard int, others binary, keys binary, fit binary, " + ", ".join(f"{c} long" for c in TOTALS)
+    sent = docs.select("block", "text", "part").groupBy("block").applyInArrow(send, packets)
+    answered = written(sent.groupBy("shard").applyInArrow(answer, answers))
+    got = answered.agg(*[F.sum(c).alias(c) for c in TOTALS]).first()
+    return answered.where("block is not null"), Totals(*(int(got[c] or 0) for c in TOTALS))
 
 
 def contexts(b: Block, counts: list[np.ndarray]) -> list[np.ndarray]:
@@ -197,18 +208,22 @@ def bucket(count: np.ndarray) -> np.ndarray:
 BUCKETS = 64
 
 
-def statistics(docs: DataFrame, others: DataFrame, order: int) -> DataFrame:
+def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     """What the deleted part says about the weights: n by bucket and by classes of the estimates.
 
     Estimates of orders over one are relative frequencies, that of order one is a count; all in classes of
     1 / STEPS powers of two, -1000 for none.
     """
+    names = [f"c{k}" for k in range(order)]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("bucket", *names, "n")})
         b = Block.of(left.column("text").to_pylist(), left.column("part").to_pylist(), order)
-        keys = right.column("key").to_numpy().view(np.uint64)
-        fit = right.column("fit").to_numpy() + right.column("own_fit").to_numpy()
-        counts = [known(b, k, np.zeros(len(b.keys[k])), keys, fit) for k in range(order)]
+        keys, fit = (unpacked(x.as_py() for x in right.column(c)) for c in ("keys", "fit"))
+        by = np.argsort(keys.view(np.uint64))
+        keys, fit = keys.view(np.uint64)[by], fit[by]
+        counts = [fit[np.searchsorted(keys, k)] for k in b.keys]  # all of the deleted part's n-grams are there
         context = contexts(b, counts)
         columns = [bucket(context[-1]) if order > 1 else np.zeros(int(b.size.sum()), np.int64)]
         for k in range(order):
@@ -218,9 +233,8 @@ def statistics(docs: DataFrame, others: DataFrame, order: int) -> DataFrame:
         rows, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
         return pa.table({"bucket": rows[:, 0], **{f"c{k}": rows[:, k + 1] for k in range(order)}, "n": n})
 
-    names = [f"c{k}" for k in range(order)]
     deleted = docs.where(F.col("part") == PART).select("block", "text", "part")
-    asked = others.where("own_part > 0")
+    asked = answers.select("block", "keys", "fit")
     schema = "bucket long, " + ", ".join(f"{c} long" for c in names) + ", n long"
     rows = deleted.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
     return rows.groupBy("bucket", *names).agg(F.sum("n").alias("n"))
@@ -259,7 +273,7 @@ def weights(rows: pa.Table, totals: Totals, order: int, rounds: int = 60) -> np.
     return out / out.sum(axis=1, keepdims=True)
 
 
-def scored(docs: DataFrame, others: DataFrame, totals: Totals, mix: np.ndarray, order: int) -> DataFrame:
+def scored(docs: DataFrame, answers: DataFrame, totals: Totals, mix: np.ndarray, order: int, shards: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document row."""
     key_type = docs.schema["doc_id"].dataType.simpleString()
     n, v = totals.tokens, totals.types
@@ -267,9 +281,10 @@ def scored(docs: DataFrame, others: DataFrame, totals: Totals, mix: np.ndarray,
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block.of(left.column("text").to_pylist(), left.column("part").to_pylist(), order)
-        keys = right.column("key").to_numpy().view(np.uint64)
-        more = right.column("fit").to_numpy() + right.column("part").to_numpy()
-        counts = [known(b, k, b.counts(k, FIT) + b.counts(k, PART), keys, more) for k in range(order)]
+        by, _, _ = dealt_keys(b, shards)
+        total = np.concatenate([b.counts(k, FIT) + b.counts(k, PART) for k in range(order)])
+        total[by] += unpacked(x.as_py() for x in right.sort_by("shard").column("others"))
+        counts = np.split(total, np.cumsum([len(k) for k in b.keys])[:-1])
         context = contexts(b, counts)
         single = counts[0][b.place[0]]
         p = np.full(len(single), 1 / (v + 1))
@@ -279,7 +294,7 @@ def scored(docs: DataFrame, others: DataFrame, totals: Totals, mix: np.ndarray,
         for k in range(1, order):
             p += mix[which, k + 1] * counts[k][b.place[k]] / np.maximum(context[k - 1], 1)
         first = b.first()
-        total = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
+        summed = lambda x: np.add.reduceat(x, first)
         base = np.where(single > 0, np.log10(single + 0.1) - np.log10(n + 0.1 * (v + 1)), floor)
         rows = left.num_rows
         return pa.table(
@@ -287,15 +302,15 @@ def scored(docs: DataFrame, others: DataFrame, totals: Totals, mix: np.ndarray,
                 "doc_id": left.column("doc_id"),
                 "held_out": left.column("held_out"),
                 "n_tokens": pa.array(b.size, pa.int64()),
-                "n_known": pa.array(total((single > 0).astype(np.int64)), pa.int64()),
+                "n_known": pa.array(summed((single > 0).astype(np.int64)), pa.int64()),
                 "train_tokens": pa.array(np.full(rows, n), pa.int64()),
-                "base_score": pa.array(total(base), pa.float64()),
-                "score": pa.array(total(np.log10(p)), pa.float64()),
+                "base_score": pa.array(summed(base), pa.float64()),
+                "score": pa.array(summed(np.log10(p)), pa.float64()),
             }
         )
 
     schema = f"doc_id {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    asked = others.where("fit + part > 0").select("block", "key", "fit", "part")
+    asked = answers.select("block", "shard", "others")
     return docs.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -306,7 +321,7 @@ def scores(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS)
     that repeat count each.  An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    dealt = blocked(docs, block_chars)
-    others, totals = counted(dealt, order)
-    mix = weights(statistics(dealt, others, order).toArrow(), totals, order)
-    return scored(dealt, others, totals, mix, order)
+    dealt, blocks = blocked(docs, block_chars)
+    answers, totals = counted(dealt, order, blocks)
+    mix = weights(statistics(dealt, answers, order).toArrow(), totals, order)
+    return scored(dealt, answers, totals, mix, order, blocks)
