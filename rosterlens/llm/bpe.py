@@ -12,6 +12,7 @@ each; other columns of the input are passed through.
 from __future__ import annotations
 
 import json
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -27,8 +28,17 @@ from .common import add_columns
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space beside other white space: there a text may not be cut at spaces before the pattern is applied.
 CROWDED = regex.compile(r" \s|\s ")
+#: White space but space and newline.
+RARE_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+ID_BITS = 32
+
+
+def crowded(text: str) -> bool:
+    if any(c in text for c in RARE_BLANKS):
+        return CROWDED.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,7 +84,7 @@ class Codec:
             self.merges[left, right] = rank
             if self.rank[made] < 0:
                 self.left[made], self.right[made], self.rank[made] = left, right, rank
-        self.together: dict[tuple[int, int], bool] = {}
+        self.together: dict[int, bool] = {}  # the pair-compatibility table
         self.find = ahocorasick.Automaton()
         usable = []
         for i in vocab.values():
@@ -113,53 +123,59 @@ class Codec:
             else:
                 before, b = min(before, self.rank[b] + 1), self.left[b]
 
-    def compatible(self, a: int, b: int) -> bool:
-        found = self.together.get((a, b))
-        if found is None:
-            if len(self.together) >= MEMO_ENTRIES:
-                self.together.clear()
-            found = self.together[a, b] = self.stable(a, b, len(self.merges))
+    def learn(self, a: int, b: int) -> bool:
+        """Enter a pair into the compatibility table."""
+        if len(self.together) >= MEMO_ENTRIES:
+            self.together.clear()
+        found = self.together[a << ID_BITS | b] = self.stable(a, b, len(self.merges))
         return found
 
     def piece(self, text: str) -> list[int]:
         """Tokens of one pre-tokenized piece."""
-        s = text.encode().decode("latin-1")
-        n, length, shorter, compatible = len(s), self.length, self.shorter, self.compatible
+        s = text if text.isascii() else text.encode("utf-8", "surrogatepass").decode("latin-1")
+        n, length, shorter, together = len(s), self.length, self.shorter, self.together
         longest = [-1] * (n + 1)
         for end, token in self.find.iter(s):
             longest[end + 1 - length[token]] = token  # of the tokens from one place the longest ends last
+        at, last, token = 0, -1, longest[0]
+        if length[token] == n:
+            return [token]
         out: list[int] = []
         usable = bytearray(b"\x01") * (n + 1)
-        at, token = 0, longest[0]
         while at < n:
-            last = out[-1] if out else -1
-            while token >= 0 and not (usable[at + length[token]] and (last < 0 or compatible(last, token))):
+            while token >= 0:
+                if usable[at + length[token]]:
+                    if last < 0:
+                        break
+                    fits = together.get(last << ID_BITS | token)
+                    if self.learn(last, token) if fits is None else fits:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at]
+                last, token = token, longest[at]
             else:
                 usable[at] = 0
-                out.pop()
-                at -= length[last]
-                token = last
+                token = out.pop()
+                at -= length[token]
+                last = out[-1] if out else -1
         return out
 
     def chunk(self, text: str) -> bytes:
         ids = [i for p in PIECES.findall(text) for i in self.piece(p)]
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
         """A text without special tokens.  A space between two other characters always starts a piece."""
-        if CROWDED.search(text):
+        if crowded(text):
             return b"".join(map(self.first.__getitem__, PIECES.findall(text)))
         head, *rest = text.split(" ")
         return self.first[head] + b"".join(map(self.later.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None or not self.cut.search(text):
+        if not any(t in text for t in self.special):
             return self.plain(text)
         parts = self.cut.split(text)
         return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self.plain(p) for p in parts if p)
