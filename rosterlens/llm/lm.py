@@ -5,7 +5,7 @@ The weights depend on how often the context was seen (buckets by powers of two)
 expectation-maximisation on a deleted part: its n-grams, with the counts of the other training documents.
 
 N-gram tables grow with the corpus, so they are never in one place.  Documents are dealt by hash to blocks
-of a bounded size, n-grams to as many shards.  A block counts its own n-grams and sends each shard a packet of
+of a bounded size, n-grams to twice as many shards.  A block counts its own n-grams and sends each shard a packet of
 them; the shard adds up what all blocks have sent and answers each with the counts of the others, in the
 order of the packet.  An n-gram that is everywhere thus is one entry a block.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches, text_or_empty
 from .storage import written
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 ORDER = 2
 #: Folds of ten: 0 is held out of everything, 1 is the deleted part that weights are learned on.
 HELD_OUT, DELETED = 0, 1
@@ -322,6 +322,7 @@ def scores(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS)
     """
     small_batches(docs.sparkSession)
     dealt, blocks = blocked(docs, block_chars)
-    answers, totals = counted(dealt, order, blocks)
+    shards = 2 * blocks
+    answers, totals = counted(dealt, order, shards)
     mix = weights(statistics(dealt, answers, order).toArrow(), totals, order)
-    return scored(dealt, answers, totals, mix, order, blocks)
+    return scored(dealt, answers, totals, mix, order, shards)
