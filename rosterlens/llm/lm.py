@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches, text_or_empty
 from .storage import written
 
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 ORDER = 2
 #: Folds of ten: 0 is held out of everything, 1 is the deleted part that weights are learned on.
 HELD_OUT, DELETED = 0, 1
