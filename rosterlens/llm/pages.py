@@ -131,7 +131,7 @@ class Chain:
         return path[::-1]
 
 
-def fit(pages: list[tuple[list[list[int]], list[int]]], steps: int = 160, penalty: float = 0.5) -> Chain:
+def fit(pages: list[tuple[list[list[int]], list[int]]], steps: int = 300, penalty: float = 0.3) -> Chain:
     """Maximise the likelihood of the labels, by forward-backward over all pages side by side."""
     pages = [(f, y) for f, y in pages if f]
     n, most = len(pages), max((len(f) for f, _ in pages), default=0)
@@ -168,7 +168,7 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], steps: int = 160, penalt
         for v, s, g in zip((node, pair, start), speed, steep):
             g = g / n
             s += g * g
-            v += 0.3 * g / np.sqrt(s)
+            v += 0.5 * g / np.sqrt(s)
     return Chain(node, pair, start)
 
 

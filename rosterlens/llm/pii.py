@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 N = len(LABELS)
 #: Words that the field is trained on at most: those of the documents of the lowest hash.
-TRAIN_WORDS = 50_000
+TRAIN_WORDS = 20_000
 ROUNDS, DAMPING = 20, 0.3
 #: Numbers of the same last digits are similar words.
 ENDING = 7
@@ -276,7 +276,9 @@ def plausible(kind: int, text: str) -> bool:
     if kind == 1:
         parts = [p.lstrip("0") for p in NOT_DIGIT.split(text) if p]
         return len(parts) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
-    return (13 if kind == 2 else 7) <= digits <= MOST_DIGITS[kind]
+    if kind == 2:
+        return bool(re.fullmatch(r"[0-9 -]+", text)) and 13 <= digits <= MOST_DIGITS[kind] and luhn(NOT_DIGIT.sub("", text))
+    return bool(re.fullmatch(r"[0-9 +().-]*[+(-][0-9 +().-]*", text)) and 7 <= digits <= MOST_DIGITS[kind]
 
 
 def added_spans(text: str, w: Words, labels: np.ndarray) -> list[Span]:
