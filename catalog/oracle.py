@@ -34,6 +34,11 @@ def rnd(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) as {name}"
 
 
+def bin30(c: str) -> str:
+    """Bin of a column's value among 30 of equal width; the ends are in the table ``ends``."""
+    return f"least(floor(({c}::double - {c}_lo) / ({c}_hi - {c}_lo) * 30), 29)::int"
+
+
 def union(parts: list[str]) -> str:
     return "\nunion all\n".join(parts)
 
@@ -303,6 +308,53 @@ oracle(
     f"picked as (select * from cohort order by {HASH} limit 500)",
 )
 
+oracle(
+    "pair_grid_cells",
+    union(
+        [
+            f"select '{a}' as x_name, '{b}' as y_name, low_flag, {bin30(a)} as x_bin, {bin30(b)} as y_bin, count(*) as n "
+            f"from gappy, ends where {a} is not null and {b} is not null group by all"
+            for a in ("qty", "n_lines", "o_totalprice")
+            for b in ("qty", "n_lines", "o_totalprice")
+            if a != b
+        ]
+    ),
+    "ends as (select "
+    + ", ".join(f"min({c})::double {c}_lo, max({c})::double {c}_hi" for c in ("qty", "n_lines", "o_totalprice"))
+    + " from gappy)",
+)
+
+
+def density_sql(value: str, group: str, digits: int, extra: str = "") -> str:
+    return f"""
+select {group}, point, round(x, {min(digits, 6 if digits < 10 else 4)}) as x, round(sum(exp(-0.5 * ((x - v) / bw) * ((x - v) / bw)))
+       / (any_value(total) * any_value(bw) * sqrt(2 * pi())), {digits}) as density{extra}
+from (select s.{group}, cast(p.i as integer) as point, bw, total, lo - 3 * bw + p.i * (hi + 3 * bw - (lo - 3 * bw)) / 199 as x
+      from (select {group}, stddev_samp({value}) * pow(count(*), -0.2) bw, min({value})::double lo, max({value})::double hi,
+                   (select count(*) from cohort) total from cohort group by {group}) s cross join range(200) p(i)) grid
+join (select {group} as g, {value}::double as v from cohort) d on d.g = grid.{group}
+group by {group}, point, x"""
+
+
+oracle("density_continuous", density_sql("o_totalprice", "trend", 12))
+oracle(
+    "pair_grid_diagonal",
+    union([density_sql(c, "low_flag", 6, f", '{c}' as \"column\"") for c in ("n_lines", "qty")]),
+)
+oracle(
+    "quantiles_of_odd_values",
+    """
+select "column", prob, printf('%.6e', case when a = b then a else a + (b - a) * (pos - floor(pos)) end) as quantile
+from (select c."column", prob, prob * (len(vs) - 1) as pos, vs[floor(prob * (len(vs) - 1))::int + 1] a, vs[ceil(prob * (len(vs) - 1))::int + 1] b
+      from (select "column", list(v order by v) vs from odd group by "column") c,
+           (select unnest([0.002, 0.25, 0.5, 0.75, 0.998])::double prob) p)""",
+    """odd as (
+  select 'endless' as "column", case when o_orderkey % 97 = 0 then 'infinity'::double when o_orderkey % 101 = 0 then '-infinity'::double
+                                     else o_totalprice end v from cohort
+  union all select 'wide', o_totalprice * pow(10.0::double, (o_orderkey % 400 - 200)::double) from cohort
+  union all select 'hot', case when o_orderkey % 3 > 0 then 7.0 else o_totalprice end from cohort)""",
+)
+
 # --- tests and association
 
 oracle(

@@ -195,7 +195,7 @@ def group_quantile(df):
 def column_quantile_by_counting(df):
     """The path for columns of any size: brackets narrowed by counting, no sorted group."""
     return rounded(
-        exact_quantiles(df, ["o_totalprice"], [0.1, 0.5, 0.9], ["rank"], small_total=0, sort_rows=50), 4
+        exact_quantiles(df, ["o_totalprice"], [0.1, 0.5, 0.9], ["rank"], sort_rows=50), 4
     )
 
 
@@ -253,8 +253,38 @@ def density_by_group(df):
 
 @query
 def pair_grid_points(df):
-    points, _ = charts.pair_grid(df, KEY, ["qty", "disc", "n_lines"], "low_flag", 500)
-    return rounded(points)
+    return rounded(charts.pair_points(df, KEY, ["qty", "disc", "n_lines"], "low_flag", 500))
+
+
+@query
+def pair_grid_cells(df):
+    return charts.pair_grid(gappy(df), ["qty", "n_lines", "o_totalprice"], "low_flag")
+
+
+@query
+def pair_grid_diagonal(df):
+    return rounded(charts.pair_grid_diagonal(df, ["n_lines", "qty"], "low_flag"))
+
+
+@query
+def density_continuous(df):
+    curve = charts.density_by_group(df, "o_totalprice", "trend")
+    return curve.withColumns({"x": F.round("x", 4), "density": F.round("density", 12)})
+
+
+@query
+def quantiles_of_odd_values(df):
+    """Infinities, a spread of 400 decades and one hot value."""
+    x = F.col("o_totalprice")
+    odd = {
+        "endless": F.when(F.col(KEY) % 97 == 0, F.lit(float("inf"))).when(F.col(KEY) % 101 == 0, F.lit(float("-inf"))).otherwise(x),
+        "wide": x * F.pow(F.lit(10.0), (F.col(KEY) % 400 - 200).cast("double")),
+        "hot": F.when(F.col(KEY) % 3 > 0, F.lit(7.0)).otherwise(x),
+    }
+    found = exact_quantiles(df.withColumns(odd), list(odd), [0.002, 0.25, 0.5, 0.75, 0.998], sort_rows=100)
+    endless = F.abs("quantile") == float("inf")
+    text = F.when(endless, F.when(F.col("quantile") > 0, "inf").otherwise("-inf"))
+    return found.select("column", "prob", F.coalesce(text, F.format_string("%.6e", "quantile")).alias("quantile"))
 
 
 # --- tests and association ----------------------------------------------------------------------------

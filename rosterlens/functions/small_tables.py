@@ -6,6 +6,7 @@ data.  ``attach`` looks before it broadcasts and has a salted shuffle join for t
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -17,10 +18,12 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: ``spark.checkpoint.dir``, or a fresh one in local runs."""
+    """Folder all executors see: ``spark.checkpoint.dir``, or a fresh one where one machine is all there is."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         path = tempfile.mkdtemp(prefix="rosterlens-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,8 +75,8 @@ def density_by_group(
     """Gaussian density curve per group, each scaled to the group's share of all rows.
 
     Bandwidth by Scott's rule, ``points`` grid points from three bandwidths below the minimum to
-    three above the maximum.  Equal values are counted first, so every distinct value meets the grid
-    once.  ``pre_bins`` (opt-in, approximate) first rounds values to that many steps of their range.
+    three above the maximum.  Rows add to the grid where they are, only its sums are shuffled.
+    ``pre_bins`` (opt-in, approximate) first rounds values to that many steps of their range.
     """
     key = group or "_all"
     base = df if group else df.withColumn(key, F.lit(1))
@@ -94,8 +95,7 @@ def density_by_group(
         .withColumn("bw", F.col("sd") * F.pow(F.col("size"), F.lit(-0.2)))
         .filter(F.col("bw") > 0)
     )
-    weights = data.groupBy(key, "v").agg(F.count(F.lit(1)).alias("w"))
-    joined = attach(weights, stats, [key])
+    joined = attach(data, stats, [key]).withColumn("w", F.lit(1))
     if pre_bins:
         step = (F.col("hi") - F.col("lo")) / pre_bins
         rounded = F.col("lo") + F.round((F.col("v") - F.col("lo")) / step) * step
@@ -116,30 +116,52 @@ def density_by_group(
     return out if group else out.drop(key)
 
 
-def pair_grid(
-    df: DataFrame, key: str, cols: Sequence[str], hue: str, n: int = 1000
-) -> tuple[DataFrame, DataFrame]:
-    """Scatter points of every column pair on a seeded sample of ``n`` records, and the diagonal.
+def pair_points(df: DataFrame, key: str, cols: Sequence[str], hue: str, n: int) -> DataFrame:
+    """Scatter points of every column pair on a seeded sample of ``n`` records.
 
-    The points table says how many records it shows (``n_shown``) out of how many (``n_total``);
-    the density curves of the diagonal use all rows.
+    The table says how many records it shows (``n_shown``) out of how many (``n_total``).
     """
     cols = present(df, cols)
     total = df.count()
-    sample = sample_n(df, key, n) if total > n else df
     structs = [
         F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), number(a).alias("x"), number(b).alias("y"))
         for a in cols
         for b in cols
         if a != b
     ]
-    points = sample.select(
-        key,
-        hue,
-        F.inline(F.array(*structs)),
-    ).withColumns({"n_shown": F.lit(min(n, total)).cast("long"), "n_total": F.lit(total).cast("long")})
-    curves = [density_by_group(df, c, hue).withColumn("column", F.lit(c)) for c in cols]
-    diagonal = curves[0]
-    for c in curves[1:]:
-        diagonal = diagonal.unionByName(c)
-    return points, diagonal
+    sample = sample_n(df, key, n) if total > n else df
+    shown = {"n_shown": F.lit(min(n, total)).cast("long"), "n_total": F.lit(total).cast("long")}
+    return sample.select(key, hue, F.inline(F.array(*structs))).withColumns(shown)
+
+
+def pair_grid(df: DataFrame, cols: Sequence[str], hue: str, bins: int = 30) -> DataFrame:
+    """All records in cells: (x_name, y_name, hue, x_bin, y_bin, n) of every column pair.
+
+    Bins are of equal width over a column's range; records with a missing value are in no cell of that
+    column.  Cells are counted before they are shuffled.
+    """
+    cols = present(df, cols)
+    ends = df.select(*[f(number(c)).alias(f"{k}_{i}") for i, c in enumerate(cols) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+
+    def bin_of(i: int, c: str):
+        lo, hi = ends[f"lo_{i}"], ends[f"hi_{i}"]
+        if lo is None or lo == hi:
+            return F.when(number(c).isNotNull(), 0)
+        place = F.least(F.floor((number(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        return F.when(number(c).isNotNull(), place)
+
+    binned = df.select(hue, *[bin_of(i, c).alias(f"_b{i}") for i, c in enumerate(cols)])
+    pairs = [
+        F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), F.col(f"_b{i}").alias("x_bin"), F.col(f"_b{j}").alias("y_bin"))
+        for i, a in enumerate(cols)
+        for j, b in enumerate(cols)
+        if i != j
+    ]
+    cells = binned.select(hue, F.inline(F.array(*pairs))).filter("x_bin is not null and y_bin is not null")
+    return cells.groupBy("x_name", "y_name", hue, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_grid_diagonal(df: DataFrame, cols: Sequence[str], hue: str) -> DataFrame:
+    """Density curves of the columns by ``hue``: the diagonal of the grid, over all records."""
+    curves = [density_by_group(df, c, hue).withColumn("column", F.lit(c)) for c in present(df, cols)]
+    return reduce(DataFrame.unionByName, curves)

@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.caching import kept
+from ..functions.caching import at_once, kept
 from ..functions.columns import number
 from ..schema import DEFAULT_THRESHOLD, FeatureSpec
 from .features import fit_preparation, prepare
@@ -156,16 +156,18 @@ def residuals(df: DataFrame, label: str, pred: str, keep: Sequence[str] = ()) ->
 def cross_validate(
     df: DataFrame, features: FeatureSpec, learner: Estimator, label: str, fold: str, k: int
 ) -> DataFrame:
-    """(fold, n, rmse, r2); preparation and learner are refitted on the other folds each time."""
-    scores = []
+    """(fold, n, rmse, r2); preparation and learner are refitted on the other folds each time, some at once."""
+
+    def one(i: int) -> tuple:
+        train, held_out = rows.filter(F.col(fold) != i), rows.filter(F.col(fold) == i)
+        prep = fit_preparation(train, features)
+        model = learner.copy().fit(prepare(prep, train))
+        scored = model.transform(prepare(prep, held_out))
+        r = regression_metrics(scored, label, model.getPredictionCol()).first()
+        return i, r["n"], r["rmse"], r["r2"]
+
     with kept(df.select(fold, *dict.fromkeys([*features.columns, label]))) as rows:
-        for i in range(k):
-            train, held_out = rows.filter(F.col(fold) != i), rows.filter(F.col(fold) == i)
-            prep = fit_preparation(train, features)
-            model = learner.fit(prepare(prep, train))
-            scored = model.transform(prepare(prep, held_out))
-            r = regression_metrics(scored, label, model.getPredictionCol()).first()
-            scores.append((i, r["n"], r["rmse"], r["r2"]))
+        scores = at_once(one, range(k))
     return df.sparkSession.createDataFrame(scores, "fold int, n long, rmse double, r2 double")
 
 

@@ -73,6 +73,9 @@ def fit_preparation(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
         at += len(labels)
     assemble = VectorAssembler(inputCols=parts, outputCol=_ALL)
     cut = VectorSlicer(inputCol=_ALL, outputCol=FEATURES, indices=list(keep))
+    for stage in fitted.stages:
+        if isinstance(stage, VectorAssembler):
+            stage.setHandleInvalid("keep")  # fitted on complete rows; a missing input is NaN in the features
     return PipelineModel(stages=[*fitted.stages, assemble, cut])
 
 

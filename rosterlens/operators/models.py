@@ -41,12 +41,16 @@ def make_target(
     raise ValueError(f"unknown target kind for {spec.name}: {spec.kind}")
 
 
+class OneClass(ValueError):
+    """A classifier was to be fitted on rows of a single class."""
+
+
 def balanced_weights(df: DataFrame, label: str, out: str = WEIGHT) -> tuple[DataFrame, int]:
     """Weight n / (2 n_class) per row, and n; reads one row with the class counts."""
     n, ones = df.agg(F.count(label), F.sum(F.col(label).cast("long"))).first()
     ones = ones or 0
     if ones in (0, n):
-        raise ValueError(f"only one class in {label}")
+        raise OneClass(f"only one class in {label}")
     w = F.when(F.col(label) == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))
     return df.withColumn(out, w), n
 

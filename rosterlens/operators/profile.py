@@ -53,7 +53,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     spark = df.sparkSession
     long = one_row_per_column(df.agg(*aggs), rows)
     found = long.collect()  # one row per column
-    quartiles = exact_quantiles(df, cols, QUARTILES, n_values=found[0]["_rows"] * len(cols))
+    quartiles = exact_quantiles(df, cols, QUARTILES)
     q25, q50, q75 = (
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"q{int(p * 100)}") for p in QUARTILES
     )

@@ -1,26 +1,27 @@
 """Exact quantiles with linear interpolation, for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task.  That is right for small inputs
-and is used there.  Otherwise each wanted order statistic is boxed in by counting: split the value
-range of its group into bins, count rows per bin (partial sums, no rows move), keep the one bin that
-holds the wanted rank, and repeat inside it until few enough rows are left to sort.  Every pass is
-one scan with a small shuffle; the answer is exact.
+A quantile needs one or two order statistics of its group.  Each is searched in a box, at first the whole
+group: a sketch of the box's values gives two of its values that the wanted rank must lie between, exact
+counts below, at and between them tell whether it is one of the two or inside, and the inside is the next
+box, a few hundredths of the one before.  When a box has few rows these are sorted.  Edges are values of
+the data, so infinities, wide spreads and hot values need no special case.  A round is two scans with partial
+sums; no rows move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import number
 from ..functions.small_tables import join_pinned, pinned
 
-SMALL_TOTAL = 2_000_000  # values in all groups together that `percentile` may hold
-SORT_ROWS = 20_000  # rows of one bracket that may be sorted as one list
-BINS = 1024
-MAX_PASSES = 40
+SORT_ROWS = 20_000  # rows of one box that may be sorted as one list
+EDGES = 200  # parts that a sketch cuts a box into
+ACCURACY = 10_000  # of the sketch: ranks are off by a share of 1 / ACCURACY at most
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -37,128 +38,121 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    n_values: int | None = None,
-    small_total: int = SMALL_TOTAL,
     sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
-    """Long table (by..., column, prob, quantile); null groups are dropped, as are null values.
-
-    ``n_values`` (rows x columns) saves the counting pass if the caller knows it.
-    """
+    """Long table (by..., column, prob, quantile); null groups are dropped, as are null values."""
     for b in by:
         df = df.filter(F.col(b).isNotNull())
-    if n_values is None:
-        n_values = df.count() * len(cols)
-    if n_values <= small_total:
-        return _small(df, cols, probs, by)
-    return _boxed_in(long_values(df, cols, by), [*by, "column"], probs, sort_rows)
-
-
-def _grid(probs: Sequence[float]):
-    return F.array(*[F.lit(float(p)) for p in probs])
-
+    values = long_values(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pinned(_search(values, [*by, "column"], [float(p) for p in probs], sort_rows)[0])[0]
+    finally:
+        values.unpersist()
 
-def _small(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    wide = df.groupBy(*by).agg(
-        *[F.percentile(number(c), _grid(probs)).alias(f"_q{i}") for i, c in enumerate(cols)]
-    )
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(float(p)).alias("prob"),
-            F.col(f"_q{i}")[j].alias("quantile"),
-        )
-        for i, c in enumerate(cols)
-        for j, p in enumerate(probs)
-    ]
-    return wide.select(*by, F.inline(F.array(*rows))).filter(F.col("quantile").isNotNull())
 
+def _ranks(probs: Sequence[float]) -> list[Column]:
+    ends = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    return [f(e).cast("long") for e in ends for f in (F.floor, F.ceil)]
 
-_POSITION = "_prob * (_n - 1)"
 
+def _search(values: DataFrame, keys: list[str], probs: list[float], sort_rows: int) -> tuple[DataFrame, int]:
+    """The quantiles, and the number of rounds.
 
-def _boxed_in(values: DataFrame, keys: list[str], probs: Sequence[float], sort_rows: int) -> DataFrame:
-    """``values`` has the key columns and ``_v``."""
-    bounds = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    bounds, _ = pinned(bounds)
-    position = F.expr(_POSITION)
-    wanted = (
-        bounds.withColumn("_prob", F.explode(_grid(probs)))
-        .withColumn("_rank", F.explode(F.array(F.floor(position), F.ceil(position))))
-        .select(*keys, "_rank", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_n")
-        .distinct()
-    )
-    brackets, fits = pinned(wanted)
-    settled = (F.col("_lo") >= F.col("_hi")) | (F.col("_n") <= sort_rows)
-    for _ in range(MAX_PASSES):
-        still_open = brackets.filter(~settled)
-        if still_open.isEmpty():
-            break
-        narrowed = _narrow(values, keys, still_open, fits)
-        brackets, fits = pinned(narrowed.unionByName(brackets.filter(settled)))
-    stats = _order_statistics(values, keys, brackets, fits)
-    return _interpolate(bounds, stats, keys, probs)
-
-
-def _inside(values: DataFrame, keys: list[str], boxes: DataFrame, fits: bool) -> DataFrame:
-    """Rows within a box.  The boxes of a group are disjoint, so a row is in one of them at most."""
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    return join_pinned(values, boxes, fits, keys).filter(inside)
-
-
-def _narrow(values: DataFrame, keys: list[str], brackets: DataFrame, fits: bool) -> DataFrame:
-    """Each bracket cut down to the bin that holds its rank."""
-    box = [*keys, "_below"]
-    share = F.expr("(_v / 2 - _lo / 2) / (_hi / 2 - _lo / 2)")
-    bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-    counts = (
-        _inside(values, keys, brackets.select(*box, "_lo", "_hi").distinct(), fits)
-        .groupBy(*box, bin_.alias("_bin"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    upto = F.sum("_n").over(Window.partitionBy(*box).orderBy("_bin"))  # at most BINS rows
-    return (
-        counts.withColumn("_upto", upto)
-        .withColumn("_before", F.expr("_below + _upto - _n"))
-        .join(brackets.select(*box, "_rank"), box)
-        .filter("_rank >= _before and _rank < _before + _n")
-        .select(*keys, "_rank", "_lo", "_hi", F.col("_before").alias("_below"), "_n")
-    )
-
-
-def _order_statistics(values: DataFrame, keys: list[str], brackets: DataFrame, fits: bool) -> DataFrame:
-    known = brackets.filter("_lo >= _hi").select(*keys, "_rank", F.col("_lo").alias("_stat"))
-    # a bracket that is still open here holds at most sort_rows rows
-    box = [*keys, "_below"]
-    rest = brackets.filter("_lo < _hi")
-    place = F.expr("cast(_rank - _below + 1 as int)")
-    found = (
-        _inside(values, keys, rest.select(*box, "_lo", "_hi").distinct(), fits)
-        .groupBy(*box)
-        .agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
-        .join(rest.select(*box, "_rank"), box)
-        .select(*keys, "_rank", F.element_at("_vs", place).alias("_stat"))
+    A group's state is a row of arrays with an entry for each wanted rank: the box (_lo, _hi; ends are not
+    in it, null is no end), the rows below and in it, and the statistic once it is known.
+    """
+    slots = 2 * len(probs)
+    none = F.array(*[F.lit(None).cast("double")] * slots)
+    state = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    state = state.withColumn("_rank", F.array(*_ranks(probs))).withColumns(
+        {
+            "_lo": none,
+            "_hi": none,
+            "_below": F.array(*[F.lit(0).cast("long")] * slots),
+            "_in": F.array(*[F.col("_n")] * slots),
+            "_stat": none,
+        }
     )
-    return known.unionByName(found)
-
-
-def _interpolate(bounds: DataFrame, stats: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    # at most two ranks per probability in the map
-    ranked = F.map_from_entries(F.collect_list(F.struct("_rank", "_stat"))).alias("_ranked")
-    position = F.expr(_POSITION)
-    low = F.element_at("_ranked", F.floor(position))
-    high = F.element_at("_ranked", F.ceil(position))
-    return (
-        bounds.join(stats.groupBy(*keys).agg(ranked), keys)
-        .withColumn("_prob", F.explode(_grid(probs)))
-        .select(
-            *keys,
-            F.col("_prob").alias("prob"),
-            (low + (high - low) * (position - F.floor(position))).alias("quantile"),
+    rounds = 0
+    while True:
+        state, fits = pinned(state)
+        largest = state.agg(F.max(F.greatest(F.lit(0), *[F.when(_open(i), F.col("_in")[i]) for i in range(slots)]))).first()[0]
+        if (largest or 0) <= sort_rows:
+            return _quantiles(values, state, fits, keys, probs), rounds
+        if rounds and largest >= before:
+            raise RuntimeError(f"the search made no progress on a box of {largest} rows")
+        before, rounds = largest, rounds + 1
+        state = _narrowed(values, state, fits, keys, slots)
+
+
+def _open(i: int) -> Column:
+    return F.col("_stat")[i].isNull() & (F.col("_in")[i] > 0)
+
+
+def _inside(i: int) -> Column:
+    lo, hi = F.col("_lo")[i], F.col("_hi")[i]
+    return _open(i) & F.coalesce(F.col("_v") > lo, F.lit(True)) & F.coalesce(F.col("_v") < hi, F.lit(True))
+
+
+def _narrowed(values: DataFrame, state: DataFrame, fits: bool, keys: list[str], slots: int) -> DataFrame:
+    """The state after one round."""
+    grid = [i / EDGES for i in range(EDGES + 1)]
+    joined = join_pinned(values, state, fits, keys)
+    sketch = [F.percentile_approx(F.when(_inside(i), F.col("_v")), grid, ACCURACY).alias(f"_e{i}") for i in range(slots)]
+    edges = state.join(joined.groupBy(*keys).agg(*sketch), keys)
+    at = [(F.col("_rank")[i] - F.col("_below")[i] + 0.5) / F.greatest(F.col("_in")[i], F.lit(1)) * EDGES for i in range(slots)]
+    slack = 2.0 * EDGES / ACCURACY + 1
+    pick = lambda i, x: F.element_at(F.col(f"_e{i}"), F.greatest(F.lit(1), F.least(F.lit(EDGES + 1), x.cast("int") + 1)))
+    low = F.array(*[pick(i, F.floor(at[i] - slack)) for i in range(slots)])
+    high = F.array(*[pick(i, F.ceil(at[i] + slack)) for i in range(slots)])
+    cut, fits = pinned(edges.select(*state.columns, low.alias("_a"), high.alias("_b")))
+    joined = join_pinned(values, cut, fits, keys)
+    v, counts = F.col("_v"), []
+    for i in range(slots):
+        a, b = F.col("_a")[i], F.col("_b")[i]
+        tests = {"lt": v < a, "at": v == a, "mid": (v > a) & (v < b), "end": (v == b) & (a < b)}
+        counts += [F.count(F.when(t, 1)).alias(f"_{k}{i}") for k, t in tests.items()]
+    told = cut.join(joined.groupBy(*keys).agg(*counts), keys)
+    new: dict[str, list[Column]] = {c: [] for c in ("_lo", "_hi", "_below", "_in", "_stat")}
+    for i in range(slots):
+        rank, start = F.col("_rank")[i], F.col(f"_lt{i}")
+        middle = start + F.col(f"_at{i}")
+        end = middle + F.col(f"_mid{i}")
+        found = (
+            F.when((rank >= start) & (rank < middle), F.col("_a")[i]).when((rank >= end) & (rank < end + F.col(f"_end{i}")), F.col("_b")[i])
         )
-    )
+        kept = ~_open(i) | (rank < start) | (rank >= end)  # as it was: settled, or its box could not be cut
+        for c, value in (("_lo", F.col("_a")[i]), ("_hi", F.col("_b")[i]), ("_below", middle), ("_in", F.col(f"_mid{i}"))):
+            new[c].append(F.when(kept, F.col(c)[i]).otherwise(value))
+        new["_stat"].append(F.when(_open(i), found).otherwise(F.col("_stat")[i]))
+    return told.select(*keys, "_n", "_rank", *[F.array(*e).alias(c) for c, e in new.items()])
+
+
+def _quantiles(values: DataFrame, state: DataFrame, fits: bool, keys: list[str], probs: list[float]) -> DataFrame:
+    """Sort the rows of the boxes that are left, each of few rows, and interpolate."""
+    slots = range(2 * len(probs))
+    joined = join_pinned(values, state, fits, keys)
+    # ranks of one box share its list
+    first = [F.array_position(F.transform(F.arrays_zip("_lo", "_hi", "_below"), lambda z: z == F.arrays_zip("_lo", "_hi", "_below")[i]), True) == i + 1 for i in slots]
+    rows = [F.collect_list(F.when(_inside(i) & first[i], F.col("_v"))).alias(f"_l{i}") for i in slots]
+    lists = state.join(joined.groupBy(*keys).agg(*rows), keys)
+    for i in slots:
+        lists = lists.withColumn(f"_l{i}", F.sort_array(f"_l{i}"))
+    boxes = F.arrays_zip("_lo", "_hi", "_below")
+    every = F.array(*[F.col(f"_l{i}") for i in slots])
+    stats = []
+    for i in slots:
+        mine = F.element_at(every, F.array_position(F.transform(boxes, lambda z: z == boxes[i]), True).cast("int"))  # noqa: B023
+        place = (F.col("_rank")[i] - F.col("_below")[i] + 1).cast("int")
+        stats.append(F.coalesce(F.col("_stat")[i], F.try_element_at(mine, place)))
+    found = lists.select(*keys, "_n", F.array(*stats).alias("_s"))
+    out = []
+    for j, p in enumerate(probs):
+        low, high = F.col("_s")[2 * j], F.col("_s")[2 * j + 1]
+        position = F.lit(p) * (F.col("_n") - 1)
+        value = F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
+        out.append(F.struct(F.lit(p).alias("prob"), value.alias("quantile")))
+    return found.select(*keys, F.inline(F.array(*out)))
 
 
 def quantile(df: DataFrame, col: str, q: float) -> float | None:
@@ -167,6 +161,10 @@ def quantile(df: DataFrame, col: str, q: float) -> float | None:
     return None if row is None else row["quantile"]
 
 
+def _grid(probs: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(p)) for p in probs])
+
+
 def approximate_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 1000
 ) -> DataFrame:

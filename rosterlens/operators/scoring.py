@@ -22,8 +22,6 @@ from ..functions.columns import as_col, clip
 from ..schema import FeatureSpec
 from .features import FEATURES, category_levels, feature_names, scaling
 
-MAX_INLINE_TERMS = 60
-
 
 @dataclass(frozen=True)
 class LinearScore:
@@ -96,15 +94,6 @@ def linear_score(model: PipelineModel, spec: FeatureSpec) -> LinearScore:
     return LinearScore(float(fitted.intercept), numeric, levels, link)
 
 
-def scorer(model: PipelineModel, spec: FeatureSpec):
-    """The inline form for small linear models, the pipeline itself otherwise."""
-    fitted = model.stages[-1]
-    if isinstance(fitted, (LogisticRegressionModel, LinearRegressionModel)):
-        if len(fitted.coefficients) <= MAX_INLINE_TERMS:
-            return linear_score(model, spec)
-    return model
-
-
 def add_scores(
     df: DataFrame,
     models: Mapping[str, LinearScore | PipelineModel],
@@ -116,7 +105,8 @@ def add_scores(
 
     ``names`` maps model to output column (default: the model's own name).  ``inputs`` replaces
     input columns for this scoring only.  All models are scored in one pass over the rows; models
-    that share a preparation share its result.
+    that share a preparation share its result.  A row with a missing numeric input has no score, in
+    either form of a model.
     """
     names = names or {m: m for m in models}
     bounds = bounds or {}
@@ -143,7 +133,8 @@ def add_scores(
         else:
             y = F.col(fitted.getPredictionCol())
         visible.append(names[m])
-        at = scored.withColumn(names[m], _bounded(y, bounds.get(m))).select(*visible, FEATURES)
+        whole = ~F.exists(vector_to_array(F.col(FEATURES)), F.isnan)
+        at = scored.withColumn(names[m], F.when(whole, _bounded(y, bounds.get(m)))).select(*visible, FEATURES)
     restored = at.select(*visible)
     if changed:
         restored = restored.withColumns({c: F.col(f"_kept_{c}") for c in changed}).drop(*kept)

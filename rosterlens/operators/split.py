@@ -152,12 +152,3 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int | str = SEED) -> DataFra
 
     cut = _with_cuts(_one_stratum(df), key, ["_all"], seed, ranks, "inner")
     return cut.filter(F.col("_h") <= F.element_at("_cuts", 1)).drop("_h", "_cuts", "_all")
-
-
-def scenario_sample(
-    df: DataFrame, key: str, n: int = 1000, floor: int = 150, ceiling: int = 10_000, seed: int | str = SEED
-) -> DataFrame:
-    """Optional cap of a scenario: at most min(n, ceiling) records, no cap under ``floor`` records."""
-    size = df.count()
-    cap = min(n, ceiling, size)
-    return df if size < floor or size <= cap else sample_n(df, key, cap, seed)

@@ -14,7 +14,7 @@ from ..operators.clean import complete_cases, filter_equal
 from ..operators.explain import local_contributions
 from ..operators.profile import kpi_rates, observed_rate_by_group, one_row_per_column
 from ..operators.scoring import LinearScore, add_scores, linear_score
-from ..operators.split import scenario_sample
+from ..operators.split import sample_n
 from ..operators.units import (
     ScenarioSpec,
     before_after_report,
@@ -100,14 +100,18 @@ def unit_page(
 ) -> dict[str, DataFrame]:
     """Risk matrix of the units below a selection and the before/after table of a scenario.
 
-    ``sample`` limits the scenario to that many records; None uses them all.
+    ``sample`` limits the scenario to exactly that many records, if there are more; None uses them all.
+    ``shown`` says how many of how many were used.
     """
     rows = complete_cases(filter_equal(df, selection), feature_columns)
-    simulated = scenario_sample(rows, key, sample) if sample else rows
+    simulated = sample_n(rows, key, sample) if sample else rows
     inputs = scenario_inputs(rows, base, overrides, spec)
     return {
         "matrix": unit_risk_matrix(rows, unit, models, thresholds),
         "before_after": before_after_report(simulated, models, inputs),
+        "shown": rows.agg(F.count(F.lit(1)).alias("n_total")).withColumn(
+            "n_shown", F.least("n_total", F.lit(sample).cast("long"))
+        ),
     }
 
 

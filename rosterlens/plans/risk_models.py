@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -10,13 +11,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.caching import kept
+from ..functions.caching import at_once, kept
 from ..functions.small_tables import computed
 from ..operators.clean import complete_cases
 from ..operators.evaluate import best_threshold, class_report, confusion, roc_auc
 from ..operators.explain import logistic_drivers, logistic_sentences
 from ..operators.features import fit_preparation, prepare
-from ..operators.models import LABEL, fit_logistic, make_target, with_preparation
+from ..operators.models import LABEL, OneClass, fit_logistic, make_target, with_preparation
 from ..operators.profile import class_share
 from ..operators.scoring import apply_threshold, coefficient_table
 from ..operators.split import bucket_split, stratified_split
@@ -46,7 +47,7 @@ def train_risk_models(
     key: str = KEY,
     models_dir: str | None = None,
     reports_dir: str | None = None,
-    shared_preparation: bool = True,
+    shared_preparation: bool = False,
     tune_on: str = "test",
     fit_on: str = "all",
     max_iter: int = 1000,
@@ -54,8 +55,9 @@ def train_risk_models(
 ) -> dict[str, RiskResult]:
     """One classifier per target, each with its own stratified split.
 
-    ``shared_preparation`` fits scaling and encoding once on all complete cases, so the assembled
-    frame is cached once for all targets; False refits them on each target's train rows.
+    Scaling and encoding are fitted on each target's train rows; ``shared_preparation`` fits them once
+    on all complete cases, test rows included, so that the assembled frame is cached for all targets.
+    A target whose train rows are of one class is left out with a warning.
     ``tune_on`` picks the rows the threshold is tuned on, ``fit_on`` ("all" or "train") the rows a
     quantile label is cut on; "train" cuts it on the rows a label-free split would train on.
     """
@@ -65,8 +67,17 @@ def train_risk_models(
     results = {}
     prep = fit_preparation(clean, features) if shared_preparation else None
     with kept(prepare(prep, clean) if prep else clean) as base:
-        for name, spec in targets.items():
-            r = _train_one(base, prep, features, spec, key, tune_on, fit_on, max_iter, seed)
+
+        def one(spec: TargetSpec) -> RiskResult | None:
+            try:
+                return _train_one(base, prep, features, spec, key, tune_on, fit_on, max_iter, seed)
+            except OneClass as e:
+                warnings.warn(f"{spec.name}: {e}", stacklevel=2)
+                return None
+
+        for name, r in zip(targets, at_once(one, targets.values()), strict=True):
+            if r is None:
+                continue
             results[name] = r
             if models_dir:
                 save_model(r.model, models_dir, CLASSIFIER_PREFIX + name, features, r.threshold)

@@ -33,7 +33,6 @@ from ..sources.registry import save_model
 from ..sources.tables import save_drivers
 
 SCORE_FEATURES = {"soldier_readiness": READINESS_FEATURES, "retention_rate": RETENTION_FEATURES}
-ATTRIBUTION_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -105,10 +104,10 @@ def _one(kind, learner: Estimator, train, test, folded, k, features, target, key
 
 
 def forest_attribution(
-    rows: DataFrame, model: PipelineModel, features: FeatureSpec, key: str = KEY, n: int | None = ATTRIBUTION_ROWS
+    rows: DataFrame, model: PipelineModel, features: FeatureSpec, key: str = KEY, n: int | None = None
 ) -> tuple[DataFrame, DataFrame, float]:
     """(values per record and feature, mean absolute value per feature, expectation) for a stored
-    forest, on a seeded sample of ``n`` records or on all of them (``n=None``)."""
+    forest, on all records, or on a seeded sample of ``n`` if one is asked for."""
     prep, forest = model.stages
     sample = sample_n(rows, key, n) if n else rows
     values, expected = tree_attribution(prepare(prep, sample), key, forest, feature_names(prep, features))

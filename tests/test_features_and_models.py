@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.operators import features as P
 from rosterlens.operators import models as M
-from rosterlens.operators.scoring import LinearScore, add_scores, coefficient_table, linear_score, scorer
+from rosterlens.operators.scoring import LinearScore, add_scores, coefficient_table, linear_score
 from rosterlens.schema import FeatureSpec
 
 
@@ -96,9 +96,12 @@ def test_inline_score_equals_the_pipeline(logistic):
     spec, data, prep, _, fitted = logistic
     model = M.with_preparation(prep, fitted)
     inline = linear_score(model, spec)
-    assert isinstance(scorer(model, spec), LinearScore)
     both = add_scores(data, {"a": inline, "b": model}).select(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
     assert both < 1e-9
+    gaps = data.withColumns({"stress_score": F.lit(None).cast("double"), "rank": F.lit(None).cast("string")})
+    for frame, scored in ((gaps, 0), (data.withColumn("rank", F.lit(None).cast("string")), data.count())):
+        found = add_scores(frame, {"a": inline, "b": model})
+        assert [found.filter(F.col(c).isNotNull()).count() for c in "ab"] == [scored, scored]
     table = {r.feature: r.coef for r in coefficient_table(model, spec).collect()}
     assert list(table) == ["num__stress_score", "num__sleep_score", "cat__rank_E-5", "cat__rank_E-6"]
 

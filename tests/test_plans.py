@@ -48,10 +48,11 @@ def test_risk_models(spark, soldiers, stored):
 
 
 def test_separate_preparation_and_train_only_tuning(soldiers):
-    one = {"low": TargetSpec("low", "quantile", "soldier_readiness", q=0.25)}
-    r = risk_models.train_risk_models(
-        soldiers, SMALL, one, shared_preparation=False, tune_on="train", fit_on="train", max_iter=50
-    )["low"]
+    one = {"low": TargetSpec("low", "quantile", "soldier_readiness", q=0.25), "none": TargetSpec("none", "threshold", "soldier_readiness", cut=-1.0)}
+    with pytest.warns(UserWarning, match="only one class"):
+        both = risk_models.train_risk_models(soldiers, SMALL, one, tune_on="train", fit_on="train", max_iter=50)
+    assert set(both) == {"low"}
+    r = both["low"]
     assert r.auc > 0.6 and r.confusion.agg(F.sum("n")).first()[0] == 80
     with pytest.raises(ValueError):
         risk_models.train_risk_models(soldiers, SMALL, one, tune_on="x")

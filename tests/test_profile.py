@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlens.operators import charts, profile, screening
+from rosterlens.operators import charts, profile, quantiles, screening
 from rosterlens.operators.quantiles import approximate_quantiles, exact_quantiles, quantile
 
 
@@ -28,19 +28,19 @@ COLS = ["smooth", "skewed", "ties", "constant", "gaps"]
 PROBS = [0.0, 0.1, 0.25, 0.333, 0.5, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("small_total", [10**9, 0])
-def test_exact_quantiles_equal_pandas(numbers, small_total):
+@pytest.mark.parametrize("sort_rows", [10**9, 20])
+def test_exact_quantiles_equal_pandas(numbers, sort_rows):
     pdf, df = numbers
-    got = exact_quantiles(df, COLS, PROBS, small_total=small_total, sort_rows=20).collect()
+    got = exact_quantiles(df, COLS, PROBS, sort_rows=sort_rows).collect()
     assert len(got) == len(COLS) * len(PROBS)
     for r in got:
         assert r["quantile"] == pytest.approx(pdf[r["column"]].quantile(r["prob"]), rel=1e-12)
 
 
-@pytest.mark.parametrize("small_total", [10**9, 0])
-def test_exact_quantiles_by_group(numbers, small_total):
+@pytest.mark.parametrize("sort_rows", [10**9, 20])
+def test_exact_quantiles_by_group(numbers, sort_rows):
     pdf, df = numbers
-    got = exact_quantiles(df, ["gaps", "ties"], [0.25, 0.5], ["rank"], small_total=small_total, sort_rows=20).collect()
+    got = exact_quantiles(df, ["gaps", "ties"], [0.25, 0.5], ["rank"], sort_rows=sort_rows).collect()
     assert len(got) == 2 * 2 * pdf["rank"].nunique()
     for r in got:
         want = pdf.loc[pdf["rank"] == r["rank"], r["column"]].quantile(r["prob"])
@@ -153,10 +153,34 @@ def test_density_integrates_to_group_share(numbers):
     assert exact["density"][100] == pytest.approx(want)
 
 
+def test_quantiles_of_hard_values_in_few_rounds(spark):
+    r = np.random.default_rng(0)
+    sets = {
+        "endless": np.r_[r.normal(size=1990), np.full(10, np.inf)],
+        "wide": 10.0 ** r.uniform(-250, 250, 2000),
+        "hot": np.r_[np.full(1500, 3.0), r.normal(size=500)],
+        "below": np.r_[np.full(50, -np.inf), r.normal(size=1950)],
+    }
+    df = spark.createDataFrame(pd.DataFrame(sets))
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    found, rounds = quantiles._search(quantiles.long_values(df, list(sets)), ["column"], probs, 20)
+    assert 1 <= rounds <= 5
+    got = {(x["column"], x["prob"]): x["quantile"] for x in found.collect()}
+    for c, v in sets.items():
+        v = np.sort(v)
+        for p in probs:
+            at = p * (len(v) - 1)
+            low, high = v[int(np.floor(at))], v[int(np.ceil(at))]
+            assert got[c, p] == pytest.approx(low if low == high else low + (high - low) * (at - np.floor(at)), rel=1e-12)
+
+
 def test_pair_grid_says_how_much_it_shows(numbers):
     _, df = numbers
     keyed = df.withColumn("id", F.monotonically_increasing_id()).select("id", "smooth", "ties", "rank").persist()
-    points, curves = charts.pair_grid(keyed, "id", ["smooth", "ties", "zz"], "rank", 40)
+    points = charts.pair_points(keyed, "id", ["smooth", "ties", "zz"], "rank", 40)
+    curves = charts.pair_grid_diagonal(keyed, ["smooth", "ties", "zz"], "rank")
+    cells = charts.pair_grid(keyed, ["smooth", "ties"], "rank", 4)
+    assert {(r.x_name, r.n) for r in cells.groupBy("x_name").agg(F.sum("n").alias("n")).collect()} == {("smooth", 5000), ("ties", 5000)}
     assert points.count() == 2 * 40
     assert {(r.n_shown, r.n_total) for r in points.select("n_shown", "n_total").distinct().collect()} == {(40, 5000)}
     assert {r["column"] for r in curves.select("column").distinct().collect()} == {"smooth", "ties"}

@@ -58,10 +58,10 @@ def test_bucket_split_needs_no_exchange(people):
     assert 150 < cut.count() < 250
 
 
-def test_scenario_sample(people):
-    assert split.scenario_sample(people, "key", 300).count() == 300
-    assert split.scenario_sample(people.filter("id < 140"), "key", 20).count() == 140
-    assert split.scenario_sample(people, "key", 5000).count() == 1003
+def test_sample_is_exact_at_every_size(people):
+    assert split.sample_n(people, "key", 300).count() == 300
+    assert split.sample_n(people.filter("id < 140"), "key", 20).count() == 20
+    assert split.sample_n(people, "key", 5000).count() == 1003
 
 
 def test_labels_named_like_internal_columns(people):
