@@ -357,6 +357,22 @@ from (select c."column", prob, prob * (len(vs) - 1) as pos, vs[floor(prob * (len
 
 # --- tests and association
 
+oracle(
+    "welch_decision",
+    """
+select round(t, 6) as t, round(dof, 6) as dof, round(p2, 6) as p_two_sided,
+       round(case when t > 0 then p2 / 2 else 1 - p2 / 2 end, 6) as p_one_sided,
+       case when case when t > 0 then p2 / 2 else 1 - p2 / 2 end < 0.05 then 'Reject H0' else 'Fail to reject H0' end as decision
+from (select t, dof, 1 - 2 * sum(w * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi())
+                               * pow(1 + x * x / dof, -(dof + 1) / 2)) * step / 3 as p2
+      from (select *, abs(t) / 2000 as step, i * abs(t) / 2000 as x, case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end as w
+            from (select (mh - ml) / sqrt(vh / nh + vl / nl) as t,
+                         pow(vh / nh + vl / nl, 2) / (pow(vh / nh, 2) / (nh - 1) + pow(vl / nl, 2) / (nl - 1)) as dof
+                  from (select count(qty) filter (where trend = 'P') nh, avg(qty) filter (where trend = 'P') mh, var_samp(qty) filter (where trend = 'P') vh,
+                               count(qty) filter (where trend = 'F') nl, avg(qty) filter (where trend = 'F') ml, var_samp(qty) filter (where trend = 'F') vl
+                        from gappy)), range(2001) r(i))
+      group by t, dof, step)""",
+)
 oracle(
     "welch_test",
     """
@@ -785,6 +801,27 @@ select 'num__c_acctbal', round((cy2 * v1 - cy1 * c12) / (v1 * v2 - c12 * c12) *
               covar_pop(o_totalprice, qty) cy1, covar_pop(o_totalprice, c_acctbal) cy2 from cohort)""",
 )
 
+_slopes = """(cy1 * v2 - cy2 * c12) / (v1 * v2 - c12 * c12) as b1, (cy2 * v1 - cy1 * c12) / (v1 * v2 - c12 * c12) as b2"""
+_moments = """avg(o_totalprice) my, avg(qty) m1, avg(c_acctbal) m2, var_pop(qty) v1, var_pop(c_acctbal) v2,
+  covar_pop(qty, c_acctbal) c12, covar_pop(o_totalprice, qty) cy1, covar_pop(o_totalprice, c_acctbal) cy2"""
+oracle(
+    "fitted_linear_scores",
+    """
+select o_orderkey, round(my + b1 * (qty - m1) + b2 * (c_acctbal - m2), 2) as inline,
+       round(my + b1 * (qty - m1) + b2 * (c_acctbal - m2), 2) as piped from gappy, line""",
+    f"line as (select *, {_slopes} from (select {_moments} from cohort))",
+)
+oracle(
+    "cv_linear",
+    """
+select fold, count(*) as n, round(sqrt(avg(pow(y - p, 2))), 4) as rmse, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 4) as r2
+from (select f.fold, o_totalprice y, my + b1 * (qty - m1) + b2 * (c_acctbal - m2) p from folded f join lines l on l.left_out = f.fold)
+group by fold""",
+    f"folded as (select *, cast(ntile(5) over (order by {HASH}) - 1 as integer) as fold from cohort)",
+    f"""lines as (select *, {_slopes} from (select i as left_out, {_moments} from folded, range(5) r(i)
+                  where fold <> i group by i))""",
+)
+
 # --- screening
 
 oracle(
@@ -843,3 +880,5 @@ oracle(
     "zscore_scaled",
     "select o_orderkey, " + ", ".join(rnd(_z.format(c=c), c) for c in ("qty", "c_acctbal")) + " from cohort",
 )
+
+SQL["loaded_customers"] = "select c_custkey, c_name, c_mktsegment, c_acctbal from customer"

@@ -29,9 +29,10 @@ from rosterlens.operators.models import (
     make_target,
 )
 from rosterlens.operators.quantiles import exact_quantiles
-from rosterlens.operators.scoring import add_scores, apply_threshold, coefficient_table
+from rosterlens.operators.scoring import add_scores, apply_threshold, coefficient_table, linear_score
 from rosterlens.plans.risk_models import train_risk_models
 from rosterlens.schema import FeatureSpec, TargetSpec
+from rosterlens.sources.tables import load_table
 
 from .cohort import (
     CATEGORICAL,
@@ -295,6 +296,14 @@ def welch_test(df):
     return rounded(association.welch_stats(gappy(df), "trend", "qty", "P", "F"), 4)
 
 
+@query
+def welch_decision(df):
+    r = association.welch_test(gappy(df), "trend", "qty", "P", "F")
+    row = (r.t, r.dof, r.p_two_sided, r.p_one_sided, r.decision)
+    found = df.sparkSession.createDataFrame([row], "t double, dof double, p_two_sided double, p_one_sided double, decision string")
+    return rounded(found)
+
+
 @query
 def cramers_v(df):
     pairs = [("rank", "mos"), ("returned", "low_flag"), ("brigade_level", "division_level")]
@@ -541,8 +550,10 @@ def threshold_sweep(df):
 
 @query
 def best_threshold(df):
-    sweep = evaluate.threshold_sweep(_scored(df), "returned", "p")
-    return rounded(sweep.orderBy(F.desc("f1"), "threshold").limit(1).select("threshold", "f1"))
+    scored = _scored(df)
+    best = evaluate.best_threshold(scored, "returned", "p")
+    sweep = evaluate.threshold_sweep(scored, "returned", "p", [best])
+    return rounded(sweep.select("threshold", "f1"))
 
 
 @query
@@ -583,6 +594,24 @@ def fit_linear(df):
     return rounded(coefs, 2)
 
 
+@query
+def fitted_linear_scores(df):
+    """Scores of a fitted model in both forms; rows with a missing input have none."""
+    spec = FeatureSpec(("qty", "c_acctbal"), ())
+    with kept(df.select("o_totalprice", *spec.columns)) as rows:
+        model = fit_regressor(rows, spec, linear_learner("o_totalprice"))
+    both = add_scores(gappy(df).select(KEY, *spec.columns), {"inline": linear_score(model, spec), "piped": model})
+    return rounded(both.select(KEY, "inline", "piped"), 2)
+
+
+@query
+def cv_linear(df):
+    """Fold scores of a linear model on two inputs."""
+    spec = FeatureSpec(("qty", "c_acctbal"), ())
+    folded = split.assign_folds(df.select(KEY, "o_totalprice", *spec.columns), KEY, 5)
+    return rounded(evaluate.cross_validate(folded, spec, linear_learner("o_totalprice"), "o_totalprice", "fold", 5), 4)
+
+
 @query
 def fit_logistic(df):
     targets = {
@@ -694,3 +723,11 @@ def kmeans_groups(df):
     with kept(df.select(KEY, *FEATURES.columns)) as data:
         grouped = screening.fit_groups(data, FEATURES, 4, components=3).transform(data)
         return computed(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")))
+
+
+def loaded_customers(spark, sf_dir):
+    """A table through the loader, by its extension."""
+    return load_table(spark, f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+
+
+QUERIES["loaded_customers"] = loaded_customers
