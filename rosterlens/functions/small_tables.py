@@ -1,7 +1,7 @@
 """Joining a table that is expected to be small, without trusting that it is.
 
 Statistics tables (one row per group, stratum or bin) are usually tiny but their size depends on the
-data.  ``attach`` looks before it broadcasts and has a salted shuffle join for the other case.
+data.  ``attach`` looks at rows and bytes before it broadcasts and has a salted shuffle join for the other case.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -36,11 +37,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Compute ``df`` once.  Returns (frame, whether it has at most ``max_rows`` rows)."""
+def _bytes(value) -> int:
+    """About the size of a value of a row; text and lists count by length."""
+    if isinstance(value, (str, bytes, bytearray)):
+        return len(value)
+    return sum(map(_bytes, value)) if isinstance(value, (tuple, list)) else 8
+
+
+def pinned(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, bool]:
+    """Compute ``df`` once.  Returns (frame, whether it is within ``max_rows`` and ``max_bytes``)."""
     # coalesced, so that the limit is one job and not a series of growing attempts
     rows = df.limit(max_rows + 1).coalesce(1).collect()
-    if len(rows) <= max_rows:
+    if len(rows) <= max_rows and sum(map(_bytes, rows)) <= max_bytes:
         return df.sparkSession.createDataFrame(rows, df.schema), True
     return cut_lineage(df), False
 

@@ -1,51 +1,74 @@
 """Reproducible splits, folds and samples without sorting or grouping the rows.
 
 Records are ordered by a seeded hash of their key.  "The k records with the lowest hash" then only
-needs the k-th lowest hash: count rows per hash prefix, find the prefix in which the k-th row lies,
-rank the few rows of that prefix, and compare every row with the cut.  The split itself is a filter:
-no row moves, whatever the size of a class.  Keys must be unique.
+needs the k-th lowest hash: count rows per hash prefix, find the prefix in which the k-th row lies, go
+on with longer prefixes inside it while it holds many rows, rank the few that are left, and compare
+every row with the cut.  The split itself is a filter: no row moves, whatever the size of a class.
+Keys must be unique.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.small_tables import attach
+from ..functions.small_tables import attach, computed, join_pinned, pinned
 from ..schema import FOLDS, SEED, TEST_SHARE
 from .clean import seeded_hash
 
-PREFIX = 4  # hex digits: 65,536 about equal buckets per stratum
+PREFIX = 4  # hex digits a round: 65,536 about equal buckets in what is left
+HASH_DIGITS = 32
+RANKED_ROWS = 100_000  # rows of one bucket that are ranked in one task
 
 
 def hash_cuts(
-    df: DataFrame, key: str, by: Sequence[str], seed: int | str, ranks: Callable[[DataFrame], DataFrame]
+    hashed: DataFrame,
+    by: Sequence[str],
+    ranks: Callable[[DataFrame], DataFrame],
+    prefix: int = PREFIX,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
-    """The hash at each wanted rank: (by..., _cut).
+    """The hash at each wanted rank: (by..., _cut), from rows of (by..., _h).
 
     ``ranks`` turns the stratum sizes (by..., _n) into the wanted ranks (by..., _rank), from 1.
-    Sizes are summed from the bucket counts, so finding the buckets reads the rows once.
+    Sizes are summed from the bucket counts, so finding the buckets reads the rows once.  ``hashed`` is
+    read once more for every further round, and once to rank.
     """
     by = list(by)
-    hashed = df.select(*by, seeded_hash(key, seed).alias("_h")).withColumn(
-        "_bucket", F.substring("_h", 1, PREFIX)
-    )
-    buckets = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wanted_ranks = ranks(buckets.groupBy(*by).agg(F.sum("_n").alias("_n")))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket"))  # at most 65,536 rows
-    wanted = (
-        buckets.withColumn("_upto", upto)
-        .join(wanted_ranks, by)
-        .withColumn("_place", F.expr("_rank - (_upto - _n)"))
-        .filter("_place between 1 and _n")
-        .select(*by, "_bucket", "_rank", "_place")
-    )
-    # one bucket holds about n / 65,536 rows
+    digits, wanted = prefix, None
+    while True:
+        inside = hashed
+        if wanted is not None:
+            before = wanted.select(*by, "_bucket").distinct().withColumnRenamed("_bucket", "_in")
+            inside = attach(hashed.withColumn("_in", F.substring("_h", 1, digits - prefix)), before, [*by, "_in"])
+        else:
+            inside = inside.withColumn("_in", F.lit(""))
+        buckets = (
+            inside.groupBy(*by, "_in", F.substring("_h", 1, digits).alias("_bucket"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_in").orderBy("_bucket")))  # few buckets
+        )
+        if wanted is None:
+            sizes = ranks(buckets.groupBy(*by).agg(F.sum("_n").alias("_n")))
+            old = sizes.select(*by, F.lit("").alias("_in"), "_rank", F.col("_rank").alias("_at"))
+        else:
+            old = wanted.select(*by, F.col("_bucket").alias("_in"), "_rank", F.col("_place").alias("_at"))
+        found = (
+            buckets.join(old, [*by, "_in"])
+            .withColumn("_place", F.expr("_at - (_upto - _n)"))
+            .filter("_place between 1 and _n")
+        )
+        wanted = computed(found.select(*by, "_bucket", "_rank", "_place", "_n"))  # a row for each rank
+        most = wanted.agg(F.max("_n")).first()[0] or 0
+        if most <= ranked_rows or digits >= HASH_DIGITS:
+            break
+        digits += prefix
     row = F.row_number().over(Window.partitionBy(*by, "_bucket", "_rank").orderBy("_h"))
     return (
-        attach(hashed, wanted, [*by, "_bucket"])
+        attach(hashed.withColumn("_bucket", F.substring("_h", 1, digits)), wanted.drop("_n"), [*by, "_bucket"])
         .withColumn("_row", row)
         .filter("_row = _place")
         .select(*by, F.col("_h").alias("_cut"))
@@ -60,10 +83,17 @@ def _with_cuts(
     ranks: Callable[[DataFrame], DataFrame],
     how: str = "left",
 ) -> DataFrame:
-    """Rows with their hash ``_h`` and the sorted hash cuts ``_cuts`` of their stratum."""
-    cuts = hash_cuts(df, key, by, seed, ranks)
-    per_stratum = cuts.groupBy(*by).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))  # few ranks
-    return attach(df.withColumn("_h", seeded_hash(key, seed)), per_stratum, by, how)
+    """Rows with their hash ``_h`` and the sorted hash cuts ``_cuts`` of their stratum.
+
+    The input is evaluated once for its strata and hashes, which are kept meanwhile, and once for the rows.
+    """
+    hashed = df.select(*by, seeded_hash(key, seed).alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cuts = hash_cuts(hashed, by, ranks)
+        per_stratum = pinned(cuts.groupBy(*by).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")))  # few ranks
+    finally:
+        hashed.unpersist()
+    return join_pinned(df.withColumn("_h", seeded_hash(key, seed)), *per_stratum, by, how)
 
 
 def _one_stratum(df: DataFrame) -> DataFrame:

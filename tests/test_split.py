@@ -43,6 +43,29 @@ def test_split_takes_the_lowest_hashes(people):
     assert [folds[k] for k in order] == [i for i, s in enumerate(sizes) for _ in range(s)]
 
 
+def test_narrowing_in_many_rounds(people):
+    order = [r.h for r in people.select(seeded_hash("key").alias("h")).orderBy("h").collect()]
+    hashed = people.select("y", seeded_hash("key").alias("_h"))
+    ranks = lambda sizes: sizes.select("y", F.explode(F.array(F.lit(1), F.lit(100), F.col("_n"))).alias("_rank"))
+    own = {y: [r.h for r in people.filter(F.col("y") == y).select(seeded_hash("key").alias("h")).orderBy("h").collect()] for y in (0, 1)}
+    for ranked_rows in (1, 3, 1000):
+        cuts = split.hash_cuts(hashed, ["y"], ranks, prefix=1, ranked_rows=ranked_rows).collect()
+        assert sorted((r.y, r._cut) for r in cuts) == sorted((y, h[i]) for y, h in own.items() for i in (0, 99, len(h) - 1))
+    assert sorted(own[0] + own[1]) == order
+
+
+def test_input_is_evaluated_once_besides_the_filter(spark, people):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(row):
+        seen.add(1)
+        return row
+
+    watched = spark.createDataFrame(people.rdd.map(look), people.schema)
+    assert split.stratified_split(watched, "key", "y").filter("is_test").count() == 201
+    assert seen.value == 2 * 1003
+
+
 def test_small_and_empty_inputs(people):
     two = people.filter("id < 2")
     assert split.random_split(two, "key").filter("is_test").count() == 1
@@ -69,6 +92,11 @@ def test_labels_named_like_internal_columns(people):
     assert split.stratified_split(odd, "key", "rank").filter("is_test").count() == 201
 
 
+def test_long_text_is_not_broadcast(people):
+    few = people.limit(3).select("key", F.repeat("key", 1000).alias("long"))
+    assert small_tables.pinned(few)[1] and not small_tables.pinned(few, max_bytes=5000)[1]
+
+
 def test_attach_beyond_the_broadcast_bound(people):
     small = people.groupBy("y").agg(F.count(F.lit(1)).alias("size"))
     a = small_tables.attach(people, small, ["y"]).orderBy("id").collect()
