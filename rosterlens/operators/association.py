@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import number, present, text_is
+from ..functions.small_tables import attach, cut_lineage
 from ..functions.student_t import chi2_tail_p, f_tail_p, two_sided_p
 
 
@@ -99,11 +100,11 @@ def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     four |O - E| are equal and sum 1/E = n * (sum 1/R) * (sum 1/C).
     """
     n = F.col("n")
-    cells = _cells(df, pairs)
+    cells = cut_lineage(_cells(df, pairs))
     row_sums = cells.groupBy("a", "b", "x").agg(F.sum("n").alias("R"))
     column_sums = cells.groupBy("a", "b", "y").agg(F.sum("n").alias("C"))
-    # joined, not windowed: the row of a two-level column may have very many cells
-    filled = cells.join(row_sums, ["a", "b", "x"]).join(column_sums, ["a", "b", "y"])
+    # attached, not windowed or dealt by row: the row of a two-level column may have very many cells
+    filled = attach(attach(cells, row_sums, ["a", "b", "x"]), column_sums, ["a", "b", "y"])
     table = filled.groupBy("a", "b").agg(
         F.sum("n").alias("n"),
         F.round(F.sum(n / F.col("R"))).cast("long").alias("r"),  # each row adds 1

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ..schema import FeatureSpec
 
 FEATURES = "features"
+#: Levels that a categorical feature may have: all of them are held by the driver and in every vector.
+MAX_LEVELS = 10_000
 _NUM, _SCALED, _STD, _ALL = "_num", "_scaled", "_std", "_all_features"
 
 
@@ -38,10 +40,17 @@ def _hot(c: str) -> str:
 
 
 def fit_preparation(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
-    """Fit on complete cases.  Output: one ``features`` vector, numerics first."""
+    """Fit on complete cases.  Output: one ``features`` vector, numerics first.
+
+    A categorical column of (about) more than ``MAX_LEVELS`` levels is an error.
+    """
     stages, parts, keep = [], [], []
+    cats = list(spec.categorical)
+    n, *levels = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(c) for c in cats]).first()
+    wide = [c for c, k in zip(cats, levels, strict=True) if k > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"too many levels for a categorical feature: {', '.join(wide)}")
     if spec.numeric:
-        n = df.count()
         # the scaler divides by the sample std; this factor turns it into the population one
         factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
         stages += [
@@ -51,7 +60,6 @@ def fit_preparation(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
         ]
         parts.append(_STD)
         keep += range(len(spec.numeric))
-    cats = list(spec.categorical)
     if cats:
         stages += [
             StringIndexer(

@@ -53,6 +53,13 @@ def test_one_level_category_adds_no_column(spark):
     assert P.feature_names(P.fit_preparation(df, spec), spec) == ["num__n"]
 
 
+def test_too_many_levels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_LEVELS", 50)
+    df = spark.range(200).select("id", F.col("id").cast("string").alias("x"))
+    with pytest.raises(ValueError, match="too many levels.*x"):
+        P.fit_preparation(df, FeatureSpec((), ("x",)))
+
+
 def test_ordinal(spark):
     df = spark.createDataFrame([("CL0",), ("CL2",), ("?",), (None,)], "x string")
     assert [r.o for r in P.ordinal(df, "x", ["CL0", "CL1", "CL2"], "o").collect()] == [0, 2, None, None]
