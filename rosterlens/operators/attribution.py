@@ -1,13 +1,14 @@
 """Shapley values of forest predictions, per record and feature.
 
-Spark hands the rows to ``mapInPandas`` in Arrow batches; each task holds the model's leaves (the
-same data MLlib broadcasts to predict).  A leaf is described by the features on its path: the value
-interval that leads to it and the share of training rows that does.
+Spark hands the rows to ``mapInPandas`` in Arrow batches.  A leaf is described by the features on its path:
+the value interval that leads to it and the share of training rows that does.  Leaves come in blocks of a
+bounded size, and values add up over blocks, so neither the driver nor a task ever holds a large forest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from math import factorial
 from typing import NamedTuple
 
@@ -18,10 +19,14 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.small_tables import shared_dir
+from ..functions.small_tables import cut_lineage, shared_dir
 from .features import FEATURES
 
 
+#: Tree nodes that are read at a time, unless one tree has more, and leaves that are given to tasks at a time.
+BLOCK_NODES, BLOCK_LEAVES = 200_000, 50_000
+
+
 class Leaf(NamedTuple):
     value: float  # prediction / number of trees
     share: float  # training rows reaching the leaf / training rows of the tree
@@ -31,8 +36,8 @@ class Leaf(NamedTuple):
     cover: np.ndarray  # share of rows that pass this feature's splits on the path
 
 
-def leaves(model: RandomForestRegressionModel) -> list[Leaf]:
-    """All leaves of a forest, from the node table of its saved form."""
+def leaves(model: RandomForestRegressionModel, block_nodes: int = BLOCK_NODES) -> Iterator[Leaf]:
+    """The leaves of a forest tree by tree, from the node table of its saved form."""
     spark = SparkSession.getActiveSession()
     path = f"{shared_dir(spark).rstrip('/')}/forest-{model.uid}"
     model.write().overwrite().save(path)
@@ -47,10 +52,21 @@ def leaves(model: RandomForestRegressionModel) -> list[Leaf]:
         F.col("nodeData.split.leftCategoriesOrThreshold").alias("left"),
         F.col("nodeData.split.numCategories").alias("categories"),
     )
-    table = {(n["treeID"], n["id"]): n for n in nodes.collect()}  # a model fits the driver
     n_trees = model.getNumTrees
-    out = []
-    for tree in range(n_trees):
+    sizes = dict(nodes.groupBy("treeID").count().collect())  # a row a tree
+    first = 0
+    while first < n_trees:
+        last, size = first + 1, sizes[first]
+        while last < n_trees and size + sizes[last] <= block_nodes:
+            size += sizes[last]
+            last += 1
+        some = nodes.filter(F.col("treeID").between(first, last - 1)).collect()
+        yield from _leaves_of({(n["treeID"], n["id"]): n for n in some}, range(first, last), n_trees)
+        first = last
+
+
+def _leaves_of(table: dict, trees: range, n_trees: int) -> Iterator[Leaf]:
+    for tree in trees:
         root = table[tree, 0]
         todo = [(root, {})]
         while todo:
@@ -59,7 +75,7 @@ def leaves(model: RandomForestRegressionModel) -> list[Leaf]:
                 feats = sorted(path_)
                 low, high, cover = (np.array([path_[f][i] for f in feats]) for i in range(3))
                 share = node["rawCount"] / root["rawCount"]
-                out.append(Leaf(node["prediction"] / n_trees, share, np.array(feats, int), low, high, cover))
+                yield Leaf(node["prediction"] / n_trees, share, np.array(feats, int), low, high, cover)
                 continue
             cut, low_goes_left = _cut(node)
             f = node["feature"]
@@ -72,7 +88,6 @@ def leaves(model: RandomForestRegressionModel) -> list[Leaf]:
                     low = max(low, cut)
                 cover *= child["rawCount"] / node["rawCount"]
                 todo.append((child, {**path_, f: (low, high, cover)}))
-    return out
 
 
 def _cut(node) -> tuple[float, bool]:
@@ -120,35 +135,50 @@ def make_shapley():
     return shapley
 
 
-def expectation(forest: list[Leaf]) -> float:
-    return float(sum(leaf.value * leaf.share for leaf in forest))
+def with_block(rows: DataFrame, key: str, block: list[Leaf]) -> DataFrame:
+    """Rows of (key, x, phi) with the values of some leaves added to ``phi``."""
+    shipped = rows.sparkSession.sparkContext.broadcast([tuple(leaf) for leaf in block])
+    shapley = make_shapley()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, phi = (np.stack(batch[c].to_numpy()) for c in ("x", "phi"))
+                batch["phi"] = list(phi + shapley(shipped.value, x))
+                yield batch
+
+    return rows.mapInPandas(run, rows.schema)
 
 
 def tree_attribution(
-    prepared: DataFrame, key: str, model: RandomForestRegressionModel, names: list[str]
+    prepared: DataFrame,
+    key: str,
+    model: RandomForestRegressionModel,
+    names: list[str],
+    block_nodes: int = BLOCK_NODES,
+    block_leaves: int = BLOCK_LEAVES,
 ) -> tuple[DataFrame, float]:
     """((key, feature, value) for every row and feature, expectation of the model).
 
-    For every row, values + expectation = prediction.
+    For every row, values + expectation = prediction.  A model of more than one block is passed block by
+    block, with the sums so far in the shared folder.
     """
-    forest = leaves(model)
-    shipped = prepared.sparkSession.sparkContext.broadcast([tuple(leaf) for leaf in forest])
-    shapley = make_shapley()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                yield pd.DataFrame({key: batch[key], "phi": list(shapley(shipped.value, x))})
-
-    rows = prepared.select(F.col(key), vector_to_array(FEATURES).alias("x"))
-    kind = dict(prepared.dtypes)[key]
-    values = rows.mapInPandas(run, f"`{key}` {kind}, phi array<double>")
+    zeros = F.array_repeat(F.lit(0.0), len(names))
+    rows = prepared.select(F.col(key), vector_to_array(FEATURES).alias("x"), zeros.alias("phi"))
+    expected = 0.0
+    forest = leaves(model, block_nodes)
+    block = list(islice(forest, block_leaves))
+    while block:
+        expected += sum(float(leaf.value * leaf.share) for leaf in block)
+        rows = with_block(rows, key, block)
+        block = list(islice(forest, block_leaves))
+        if block:
+            rows = cut_lineage(rows)
     labels = F.array(*[F.lit(n) for n in names])
-    long = values.select(key, F.posexplode("phi").alias("i", "value")).select(
+    long = rows.select(key, F.posexplode("phi").alias("i", "value")).select(
         key, F.element_at(labels, F.col("i") + 1).alias("feature"), "value"
     )
-    return long, expectation(forest)
+    return long, expected
 
 
 def attribution_summary(values: DataFrame) -> DataFrame:

@@ -147,6 +147,10 @@ def test_attribution_sums_to_the_prediction(forest):
     both = rf.transform(prepared).join(total, "soldier_id")
     worst = both.select(F.max(F.abs(F.col("v") + expected - F.col("prediction")))).first()[0]
     assert both.count() == 400 and worst < 1e-9
+    blocks, same = T.tree_attribution(prepared, "soldier_id", rf, P.feature_names(prep, spec), block_nodes=60, block_leaves=50)
+    assert same == pytest.approx(expected)
+    gap = blocks.join(values.withColumnRenamed("value", "whole"), ["soldier_id", "feature"])
+    assert gap.count() == values.count() and gap.select(F.max(F.abs(F.col("value") - F.col("whole")))).first()[0] < 1e-9
     summary = T.attribution_summary(values).collect()
     assert len(summary) == len(P.feature_names(prep, spec)) and summary[0].mean_abs_value >= summary[-1].mean_abs_value
 
@@ -157,7 +161,7 @@ def test_attribution_equals_the_definition(forest):
 
     spec, data, model = forest
     prep, rf = model.stages
-    leaves = T.leaves(rf)
+    leaves = list(T.leaves(rf))
     x = np.array([r.v for r in P.prepare(prep, data).limit(3).select(vector_to_array("features").alias("v")).collect()])
     d = x.shape[1]
 
