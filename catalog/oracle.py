@@ -373,6 +373,29 @@ from (select t, dof, 1 - 2 * sum(w * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)
                         from gappy)), range(2001) r(i))
       group by t, dof, step)""",
 )
+oracle(
+    "chi_square_p",
+    """
+select round(x, 6) as chi2, dof, round(1 - sum(w * case when i = 0 then 0 else exp((dof / 2.0 - 1) * ln(x * i / 4000) - x * i / 8000
+         - lgamma(dof / 2.0)) / pow(2, dof / 2.0) end) * x / 12000, 6) as p
+from (select n * (sum(o * o / (r * c)) - 1) as x, ((count(distinct "rank") - 1) * (count(distinct trend) - 1))::bigint as dof
+      from (select "rank", trend, o::double o, sum(o) over (partition by "rank")::double r, sum(o) over (partition by trend)::double c, sum(o) over ()::double n
+            from (select "rank", trend, count(*) o from cohort group by "rank", trend)) group by n),
+     (select i, case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end as w from range(4001) r(i))
+group by x, dof""",
+)
+oracle(
+    "anova_p",
+    """
+select round(f, 6) as f, round(1 - sum(w * 2 * pow(sqrt(f) * i / 4000, d1 - 1) * exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)
+         + d1 / 2 * ln(d1 / d2) - (d1 + d2) / 2 * ln(1 + d1 / d2 * f * pow(i / 4000, 2)))) * sqrt(f) / 12000, 6) as p
+from (select d1, d2, (b / d1) / (v / d2) as f from (
+        select count(*) - 1.0::double as d1, sum(n) - count(*)::double as d2, sum(n * pow(m - grand, 2)) as b, sum(n * v) as v
+        from (select count(qty) n, avg(qty) m, var_pop(qty) v, (select avg(qty) from gappy where mos is not null) grand
+              from gappy where mos is not null and qty is not null group by mos))),
+     (select i::double i, case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end as w from range(4001) r(i))
+group by f""",
+)
 oracle(
     "welch_test",
     """
@@ -822,8 +845,94 @@ group by fold""",
                   where fold <> i group by i))""",
 )
 
+oracle(
+    "fitted_drivers",
+    """
+select feature_clean, round(coef, 2) as coef
+from (select 'qty' as feature_clean, b1 * sqrt(v1) as coef from line union all select 'c_acctbal', b2 * sqrt(v2) from line), range(2)""",
+    f"line as (select *, {_slopes} from (select {_moments} from cohort))",
+)
+
+# Newton's method; the weights of the classes sum to the number of rows, the penalty is half the squared slope
+_steps = ["x as (select (qty - avg(qty) over ()) / stddev_pop(qty) over () as x, returned as y,"
+          " count(*) over () / (2.0 * count(*) over (partition by returned)) as w from cohort)",
+          "t0 as (select 0.0::double as a, 0.0::double as b)"]
+_steps += [
+    f"""t{i} as (select a - (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01) as a, b - (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01) as b
+  from (select a, b, sum(w * (p - y)) g0, sum(w * (p - y) * x) + b g1, sum(w * p * (1 - p)) h00, sum(w * p * (1 - p) * x) h01,
+               sum(w * p * (1 - p) * x * x) + 1 h11 from (select *, 1 / (1 + exp(-a - b * x)) p from x, t{i - 1}) group by a, b))"""
+    for i in range(1, 10)
+]
+oracle("logistic_coefficients", "select round(b, 3) as coef, round(a, 3) as intercept from t9", *_steps)
+
+
+def stump(name: str, cells: str) -> tuple[str, ...]:
+    """The best split of cells (n_lines, returned, n, s): one row of feature f, cut c and the means ml and mr."""
+    return (
+        f"""{name}_long as (select 'n_lines' f, n_lines::double v, n::double n, s from {cells}
+  union all select 'returned', returned, n, s from {cells})""",
+        f"""{name}_gains as (select f, c, sum(s) filter (where v <= c) sl, sum(n) filter (where v <= c) nl,
+    sum(s) filter (where v > c) sr, sum(n) filter (where v > c) nr
+  from {name}_long join (select distinct f, v c from {name}_long) using (f) group by f, c)""",
+        f"""{name} as (select f, c, sl / nl ml, sr / nr mr from {name}_gains where nr is not null
+  order by sl * sl / nl + sr * sr / nr desc limit 1)""",
+    )
+
+
+def by_stump(name: str) -> str:
+    """What the stump says, where it is joined."""
+    return f"case when case {name}.f when 'n_lines' then n_lines else returned end <= {name}.c then {name}.ml else {name}.mr end"
+
+
+_cells = "cells as (select n_lines, returned, count(*) n, sum(qty) s from cohort group by n_lines, returned)"
+oracle(
+    "forest_stump",
+    f"select n_lines, returned, n, round({by_stump('one')}, 6) as prediction from cells, one",
+    _cells,
+    *stump("one", "cells"),
+)
+oracle(
+    "boosted_stumps",
+    f"select n_lines, returned, n, round(p + 0.5 * {by_stump('two')}, 6) as prediction from again, two",
+    _cells,
+    *stump("one", "cells"),
+    f"again as (select n_lines, returned, n, p, s - n * p as s from (select *, {by_stump('one')} p from cells, one))",
+    *stump("two", "again"),
+)
+oracle(
+    "stump_importance",
+    """select 'num__' || x.f as feature, case when x.f = one.f then 1.0::double else 0.0::double end as importance
+from (select distinct f from one_long) x, one""",
+    _cells,
+    *stump("one", "cells"),
+)
+oracle(
+    "stump_attribution",
+    f"""select o_orderkey, 'num__' || x.f as feature,
+  round(case when x.f = one.f then {by_stump('one')} - (select avg(qty) from cohort) else 0.0::double end, 6) as value
+from cohort, one, (select distinct f from one_long) x""",
+    _cells,
+    *stump("one", "cells"),
+)
+oracle("attribution_adds_up", "select count(*) as n, 0::bigint as wrong from cohort")
+oracle(
+    "cv_stump",
+    """
+select fold, sum(n)::bigint as n, round(sqrt(sum(q - 2 * p * s + n * p * p) / sum(n)), 6) as rmse,
+       round(1 - sum(q - 2 * p * s + n * p * p) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) as r2
+from (select f.*, case when v <= c then ml else mr end p from f join best on best.i = f.fold) group by fold""",
+    f"folded as (select *, cast(ntile(5) over (order by {HASH}) - 1 as integer) as fold from cohort)",
+    "f as (select fold, n_lines v, count(*)::double n, sum(qty) s, sum(qty * qty) q from folded group by fold, n_lines)",
+    """g as (select i, c, sum(s) filter (where v <= c) sl, sum(n) filter (where v <= c) nl, sum(s) filter (where v > c) sr,
+         sum(n) filter (where v > c) nr from f, range(5) r(i), (select distinct v c from f) where fold <> i group by i, c)""",
+    """best as (select i, c, sl / nl ml, sr / nr mr from g where nr is not null
+  qualify row_number() over (partition by i order by sl * sl / nl + sr * sr / nr desc) = 1)""",
+)
+
 # --- screening
 
+oracle("kmeans_stable", "select count(*) as n, 0::bigint as strays, 0::bigint as moved from cohort")
+
 oracle(
     "ordinal_levels",
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from rosterlens.operators import (
     clean,
     evaluate,
     explain,
+    models,
     profile,
     screening,
     split,
@@ -331,6 +333,18 @@ def anova(df):
     return rounded(association.anova_stats(gappy(df), "mos", "qty").select("groups", "n", "f"))
 
 
+@query
+def chi_square_p(df):
+    found = association.chi_square_test(df, "rank", "trend")
+    return rounded(df.sparkSession.createDataFrame([found], "chi2 double, dof long, p double"))
+
+
+@query
+def anova_p(df):
+    found = association.anova_test(gappy(df), "mos", "qty")
+    return rounded(df.sparkSession.createDataFrame([found], "f double, p double"))
+
+
 # --- splits and samples -----------------------------------------------------------------------------
 
 
@@ -631,6 +645,85 @@ def fit_logistic(df):
     return df.sparkSession.createDataFrame(rows, names)
 
 
+@query
+def fitted_drivers(df):
+    """The drivers of a fitted linear model."""
+    spec = FeatureSpec(("qty", "c_acctbal"), ())
+    with kept(df.select("o_totalprice", *spec.columns)) as rows:
+        model = fit_regressor(rows, spec, linear_learner("o_totalprice"))
+    return rounded(explain.linear_drivers(coefficient_table(model, spec)), 2)
+
+
+@query
+def logistic_coefficients(df):
+    """A class-balanced, penalised logistic model on one number."""
+    spec = FeatureSpec(("qty",), ())
+    with kept(df.select("returned", "qty")) as rows:
+        fitted = models.fit_logistic(prepare(fit_preparation(rows, spec), rows), "returned")
+    row = (float(fitted.coefficients[0]), float(fitted.intercept))
+    return rounded(df.sparkSession.createDataFrame([row], "coef double, intercept double"), 3)
+
+
+#: Two whole-numbered inputs, for trees that SQL can grow as well.
+STUMP = FeatureSpec(("n_lines", "returned"), ())
+
+
+def _stump(df, learner):
+    """A model of ``qty`` on STUMP, and its prediction for every combination of inputs."""
+    with kept(df.select("qty", *STUMP.columns)) as rows:
+        model = fit_regressor(rows, STUMP, learner)
+        cells = model.transform(rows).groupBy(*STUMP.columns)
+        return model, computed(rounded(cells.agg(F.count(F.lit(1)).alias("n"), F.max("prediction").alias("prediction"))))
+
+
+@query
+def forest_stump(df):
+    """One tree of one split, grown on the rows as they are."""
+    return _stump(df, forest_learner("qty", trees=1, depth=1, bootstrap=False))[1]
+
+
+@query
+def boosted_stumps(df):
+    """Two rounds of one split each."""
+    return _stump(df, boosted_learner("qty", rounds=2, depth=1, rate=0.5, share=1.0))[1]
+
+
+@query
+def stump_importance(df):
+    return explain.forest_importance(_stump(df, forest_learner("qty", trees=1, depth=1, bootstrap=False))[0], STUMP)
+
+
+@query
+def stump_attribution(df):
+    """Shapley values of a tree of one split: the feature that is split on has all of the difference."""
+    model, _ = _stump(df, forest_learner("qty", trees=1, depth=1, bootstrap=False))
+    prep, forest = model.stages
+    values, _ = attribution.tree_attribution(prepare(prep, df), KEY, forest, feature_names(prep, STUMP))
+    return rounded(values)
+
+
+@query
+def attribution_adds_up(df):
+    """Records whose Shapley values and the expectation do not sum to the prediction."""
+    with kept(_regression_frame(df)) as data:
+        model = fit_regressor(data, FEATURES, forest_learner("y", trees=5, depth=4))
+        prep, forest = model.stages
+        values, expected = attribution.tree_attribution(prepare(prep, data), KEY, forest, feature_names(prep, FEATURES))
+        total = values.groupBy(KEY).agg(F.sum("value").alias("total"))
+        gap = F.abs(F.col("total") + expected - F.col("prediction"))
+        both = model.transform(data).select(KEY, "prediction").join(total, KEY, "left")
+        return computed(both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(gap > 1e-9, F.lit(True))).alias("wrong")))
+
+
+@query
+def cv_stump(df):
+    """Fold scores of a tree of one split."""
+    spec = FeatureSpec(("n_lines",), ())
+    folded = split.assign_folds(df.select(KEY, "qty", *spec.columns), KEY, 5)
+    learner = forest_learner("qty", trees=1, depth=1, bootstrap=False)
+    return rounded(evaluate.cross_validate(folded, spec, learner, "qty", "fold", 5))
+
+
 def _regression_frame(df):
     return df.select(KEY, *FEATURES.columns, F.col("n_lines").cast("double").alias("y"))
 
@@ -725,6 +818,22 @@ def kmeans_groups(df):
         return computed(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query
+def kmeans_stable(df):
+    """Rows that are nearer to another centre than to their own, and centres that are off their rows' mean."""
+    with kept(df.select(KEY, *FEATURES.columns)) as data:
+        model = screening.fit_groups(data, FEATURES, 4, components=3)
+        rows = model.transform(data).select("group", vector_to_array("components").alias("x"))
+        centres = [[float(v) for v in c] for c in model.stages[-1].clusterCenters()]
+        away = F.array(*[sum((F.col("x")[i] - v) * (F.col("x")[i] - v) for i, v in enumerate(c)) for c in centres])
+        stray = F.get(away, F.col("group")) > F.array_min(away) + 1e-9
+        middles = [F.avg(F.col("x")[i]) for i in range(3)]
+        at = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centres])
+        off = F.greatest(*[F.abs(m - F.get(F.get(at, F.col("group")), F.lit(i))) for i, m in enumerate(middles)])
+        groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_if(stray).alias("strays"), off.alias("off"))
+        return computed(groups.agg(F.sum("n").alias("n"), F.sum("strays").alias("strays"), F.count_if(F.col("off") > 0.01).alias("moved")))
+
+
 def loaded_customers(spark, sf_dir):
     """A table through the loader, by its extension."""
     return load_table(spark, f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")

@@ -80,9 +80,12 @@ def linear_learner(label: str) -> Estimator:
 
 
 def forest_learner(
-    label: str, trees: int = 300, depth: int = 30, bins: int = 32, seed: int = SEED
+    label: str, trees: int = 300, depth: int = 30, bins: int = 32, seed: int = SEED, bootstrap: bool = True
 ) -> Estimator:
-    """Bagged full-depth trees over all features; MLlib stops at depth 30 and bins the splits."""
+    """Bagged full-depth trees over all features; MLlib stops at depth 30 and bins the splits.
+
+    Without ``bootstrap`` every tree is grown on the rows as they are.
+    """
     return RandomForestRegressor(
         featuresCol=FEATURES,
         labelCol=label,
@@ -90,6 +93,7 @@ def forest_learner(
         maxDepth=depth,
         maxBins=bins,
         featureSubsetStrategy="all",
+        bootstrap=bootstrap,
         seed=seed,
     )
 
@@ -99,14 +103,15 @@ def boosted_learner(
 ) -> Estimator:
     """Gradient-boosted trees on squared error with row and column sampling.
 
-    Rounds run one after the other; the checkpoint interval keeps the lineage short.
+    Rounds run one after the other; the checkpoint interval keeps the lineage short.  MLlib fits each tree to
+    the gradient, which is twice the residual, so half the ``rate`` is its step; the first tree counts in full.
     """
     return GBTRegressor(
         featuresCol=FEATURES,
         labelCol=label,
         lossType="squared",
         maxIter=rounds,
-        stepSize=rate,
+        stepSize=rate / 2,
         maxDepth=depth,
         subsamplingRate=share,
         featureSubsetStrategy=str(share),

@@ -86,7 +86,7 @@ def normalise(df: DataFrame, cols: Sequence[str], how: str = "zscore") -> DataFr
 
 
 def fit_groups(
-    df: DataFrame, features: FeatureSpec, k: int, components: int | None = None, seed: int = SEED
+    df: DataFrame, features: FeatureSpec, k: int, components: int | None = None, seed: int = SEED, max_iter: int = 300
 ) -> PipelineModel:
     """k-means on the prepared features, after a projection on principal components if asked.
 
@@ -97,5 +97,5 @@ def fit_groups(
     if components:
         stages.append(PCA(k=components, inputCol=FEATURES, outputCol="components"))
         source = "components"
-    stages.append(KMeans(k=k, seed=seed, featuresCol=source, predictionCol="group"))
+    stages.append(KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=source, predictionCol="group"))
     return PipelineModel(stages=[prep, *Pipeline(stages=stages).fit(prep.transform(df)).stages])
