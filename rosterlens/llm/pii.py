@@ -159,7 +159,11 @@ def words_of(text: str, base: list[Span]) -> Words:
     for i, (a, b) in enumerate(spans):
         while k < len(base) and base[k][2] <= a:
             k += 1
-        over = [s for s in base[k : k + 8] if s[0] < b and s[2] > a]
+        over, j = [], k
+        while j < len(base) and base[j][0] < b:
+            if base[j][2] > a:
+                over.append(base[j])
+            j += 1
         if over:
             seen[i] = 1 + max(over, key=lambda s: min(s[2], b) - max(s[0], a))[1]
     return Words(spans, np.hstack([np.ones((len(spans), 1)), own, before, after]), seen, chain, skip)

@@ -96,3 +96,9 @@ def test_redaction_keeps_rows_and_columns(clashing, field):
 def test_no_rows(nothing):
     assert pii.spans(nothing).count() == 0
     assert pii.redact(nothing, pii.EMPTY).count() == 0
+
+
+def test_word_with_many_spans_takes_the_longest():
+    text = ",".join(f"a{i}@b.c" for i in range(12)) + ",longest.of.all.addresses@example.com +1-202-555-0100"
+    words = pii.words_of(text, pii.base_spans(text))
+    assert words.seen.tolist() == [1, 4]
