@@ -4,16 +4,18 @@ The probability of a token is a mixture of the maximum-likelihood estimates of a
 The weights depend on how often the context was seen (buckets by powers of two) and are learned by
 expectation-maximisation on a deleted part: its n-grams, with the counts of the other training documents.
 
-N-gram tables grow with the corpus, so they are never in one place.  Documents are dealt by hash to blocks
-of a bounded size, n-grams to twice as many shards.  A block counts its own n-grams and sends each shard a packet of
-them; the shard adds up what all blocks have sent and answers each with the counts of the others, in the
-order of the packet.  An n-gram that is everywhere thus is one entry a block.
+N-gram tables grow with the corpus, so they are never in one place.  Documents are dealt by hash to
+blocks of a bounded size, n-grams to as many shards, by ranges of their keys.  A block counts its own n-grams and
+sends each shard a packet of them; the shard adds up what all blocks have sent and answers each with the counts
+of the others, in the order of the packet.  An n-gram that is everywhere thus is one entry a block.  Shards take turns,
+so that not all packets are on disk at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches, text_or_empty
 from .storage import written
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 ORDER = 2
+TURNS = 2
 #: Folds of ten: 0 is held out of everything, 1 is the deleted part that weights are learned on.
 HELD_OUT, DELETED = 0, 1
 TEST, PART, FIT = 0, 1, 2
@@ -58,6 +61,11 @@ def keyed(x: np.ndarray, order: int) -> np.ndarray:
     return (x & ~np.uint64(1)) | np.uint64(order == 1)
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of keys of equal length."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
 @dataclass
 class Block:
     """The tokens of some documents, as one sequence, and their n-grams of every order."""
@@ -66,9 +74,11 @@ class Block:
     part: np.ndarray  # of each document
     keys: list[np.ndarray] = field(default_factory=list)  # distinct n-grams by order, sorted
     place: list[np.ndarray] = field(default_factory=list)  # of every token's n-gram among them
+    taken: list[np.ndarray] = field(default_factory=list)  # with a turn: the tokens whose n-grams are of it
 
     @classmethod
-    def of(cls, texts: Iterable[str], part: Iterable[int], order: int) -> Block:
+    def of(cls, texts: Iterable[str], part: Iterable[int], order: int, shards: int = 1, turn: int | None = None) -> Block:
+        """With a turn only the n-grams of its shards."""
         end, pieces, size = _hashes[END], [], []
         for t in texts:
             words = t.encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and blanks only
@@ -81,7 +91,11 @@ class Block:
         for k in range(1, order + 1):
             if k > 1:
                 grams = joined(made.before(grams, np.uint64(_hashes[START] + k)), tokens)
-            keys, place = np.unique(keyed(grams, k), return_inverse=True)
+            found = keyed(grams, k)
+            if turn is not None:
+                made.taken.append(shard_of(found, shards) % np.uint64(TURNS) == turn)
+                found = found[made.taken[-1]]
+            keys, place = np.unique(found, return_inverse=True)
             made.keys.append(keys)
             made.place.append(place.astype(np.int32))
         return made
@@ -99,26 +113,41 @@ class Block:
 
     def counts(self, k: int, part: int) -> np.ndarray:
         here = np.repeat(self.part == part, self.size)
+        here = here[self.taken[k]] if self.taken else here
         return np.bincount(self.place[k][here], minlength=len(self.keys[k]))
 
 
 def packed(a: np.ndarray) -> bytes:
-    """64-bit integers by byte planes: sorted keys and small counts then compress well."""
-    return a.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Integers from zero on by byte planes, as many as the largest needs, after their number: small counts then
+    take little room."""
+    width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+    return bytes([width]) + a.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(raw: Iterable[bytes]) -> list[np.ndarray]:
+    out = []
+    for r in raw:
+        wide = np.zeros(((len(r) - 1) // r[0], 8), np.uint8)
+        wide[:, : r[0]] = np.frombuffer(r, np.uint8, offset=1).reshape(r[0], -1).T
+        out.append(wide.view("<i8").ravel())
+    return out
 
 
-def unpacked(raw: Iterable[bytes]) -> np.ndarray:
-    parts = [np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(8, -1).T).view("<i8").ravel() for r in raw]
+def end_to_end(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+def lowest(shard: int, shards: int) -> np.uint64:
+    """The lowest key that a shard can have."""
+    return np.uint64(-(-(shard << 32) // shards) << 32)
+
+
 def dealt_keys(b: Block, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams of a block by shard: their order, the shards that occur, and where each begins."""
+    """All n-grams of a block by shard and key: their order, the shards that occur, and where each begins."""
     keys = np.concatenate(b.keys)
-    shard = ((keys >> np.uint64(1)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
-    order = np.argsort(shard, kind="stable")
-    found, starts = np.unique(shard[order], return_index=True)
-    return order, found, starts
+    order = np.argsort(keys, kind="stable")
+    found, starts = np.unique(shard_of(keys[order], shards), return_index=True)
+    return order, found.astype(np.int64), starts
 
 
 def blocked(docs: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
@@ -149,22 +178,29 @@ def counted(docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, Totals
     """What the shards answer to the blocks, and the totals.
 
     block, shard; ``others``: occurrences in the training documents of other blocks, in the order of the
-    block's packet; ``keys``, ``fit``: for the n-grams of the block's deleted part, how often all fitted
+    block's packet; ``fit``: for the n-grams of the block's deleted part, in the same order, how often all fitted
     documents have them.
     """
 
-    def send(key: tuple, rows: pa.Table) -> pa.Table:
-        b = Block.of(rows.column("text").to_pylist(), rows.column("part").to_pylist(), order)
-        by, found, starts = dealt_keys(b, shards)
-        values = [np.concatenate(b.keys).view(np.int64)]
-        values += [np.concatenate([b.counts(k, part) for k in range(order)]) for part in (FIT, PART)]
-        packets = [[packed(x) for x in np.split(v[by], starts[1:])] for v in values]
-        columns = [pa.array(found.astype(np.int32)), pa.array([key[0].as_py()] * len(found), pa.int32()), *(pa.array(x, pa.binary()) for x in packets)]
-        return pa.table(columns, names=["shard", "block", "keys", "fit", "part"])
+    def sending(turn: int):
+        def send(key: tuple, rows: pa.Table) -> pa.Table:
+            b = Block.of(rows.column("text").to_pylist(), rows.column("part").to_pylist(), order, shards, turn)
+            by, found, starts = dealt_keys(b, shards)
+            keys = np.concatenate(b.keys)[by]
+            steps = np.diff(keys, prepend=np.uint64(0))
+            steps[starts] = keys[starts] - np.array([lowest(int(s), shards) for s in found], np.uint64)
+            values = [steps, *(np.concatenate([b.counts(k, part) for k in range(order)])[by] for part in (FIT, PART))]
+            packets = [[packed(x) for x in np.split(v, starts[1:])] if len(found) else [] for v in values]
+            columns = [pa.array(found.astype(np.int32)), pa.array([key[0].as_py()] * len(found), pa.int32()), *(pa.array(x, pa.binary()) for x in packets)]
+            return pa.table(columns, names=["shard", "block", "keys", "fit", "part"])
+
+        return send
 
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
-        columns = {c: unpacked(x.as_py() for x in rows.column(c)) for c in ("keys", "fit", "part")}
-        size = [len(x.as_py()) // 8 for x in rows.column("keys")]
+        steps = unpacked(x.as_py() for x in rows.column("keys"))
+        size, low = [len(x) for x in steps], lowest(key[0].as_py(), shards)
+        columns = {c: end_to_end(unpacked(x.as_py() for x in rows.column(c))) for c in ("fit", "part")}
+        columns["keys"] = end_to_end([np.cumsum(x.view(np.uint64)) + low for x in steps])
         distinct, place = np.unique(columns["keys"], return_inverse=True)
         add = lambda v: np.bincount(place, weights=v, minlength=len(distinct)).astype(np.int64)
         fit = add(columns["fit"])
@@ -174,22 +210,24 @@ def counted(docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, Totals
         cut = np.cumsum(size)[:-1]
         others = np.split(learned[place] - columns["fit"] - columns["part"], cut)
         deleted = np.split(columns["part"] > 0, cut)
-        keys = [packed(k[d]) for k, d in zip(np.split(columns["keys"], cut), deleted)]
         fits = [packed(k[d]) for k, d in zip(np.split(fit[place], cut), deleted)]
         made = {
             "block": pa.array([*rows.column("block").to_pylist(), None], pa.int32()),
             "shard": pa.array([key[0].as_py()] * (len(size) + 1), pa.int32()),
             "others": pa.array([*map(packed, others), None], pa.binary()),
-            "keys": pa.array([*keys, None], pa.binary()),
             "fit": pa.array([*fits, None], pa.binary()),
         }
         more = {c: pa.array([None] * len(size) + [int(v)], pa.int64()) for c, v in zip(TOTALS, totals)}
         return pa.table(made | more)
 
     packets = "shard int, block int, keys binary, fit binary, part binary"
-    answers = "block int, shard int, others binary, keys binary, fit binary, " + ", ".join(f"{c} long" for c in TOTALS)
-    sent = docs.select("block", "text", "part").groupBy("block").applyInArrow(send, packets)
-    answered = written(sent.groupBy("shard").applyInArrow(answer, answers))
+    answers = "block int, shard int, others binary, fit binary, " + ", ".join(f"{c} long" for c in TOTALS)
+    texts = docs.select("block", "text", "part").groupBy("block")
+    turns = []
+    for turn in range(min(TURNS, shards)):
+        sent = texts.applyInArrow(sending(turn), packets)
+        turns.append(written(sent.groupBy("shard").applyInArrow(answer, answers), release=True))
+    answered = reduce(DataFrame.unionAll, turns)
     got = answered.agg(*[F.sum(c).alias(c) for c in TOTALS]).first()
     return answered.where("block is not null"), Totals(*(int(got[c] or 0) for c in TOTALS))
 
@@ -220,10 +258,9 @@ def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
         if not left.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("bucket", *names, "n")})
         b = Block.of(left.column("text").to_pylist(), left.column("part").to_pylist(), order)
-        keys, fit = (unpacked(x.as_py() for x in right.column(c)) for c in ("keys", "fit"))
-        by = np.argsort(keys.view(np.uint64))
-        keys, fit = keys.view(np.uint64)[by], fit[by]
-        counts = [fit[np.searchsorted(keys, k)] for k in b.keys]  # all of the deleted part's n-grams are there
+        total = np.empty(sum(map(len, b.keys)), np.int64)  # all of the deleted part's n-grams are in the answers
+        total[np.argsort(np.concatenate(b.keys), kind="stable")] = end_to_end(unpacked(x.as_py() for x in right.sort_by("shard").column("fit")))
+        counts = np.split(total, np.cumsum([len(k) for k in b.keys])[:-1])
         context = contexts(b, counts)
         columns = [bucket(context[-1]) if order > 1 else np.zeros(int(b.size.sum()), np.int64)]
         for k in range(order):
@@ -234,7 +271,7 @@ def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
         return pa.table({"bucket": rows[:, 0], **{f"c{k}": rows[:, k + 1] for k in range(order)}, "n": n})
 
     deleted = docs.where(F.col("part") == PART).select("block", "text", "part")
-    asked = answers.select("block", "keys", "fit")
+    asked = answers.select("block", "shard", "fit")
     schema = "bucket long, " + ", ".join(f"{c} long" for c in names) + ", n long"
     rows = deleted.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
     return rows.groupBy("bucket", *names).agg(F.sum("n").alias("n"))
@@ -283,7 +320,7 @@ def scored(docs: DataFrame, answers: DataFrame, totals: Totals, mix: np.ndarray,
         b = Block.of(left.column("text").to_pylist(), left.column("part").to_pylist(), order)
         by, _, _ = dealt_keys(b, shards)
         total = np.concatenate([b.counts(k, FIT) + b.counts(k, PART) for k in range(order)])
-        total[by] += unpacked(x.as_py() for x in right.sort_by("shard").column("others"))
+        total[by] += end_to_end(unpacked(x.as_py() for x in right.sort_by("shard").column("others")))
         counts = np.split(total, np.cumsum([len(k) for k in b.keys])[:-1])
         context = contexts(b, counts)
         single = counts[0][b.place[0]]
@@ -322,7 +359,7 @@ def scores(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS)
     """
     small_batches(docs.sparkSession)
     dealt, blocks = blocked(docs, block_chars)
-    shards = 2 * blocks
+    shards = blocks
     answers, totals = counted(dealt, order, shards)
     mix = weights(statistics(dealt, answers, order).toArrow(), totals, order)
     return scored(dealt, answers, totals, mix, order, shards)

@@ -27,7 +27,7 @@ def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents"))
+    return lm.scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

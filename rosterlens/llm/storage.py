@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame
 
 from rosterlens.functions.small_tables import shared_dir
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def written(df: DataFrame) -> DataFrame:
+
+def written(df: DataFrame, release: bool = False) -> DataFrame:
     """Write a frame as Parquet under ``spark.checkpoint.dir`` and read it back.
 
-    It is computed once, its lineage ends, and a lost executor takes nothing with it.
+    It is computed once, its lineage ends, and a lost executor takes nothing with it.  With ``release`` the files of
+    its shuffles go as soon as it is written, not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -61,3 +61,20 @@ def test_held_out_text_is_likelier_than_by_single_words(spark):
 
 def test_no_rows(nothing):
     assert lm.scores(nothing).count() == 0
+
+
+def test_packets_are_read_as_written():
+    import numpy as np
+
+    for a in ([], [0, 0], [0, 255], [256, 1, 0], [2**63 - 1, 3]):
+        [back] = lm.unpacked([lm.packed(np.array(a, np.uint64))])
+        assert back.tolist() == a
+
+
+def test_registered_model_is_of_order_three(spark, tmp_path):
+    from rosterlens.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = (sorted((r.doc_id, round(r.score, 6)) for r in d.collect()) for d in (queries.op5_interpolated_lm(spark, str(tmp_path)), lm.scores(docs, order=3)))
+    assert got == want
