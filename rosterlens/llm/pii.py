@@ -36,6 +36,8 @@ ENDING = 7
 GRAPH_WORDS = 20_000
 #: Digits at most of a card and a phone number.
 MOST_DIGITS = {2: 19, 3: 15}
+#: And at least.
+LEAST_DIGITS = {2: 13, 3: 7}
 
 MARK = re.compile(r"[0-9@]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -272,8 +274,9 @@ def train(docs: DataFrame, words: int = TRAIN_WORDS) -> Field:
     return fit(flat("x", D), column("y"), column("before"), column("after"), flat("linked", N))
 
 
-def plausible(kind: int, text: str) -> bool:
-    """What an added span must have at least to be of its kind."""
+def plausible(kind: int, text: str, supported: bool = False) -> bool:
+    """What an added span must have at least to be of its kind; ``supported``: a pattern found a number of the
+    kind with the same last digits in the text, so how this one is written does not matter."""
     digits = len(NOT_DIGIT.sub("", text))
     if kind == 0:
         return bool(re.search(r"[^@]@[^@]", text))
@@ -281,29 +284,52 @@ def plausible(kind: int, text: str) -> bool:
         parts = [p.lstrip("0") for p in NOT_DIGIT.split(text) if p]
         return len(parts) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9 -]+", text)) and 13 <= digits <= MOST_DIGITS[kind] and luhn(NOT_DIGIT.sub("", text))
-    return bool(re.fullmatch(r"[0-9 +().-]*[+(-][0-9 +().-]*", text)) and 7 <= digits <= MOST_DIGITS[kind]
+        written = r"[0-9 .-]+" if supported else r"[0-9 -]+"
+        return bool(re.fullmatch(written, text)) and 13 <= digits <= MOST_DIGITS[kind] and luhn(NOT_DIGIT.sub("", text))
+    written = r"[0-9 +().-]+" if supported else r"[0-9 +().-]*[+(-][0-9 +().-]*"
+    return bool(re.fullmatch(written, text)) and 7 <= digits <= MOST_DIGITS[kind]
 
 
-def added_spans(text: str, w: Words, labels: np.ndarray) -> list[Span]:
-    """Spans of labelled words outside the patterns'; neighbours join into one number while it is not too long."""
+def added_spans(text: str, w: Words, labels: np.ndarray, base: list[Span]) -> list[Span]:
+    """Spans of labelled words outside the patterns'; neighbours join into the longest number that is plausible.
+
+    What repeats a card or phone number of the patterns, or its end without a prefix, is of its kind however the field
+    labels it: the field learns from the patterns' finds, which leave such repeats out.
+    """
     out: list[Span] = []
-    joins = {j for i, j in w.chain if labels[i] == labels[j] >= 3 and w.seen[i] < 0 and w.seen[j] < 0}
+    side = {j for i, j in w.chain if w.seen[i] < 0 and w.seen[j] < 0}
     n_digits = [len(NOT_DIGIT.sub("", text[a:b])) for a, b in w.spans]
+    known: set[tuple[int, str]] = set()
+    ends: dict[str, int] = {}
+    for a, kind, b in base:
+        if kind in MOST_DIGITS:
+            digits = NOT_DIGIT.sub("", text[a:b])
+            known.add((kind, digits[-ENDING:]))
+            ends.update((digits[k:], kind) for k in range(len(digits) - LEAST_DIGITS[kind] + 1))
     i = 0
     while i < len(labels):
-        k, total, kind = i, n_digits[i], int(labels[i]) - 1
-        while k + 1 in joins and total + n_digits[k + 1] <= MOST_DIGITS[kind]:
-            k += 1
-            total += n_digits[k]
-        if kind >= 0 and w.seen[i] < 0:
-            a, b = w.spans[i][0], w.spans[k][1]
-            inner = text[a:b].rstrip(".,;:!?\"'>]}|")
-            b = a + len(inner)
-            a = b - len(inner.lstrip("\"'<[{|"))
-            if plausible(kind, text[a:b]):
-                out.append((a, kind, b))
-        i = k + 1
+        found = None
+        if w.seen[i] < 0:
+            for kind in dict.fromkeys((int(labels[i]) - 1, *sorted(set(ends.values())))):
+                labelled = kind == labels[i] - 1
+                k, total, most = i, n_digits[i], MOST_DIGITS.get(kind, 0)
+                while k + 1 in side and n_digits[k + 1] and total + n_digits[k + 1] <= most and (not labelled or labels[k + 1] == labels[i]):
+                    k += 1
+                    total += n_digits[k]
+                while kind >= 0 and k >= i and found is None:
+                    a, b = w.spans[i][0], w.spans[k][1]
+                    inner = text[a:b].rstrip(".,;:!?\"'>]}|")
+                    b = a + len(inner)
+                    a = b - len(inner.lstrip("\"'<[{|"))
+                    digits = NOT_DIGIT.sub("", text[a:b])
+                    repeats = ends.get(digits) == kind
+                    alike = (kind, digits[-ENDING:]) in known and not any(ends.get(NOT_DIGIT.sub("", text[w.spans[j][0] : b])) == kind for j in range(i + 1, k + 1))
+                    if (labelled or repeats) and plausible(kind, text[a:b], repeats or alike):
+                        found = (a, kind, b), k
+                    k -= 1
+        if found:
+            out.append(found[0])
+        i = found[1] + 1 if found else i + 1
     return out
 
 
@@ -323,7 +349,7 @@ def find_all(texts: list[str | None], field: Field) -> list[tuple[list[Span], li
     def solve() -> None:
         for (i, w), labels in zip(waiting, solved([w for _, w in waiting], field) if waiting else ()):
             base = found[i][0]
-            found[i] = (base, sorted(base + added_spans(texts[i], w, labels)))
+            found[i] = (base, sorted(base + added_spans(texts[i], w, labels, base)))
         waiting.clear()
 
     for i, t in enumerate(texts):

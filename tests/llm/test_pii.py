@@ -102,3 +102,29 @@ def test_word_with_many_spans_takes_the_longest():
     text = ",".join(f"a{i}@b.c" for i in range(12)) + ",longest.of.all.addresses@example.com +1-202-555-0100"
     words = pii.words_of(text, pii.base_spans(text))
     assert words.seen.tolist() == [1, 4]
+
+
+def added(text, kinds):
+    """Spans added if the field labels the words as given."""
+    base = pii.base_spans(text)
+    w = pii.words_of(text, base)
+    labels = np.where(w.seen >= 0, w.seen, kinds)
+    return [text[a:b] for a, _, b in pii.added_spans(text, w, labels, base)]
+
+
+@pytest.mark.parametrize("again", ["5551234567", "555.123.4567", "555 123 4567", "555 123 4567 555"])
+def test_repeats_need_no_punctuation(again):
+    want = again.removesuffix(" 555")
+    assert added(f"Call +15551234567 or {again} then", 4) == [want]
+    assert added(f"Call {again} then", 4) == []
+
+
+def test_shorter_runs_are_tried():
+    assert added("card 4222222222222 1234 end", 3) == ["4222222222222"]
+    assert added("card 77 4222222222222 end", 3) == ["4222222222222"]
+
+
+@pytest.mark.parametrize("again", ["5551234567", "555.123.4567", "555 123 4567"])
+def test_bare_repeats_are_masked(field, again):
+    text = f"Call +15551234567 now. In 1998 {again}, again."
+    assert pii.redacted(text, pii.find_all([text], field)[0][1]) == "Call [PHONE] now. In 1998 [PHONE], again."
