@@ -4,11 +4,12 @@ The probability of a token is a mixture of the maximum-likelihood estimates of a
 The weights depend on how often the context was seen (buckets by powers of two) and are learned by
 expectation-maximisation on a deleted part: its n-grams, with the counts of the other training documents.
 
-N-gram tables grow with the corpus, so they are never in one place.  Documents are dealt by hash to
+N-gram tables grow with the corpus, so they are never in one place.  Documents are dealt by hash of id and text to
 blocks of a bounded size, n-grams to as many shards, by ranges of their keys.  A block counts its own n-grams and
 sends each shard a packet of them; the shard adds up what all blocks have sent and answers each with the counts
 of the others, in the order of the packet.  An n-gram that is everywhere thus is one entry a block.  Shards take turns,
-so that not all packets are on disk at a time.
+so that not all packets are on disk at a time.  Equal rows that
+would fill a block by themselves are dealt as rows with a number of copies.
 """
 
 from __future__ import annotations
@@ -151,14 +152,35 @@ def dealt_keys(b: Block, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def blocked(docs: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
-    """block, doc_id, text, held_out and part of every document row; the number of blocks."""
-    texts = docs.select("doc_id", text_or_empty(docs).alias("text"))
-    total = texts.select(F.sum(F.length("text") + 1)).first()[0] or 0
-    n = max(1, -(-total // block_chars))
+    """block, doc_id, text, copies, held_out and part; the number of blocks.
+
+    ``copies`` is one but where equal rows have more than a block's characters: these are dealt to several blocks in
+    shares.  Blocks go by id and text, so rows that share an id, or have none, are spread as well.
+    """
+    texts = docs.select("doc_id", text_or_empty(docs).alias("text")).withColumn("hash", F.xxhash64("doc_id", "text"))
+    size = texts.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text") + 1).alias("chars"))
+    large = F.when((F.col("n") > 1) & (F.col("chars") > block_chars), F.col("hash"))
+    total, hot = size.agg(F.sum("chars"), F.collect_list(large)).first()  # at most one a block
+    n = max(1, -(-(total or 0) // block_chars))
+    rows = texts.withColumn("copies", F.lit(1).cast("long"))
+    if hot:
+        same = rows.where(F.col("hash").isin(hot)).groupBy("doc_id", "text", "hash").agg(F.sum("copies").alias("all"))
+        shares = F.least(F.col("all"), F.lit(n), F.ceil(F.col("all") * (F.length("text") + 1) / block_chars)).cast("long")
+        same = same.withColumn("shares", shares).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        more = F.when(F.col("share") < F.col("all") % F.col("shares"), 1).otherwise(0)
+        copies = (F.floor(F.col("all") / F.col("shares")) + more).cast("long").alias("copies")
+        shared = same.select("doc_id", "text", (F.pmod("hash", F.lit(n)) + F.col("share")).alias("hash"), copies)
+        rows = rows.where(~F.col("hash").isin(hot)).unionByName(shared)
     f = fold("doc_id", 10)
     part = F.when(f.isin(HELD_OUT, -1), TEST).when(f == DELETED, PART).otherwise(FIT)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
-    return texts.select(block, "doc_id", "text", (f == HELD_OUT).alias("held_out"), part.alias("part")), n
+    block = F.pmod(F.col("hash"), F.lit(n)).cast("int").alias("block")
+    return rows.select(block, "doc_id", "text", "copies", (f == HELD_OUT).alias("held_out"), part.alias("part")), n
+
+
+def every_row(rows: pa.Table) -> pa.Table:
+    """The rows of a block, each as often as it has copies."""
+    copies = rows.column("copies").to_numpy()
+    return rows if (copies == 1).all() else rows.take(pa.array(np.repeat(np.arange(rows.num_rows), copies)))
 
 
 @dataclass(frozen=True)
@@ -184,6 +206,7 @@ def counted(docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, Totals
 
     def sending(turn: int):
         def send(key: tuple, rows: pa.Table) -> pa.Table:
+            rows = every_row(rows)
             b = Block.of(rows.column("text").to_pylist(), rows.column("part").to_pylist(), order, shards, turn)
             by, found, starts = dealt_keys(b, shards)
             keys = np.concatenate(b.keys)[by]
@@ -222,7 +245,7 @@ def counted(docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, Totals
 
     packets = "shard int, block int, keys binary, fit binary, part binary"
     answers = "block int, shard int, others binary, fit binary, " + ", ".join(f"{c} long" for c in TOTALS)
-    texts = docs.select("block", "text", "part").groupBy("block")
+    texts = docs.select("block", "text", "copies", "part").groupBy("block")
     turns = []
     for turn in range(min(TURNS, shards)):
         sent = texts.applyInArrow(sending(turn), packets)
@@ -257,6 +280,7 @@ def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("bucket", *names, "n")})
+        left = every_row(left)
         b = Block.of(left.column("text").to_pylist(), left.column("part").to_pylist(), order)
         total = np.empty(sum(map(len, b.keys)), np.int64)  # all of the deleted part's n-grams are in the answers
         total[np.argsort(np.concatenate(b.keys), kind="stable")] = end_to_end(unpacked(x.as_py() for x in right.sort_by("shard").column("fit")))
@@ -270,7 +294,7 @@ def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
         rows, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
         return pa.table({"bucket": rows[:, 0], **{f"c{k}": rows[:, k + 1] for k in range(order)}, "n": n})
 
-    deleted = docs.where(F.col("part") == PART).select("block", "text", "part")
+    deleted = docs.where(F.col("part") == PART).select("block", "text", "copies", "part")
     asked = answers.select("block", "shard", "fit")
     schema = "bucket long, " + ", ".join(f"{c} long" for c in names) + ", n long"
     rows = deleted.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
@@ -317,6 +341,7 @@ def scored(docs: DataFrame, answers: DataFrame, totals: Totals, mix: np.ndarray,
     floor = np.log10(0.1) - np.log10(n + 0.1 * (v + 1))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = every_row(left)
         b = Block.of(left.column("text").to_pylist(), left.column("part").to_pylist(), order)
         by, _, _ = dealt_keys(b, shards)
         total = np.concatenate([b.counts(k, FIT) + b.counts(k, PART) for k in range(order)])

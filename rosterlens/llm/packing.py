@@ -5,8 +5,9 @@ its source nor its duplicate cluster is present yet; if there is none, a new bin
 by the room they have left; a bit set of the rooms in use gives the next larger one, and each bin carries
 bit sets of its sources and clusters.  The search goes on until a bin fits or no room is left.
 
-Documents are dealt by hash into groups of a bounded number of pieces, and each group is packed by itself;
-what is lost is the room left in a group's last bins.  Documents longer than a sequence are cut into full
+Pieces are dealt into groups of a bounded number by a hash of all that is known of them and of the number of the copy,
+so items that share an id, or have none, or are equal, are spread as well.  Each group is packed by itself; what is
+lost is the room left in a group's last bins.  Documents longer than a sequence are cut into full
 pieces and a rest; every word is in exactly one piece.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .storage import written
 
 CAPACITY, GROUP_PIECES = 2048, 8192
 
@@ -74,12 +76,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     if capacity < 1:
         raise ValueError("capacity must be positive")
     n = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
-    last = F.greatest(F.ceil(n / capacity) - 1, F.lit(0)).cast("long")
-    pieces = items.select("doc_id", "source", "cluster", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-    pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.lit(capacity), F.col("n") - F.col("start")))
-    total = items.select(F.sum(last + 1)).first()[0] or 0
+    items = items.select("doc_id", "source", "cluster", n.alias("n"))
+    last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("long")
+    counted = written(items.groupBy(*items.columns).agg(F.count(F.lit(1)).alias("copies")))
+    total = counted.select(F.sum((last + 1) * F.col("copies"))).first()[0] or 0
     groups = max(1, -(-total // group_pieces))
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
+    zero = F.lit(0).cast("long")
+    pieces = counted.withColumn("copy", F.explode(F.sequence(zero, F.col("copies") - 1))).withColumn("piece", F.explode(F.sequence(zero, last)))
+    pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.lit(capacity), F.col("n") - F.col("start")))
+    group = F.pmod(F.xxhash64("doc_id", "piece", "copy", "n", "source", "cluster"), F.lit(groups)).cast("int")
     rows = pieces.select(group.alias("bin_group"), "doc_id", "piece", "start", "length", "source", "cluster")
     key = items.schema["doc_id"].dataType.simpleString()
 

@@ -63,6 +63,19 @@ def test_no_rows(nothing):
     assert lm.scores(nothing).count() == 0
 
 
+def test_rows_of_one_id_or_none_are_spread_over_blocks(spark):
+    same = [(7, "one two three " * 20, "en", "a", 1)] * 300
+    shared = [(7 if i % 2 else None, f"text {i} of many words " * 10, "en", "a", 1) for i in range(300)]
+    docs = spark.createDataFrame(same + shared, "doc_id long, text string, lang string, source string, n_chars long")
+    dealt, blocks = lm.blocked(docs, 5000)
+    sizes = dealt.groupBy("block").agg({"copies": "sum"}).collect()
+    chars = dealt.selectExpr("block", "copies * (length(text) + 1) c").groupBy("block").sum("c").collect()
+    assert sum(r[1] for r in sizes) == 600 and len(sizes) > blocks // 2
+    assert max(r[1] for r in chars) < 6 * 5000
+    small, whole = (sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in lm.scores(docs, block_chars=b).collect()) for b in (5000, 1 << 30))
+    assert len(small) == 600 and small == whole
+
+
 def test_packets_are_read_as_written():
     import numpy as np
 

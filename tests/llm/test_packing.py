@@ -64,3 +64,15 @@ def test_odd_lengths(spark, nothing):
     assert set(got) == {(1, 0), (2, 0), (3, 0), (3, 1), (4, 0)}
     assert [got[3, k].length for k in (0, 1)] == [4, 3] and got[3, 1].start == 4
     assert packing.pack_documents(nothing).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_spread_over_groups(spark):
+    from collections import Counter
+
+    rows = [(7, 3, "a", "x")] * 400 + [(7 if i % 2 else None, 3, f"s{i}", f"t{i}") for i in range(400)]
+    items = spark.createDataFrame(rows, "doc_id long, length long, source string, cluster string")
+    got = packing.pack(items, 64, 50).collect()
+    sizes = Counter(r.bin_group for r in got)
+    assert sum(sizes.values()) == 800 and len(sizes) == 16 and max(sizes.values()) < 100
+    again = packing.pack(items.repartition(5), 64, 50).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
