@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gam, lines, lm, packing, pages, pii, rules, simhash, topk
+from . import bpe, fim, gam, lines, lm, packing, pages, phrases, pii, rules, simhash, token_counts, topk
 from .common import table
 from .oracle import SQL  # noqa: F401
 
@@ -51,6 +51,18 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.over_limit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,5 +76,8 @@ QUERIES = {
         op8_simhash,
         op9_line_dedup,
         op10_exact_topk,
+        op11_fill_in_middle,
+        op12_token_counts,
+        op13_phrases,
     )
 }
