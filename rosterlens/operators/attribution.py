@@ -1,179 +1,77 @@
-"""Shapley values of forest predictions, per record and feature.
+"""Shapley values of tree predictions, per record and feature.
 
-Spark hands the rows to ``mapInPandas`` in Arrow batches.  A leaf is described by the features on its path:
-the value interval that leads to it and the share of training rows that does.  Leaves come in blocks of a
-bounded size, and values add up over blocks, so neither the driver nor a task ever holds a large forest.
+Trees come in blocks of a bounded size and values add up over blocks, so neither the driver nor a task ever holds
+a large forest; Spark hands the rows to tasks in Arrow batches.  The recursion itself is in ``trees``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-from math import factorial
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.small_tables import cut_lineage, shared_dir
+from ..functions.small_tables import cut_lineage
 from .features import FEATURES
+from .trees import BLOCK_NODES, FlatTrees, saved_trees
 
 
-#: Tree nodes that are read at a time, unless one tree has more, and leaves that are given to tasks at a time.
-BLOCK_NODES, BLOCK_LEAVES = 200_000, 50_000
-
-
-class Leaf(NamedTuple):
-    value: float  # prediction / number of trees
-    share: float  # training rows reaching the leaf / training rows of the tree
-    features: np.ndarray
-    low: np.ndarray  # exclusive
-    high: np.ndarray  # inclusive
-    cover: np.ndarray  # share of rows that pass this feature's splits on the path
-
-
-def leaves(model: RandomForestRegressionModel, block_nodes: int = BLOCK_NODES) -> Iterator[Leaf]:
-    """The leaves of a forest tree by tree, from the node table of its saved form."""
-    spark = SparkSession.getActiveSession()
-    path = f"{shared_dir(spark).rstrip('/')}/forest-{model.uid}"
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID",
-        "nodeData.id",
-        "nodeData.prediction",
-        "nodeData.rawCount",
-        "nodeData.leftChild",
-        "nodeData.rightChild",
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("left"),
-        F.col("nodeData.split.numCategories").alias("categories"),
-    )
-    n_trees = model.getNumTrees
-    sizes = dict(nodes.groupBy("treeID").count().collect())  # a row a tree
-    first = 0
-    while first < n_trees:
-        last, size = first + 1, sizes[first]
-        while last < n_trees and size + sizes[last] <= block_nodes:
-            size += sizes[last]
-            last += 1
-        some = nodes.filter(F.col("treeID").between(first, last - 1)).collect()
-        yield from _leaves_of({(n["treeID"], n["id"]): n for n in some}, range(first, last), n_trees)
-        first = last
-
-
-def _leaves_of(table: dict, trees: range, n_trees: int) -> Iterator[Leaf]:
-    for tree in trees:
-        root = table[tree, 0]
-        todo = [(root, {})]
-        while todo:
-            node, path_ = todo.pop()
-            if node["leftChild"] < 0:
-                feats = sorted(path_)
-                low, high, cover = (np.array([path_[f][i] for f in feats]) for i in range(3))
-                share = node["rawCount"] / root["rawCount"]
-                yield Leaf(node["prediction"] / n_trees, share, np.array(feats, int), low, high, cover)
-                continue
-            cut, low_goes_left = _cut(node)
-            f = node["feature"]
-            for child_id, is_left in ((node["leftChild"], True), (node["rightChild"], False)):
-                child = table[tree, child_id]
-                low, high, cover = path_.get(f, (-np.inf, np.inf, 1.0))
-                if is_left == low_goes_left:
-                    high = min(high, cut)
-                else:
-                    low = max(low, cut)
-                cover *= child["rawCount"] / node["rawCount"]
-                todo.append((child, {**path_, f: (low, high, cover)}))
-
-
-def _cut(node) -> tuple[float, bool]:
-    """(threshold, whether values at or below it go left); indicator columns are cut at one half."""
-    if node["categories"] < 0:
-        return node["left"][0], True
-    if node["categories"] != 2:
-        raise ValueError("only numeric and 0/1 features are expected in a prepared vector")
-    return 0.5, 0.0 in node["left"]
-
-
-def make_shapley():
-    """The kernel as a local function, so that it travels to the tasks by value."""
-
-    def shapley(forest, x):
-        """Values per row and feature for rows ``x``; their sum is prediction - expectation.
-
-        Per leaf, the subset sums over the other path features are the coefficients of
-        prod(cover_j + reached_j t); dividing one factor out gives the sums without that feature.
-        """
-        phi = np.zeros_like(x, dtype=float)
-        for value, _, features, low, high, cover in forest:
-            m = len(features)
-            if m == 0:
-                continue
-            v = x[:, features]
-            reached = ((v > low) & (v <= high)).astype(float)
-            poly = np.zeros((len(x), m + 1))
-            poly[:, 0] = 1.0
-            for j in range(m):
-                poly[:, 1:] = poly[:, 1:] * cover[j] + poly[:, :-1] * reached[:, [j]]
-                poly[:, 0] *= cover[j]
-            weight = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-            for i in range(m):
-                z = cover[i]
-                without_z = (poly[:, :m] / z) @ weight
-                rest, without_z_t = np.zeros(len(x)), np.zeros(len(x))
-                for s in range(m - 1, -1, -1):
-                    rest = poly[:, s + 1] - z * rest
-                    without_z_t += weight[s] * rest
-                total = np.where(reached[:, i] > 0, without_z_t, without_z)
-                phi[:, features[i]] += value * (reached[:, i] - z) * total
-        return phi
-
-    return shapley
-
-
-def with_block(rows: DataFrame, key: str, block: list[Leaf]) -> DataFrame:
-    """Rows of (key, x, phi) with the values of some leaves added to ``phi``."""
-    shipped = rows.sparkSession.sparkContext.broadcast([tuple(leaf) for leaf in block])
-    shapley = make_shapley()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def with_block(rows: DataFrame, block: FlatTrees) -> DataFrame:
+    """Rows of (key, x, phi) with the values of some trees added to ``phi``."""
+    shipped = rows.sparkSession.sparkContext.broadcast(block)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, phi = (np.stack(batch[c].to_numpy()) for c in ("x", "phi"))
-                batch["phi"] = list(phi + shapley(shipped.value, x))
-                yield batch
+            if batch.num_rows:
+                x, phi = matrix(batch.column(1)), matrix(batch.column(2))
+                total = phi + shipped.value.shapley(x)
+                ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                added = pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), added], names=names)
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    return rows.mapInPandas(run, rows.schema)
+def blocks_of(model, block_nodes: int) -> Iterable[FlatTrees]:
+    own = getattr(model, "flat_trees", None)
+    return [own()] if own else saved_trees(model, block_nodes)
 
 
 def tree_attribution(
     prepared: DataFrame,
     key: str,
-    model: RandomForestRegressionModel,
+    model,
     names: list[str],
     block_nodes: int = BLOCK_NODES,
-    block_leaves: int = BLOCK_LEAVES,
 ) -> tuple[DataFrame, float]:
     """((key, feature, value) for every row and feature, expectation of the model).
 
     For every row, values + expectation = prediction.  A model of more than one block is passed block by
-    block, with the sums so far in the shared folder.
+    block, with the sums so far in the shared folder.  Rows in fewer parts than there are cores are spread out first:
+    a row is much work.
     """
     zeros = F.array_repeat(F.lit(0.0), len(names))
     rows = prepared.select(F.col(key), vector_to_array(FEATURES).alias("x"), zeros.alias("phi"))
+    cores = prepared.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
     expected = 0.0
-    forest = leaves(model, block_nodes)
-    block = list(islice(forest, block_leaves))
-    while block:
-        expected += sum(float(leaf.value * leaf.share) for leaf in block)
-        rows = with_block(rows, key, block)
-        block = list(islice(forest, block_leaves))
-        if block:
-            rows = cut_lineage(rows)
+    last = None
+    for block in blocks_of(model, block_nodes):
+        if last is not None:
+            rows = cut_lineage(with_block(rows, last))
+        expected += block.expected()
+        last = block
+    rows = with_block(rows, last)
     labels = F.array(*[F.lit(n) for n in names])
     long = rows.select(key, F.posexplode("phi").alias("i", "value")).select(
         key, F.element_at(labels, F.col("i") + 1).alias("feature"), "value"
