@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import flag_at_most, flag_below, flag_in_set
 from ..functions.small_tables import shared_dir
 from ..schema import SEED, FeatureSpec, TargetSpec
+from .boosting import BoostedTrees
 from .features import FEATURES, fit_preparation, prepare
 from .quantiles import quantile
 
@@ -120,7 +121,23 @@ def boosted_learner(
     )
 
 
-LEARNERS = {"linreg": linear_learner, "rfreg": forest_learner, "xgbreg": boosted_learner}
+def regularised_learner(
+    label: str,
+    rounds: int = 600,
+    depth: int = 6,
+    rate: float = 0.05,
+    share: float = 0.9,
+    penalty: float = 1.0,
+    bins: int = 256,
+    seed: int = SEED,
+) -> Estimator:
+    """Second-order boosting with a leaf penalty; ``share`` of the rows and of the columns are drawn for each tree."""
+    return BoostedTrees(
+        labelCol=label, rounds=rounds, depth=depth, rate=rate, rowShare=share, columnShare=share, penalty=penalty, bins=bins, seed=seed
+    )
+
+
+LEARNERS = {"linreg": linear_learner, "rfreg": forest_learner, "xgbreg": regularised_learner}
 
 
 def fit_regressor(train: DataFrame, features: FeatureSpec, learner: Estimator) -> PipelineModel:
