@@ -20,9 +20,9 @@ CANDIDATES = [float(t) for t in np.linspace(0.1, 0.9, 17)]
 
 
 def threshold_sweep(
-    df: DataFrame, label: str, prob: str, candidates: Sequence[float] = CANDIDATES
+    df: DataFrame, label: str, prob: str, candidates: Sequence[float] = CANDIDATES, by: Sequence[str] = ()
 ) -> DataFrame:
-    """(threshold, tp, fp, fn, f1) for every candidate from one pass over the rows.
+    """(by..., threshold, tp, fp, fn, f1) for every candidate from one pass over the rows.
 
     Each row is counted once, under the number of candidates it reaches; the candidates then sum
     those few counts.
@@ -31,7 +31,7 @@ def threshold_sweep(
     reached = sum((F.col(prob) >= F.lit(t)).cast("int") for t in cuts)
     counts = (
         df.filter(F.col(label).isNotNull() & F.col(prob).isNotNull())
-        .groupBy(reached.alias("reached"))
+        .groupBy(*by, reached.alias("reached"))
         .agg(
             F.count_if(F.col(label) == 1).alias("pos"),
             F.count_if(F.col(label) == 0).alias("neg"),
@@ -40,7 +40,7 @@ def threshold_sweep(
     hit = F.col("reached") > F.col("pos_in_list")
     return (
         counts.select("*", F.posexplode(F.array(*[F.lit(t) for t in cuts])).alias("pos_in_list", "threshold"))
-        .groupBy("threshold")
+        .groupBy(*by, "threshold")
         .agg(
             F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
             F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
@@ -56,27 +56,27 @@ def best_threshold(df: DataFrame, label: str, prob: str, candidates: Sequence[fl
     return DEFAULT_THRESHOLD if best is None else best["threshold"]
 
 
-def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """All four cells (label, pred, n)."""
+def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """All four cells (by..., label, pred, n)."""
     cells = [(y, p) for y in (0, 1) for p in (0, 1)]
-    counted = df.agg(
+    counted = df.groupBy(*by).agg(
         *[F.count_if((F.col(label) == y) & (F.col(pred) == p)).alias(f"n{y}{p}") for y, p in cells]
     )
     rows = [
         F.struct(F.lit(y).alias("label"), F.lit(p).alias("pred"), F.col(f"n{y}{p}").alias("n"))
         for y, p in cells
     ]
-    return counted.select(F.inline(F.array(*rows)))
+    return counted.select(*by, F.inline(F.array(*rows)))
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
-def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
+def class_report(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per class, with accuracy, macro and weighted averages."""
     y, p = F.col(label), F.col(pred)
-    counted = df.filter(y.isNotNull() & p.isNotNull()).agg(
+    counted = df.filter(y.isNotNull() & p.isNotNull()).groupBy(*by).agg(
         F.count_if((y == 1) & (p == 1)).alias("tp"),
         F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"),
@@ -110,7 +110,7 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
         )
         for name, v, support in lines
     ]
-    return counted.select(F.inline(F.array(*rows)))
+    return counted.select(*by, F.inline(F.array(*rows)))
 
 
 def roc_auc(df: DataFrame, label: str, prob: str) -> float | None:

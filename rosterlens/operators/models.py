@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
+from pyspark import SparkContext
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +80,15 @@ def fit_logistic(prepared: DataFrame, label: str, c: float = 1.0, max_iter: int
     ).fit(weighted)
 
 
+def logistic_model(intercept: float, coefficients: Sequence[float]) -> LogisticRegressionModel:
+    """A fitted model of the ``features`` vector from its numbers."""
+    context = SparkContext._active_spark_context
+    vector = _py2java(context, DenseVector(coefficients))
+    uid = f"LogisticRegression_{uuid.uuid4().hex[:12]}"
+    made = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(uid, vector, float(intercept))
+    return LogisticRegressionModel(made).setFeaturesCol(FEATURES)
+
+
 def linear_learner(label: str) -> Estimator:
     return LinearRegression(
         featuresCol=FEATURES, labelCol=label, regParam=0.0, solver="normal", standardization=False

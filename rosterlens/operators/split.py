@@ -9,7 +9,7 @@ Keys must be unique.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -105,13 +105,13 @@ def _share_of(n: Column, share: float) -> Column:
     return F.ceil(F.round(n * F.lit(share), 9))
 
 
-def test_quotas(counts: DataFrame, label: str, test_share: float) -> DataFrame:
-    """Test rows per class, as ``_rank``, from class counts (label, _n).
+def test_quotas(counts: DataFrame, label: str, test_share: float, by: Sequence[str] = ()) -> DataFrame:
+    """Test rows per class, as ``_rank``, from class counts (by..., label, _n), for each of ``by`` on its own.
 
     The test set has ceil(share * n) rows in all.  The train rows are shared out in proportion, the
     odd ones going to the classes with the largest remainders (ties to the smaller label).
     """
-    classes = Window.partitionBy(F.lit(1))  # one row per class
+    classes = Window.partitionBy(*by or [F.lit(1)])  # one row per class
     exact = F.expr("_n * _train_total / _total")
     turn = F.row_number().over(classes.orderBy(F.desc("_remainder"), label))
     left_over = F.col("_train_total") - F.sum("_base").over(classes)
@@ -121,7 +121,7 @@ def test_quotas(counts: DataFrame, label: str, test_share: float) -> DataFrame:
         .withColumn("_base", F.floor(exact))
         .withColumn("_remainder", F.round(exact - F.floor(exact), 9))
         .withColumn("_train", F.col("_base") + (turn <= left_over).cast("int"))
-        .select(label, F.expr("_n - _train").alias("_rank"))
+        .select(*by, label, F.expr("_n - _train").alias("_rank"))
         .filter("_rank > 0")
     )
 
@@ -144,6 +144,30 @@ def stratified_split(
     )
 
 
+def stratified_splits(
+    df: DataFrame, key: str, labels: Mapping[str, str], test_share: float = TEST_SHARE, seed: int | str = SEED
+) -> DataFrame:
+    """Add a test flag for each of several 0/1 labels (label: flag column), as ``stratified_split`` sets it.
+
+    All labels share the passes over the rows.  The flag is null where the label is.
+    """
+    strata = F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("int").alias("_class")) for c in labels]))
+    hashed = df.select(strata.alias("_s"), seeded_hash(key, seed).alias("_h")).select("_s.*", "_h").where("_class is not null")
+    hashed = hashed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cuts = hash_cuts(hashed, ["_of", "_class"], lambda n: test_quotas(n, "_class", test_share, ["_of"])).collect()  # two a label
+    finally:
+        hashed.unpersist()
+    at = {(c["_of"], c["_class"]): c["_cut"] for c in cuts}
+    h = seeded_hash(key, seed)
+
+    def flag(c: str) -> Column:
+        low = F.when(F.col(c) == 1, h <= F.lit(at.get((c, 1), ""))).otherwise(h <= F.lit(at.get((c, 0), "")))
+        return F.when(F.col(c).isNotNull(), low)
+
+    return df.withColumns({name: flag(c) for c, name in labels.items()})
+
+
 def random_split(
     df: DataFrame, key: str, test_share: float = TEST_SHARE, seed: int | str = SEED
 ) -> DataFrame:

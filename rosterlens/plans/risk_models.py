@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.caching import at_once, kept
 from ..functions.small_tables import computed
 from ..operators.clean import complete_cases
-from ..operators.evaluate import best_threshold, class_report, confusion, roc_auc
+from ..operators.evaluate import best_threshold, class_report, confusion, roc_auc, threshold_sweep
 from ..operators.explain import logistic_drivers, logistic_sentences
-from ..operators.features import fit_preparation, prepare
-from ..operators.models import LABEL, OneClass, fit_logistic, make_target, with_preparation
+from ..operators.features import FEATURES, category_levels, feature_names, fit_preparation, prepare
+from ..operators.models import LABEL, OneClass, fit_logistic, logistic_model, make_target, with_preparation
+from ..operators.newton import Fit, Moments, fit_targets, target_moments
 from ..operators.profile import class_share
+from ..operators.ranks import roc_aucs
 from ..operators.scoring import apply_threshold, coefficient_table
-from ..operators.split import bucket_split, stratified_split
-from ..schema import KEY, RISK_FEATURES, RISK_TARGETS, SEED, TEST_SHARE, FeatureSpec, TargetSpec
+from ..operators.split import bucket_split, stratified_split, stratified_splits
+from ..operators.sums import matrix
+from ..schema import DEFAULT_THRESHOLD, KEY, RISK_FEATURES, RISK_TARGETS, SEED, TEST_SHARE, FeatureSpec, TargetSpec
 from ..sources.registry import CLASSIFIER_PREFIX, save_model
 from ..sources.tables import save_drivers
 
@@ -117,3 +122,118 @@ def _train_one(base, prep, features, spec, key, tune_on, fit_on, max_iter, seed)
             drivers=logistic_sentences(logistic_drivers(coefficient_table(model, features)), spec.name),
             scored=scored(test).withColumn("pred", apply_threshold("prob", threshold)),
         )
+
+
+def train_risk_models_together(
+    df: DataFrame,
+    features: FeatureSpec = RISK_FEATURES,
+    targets: Mapping[str, TargetSpec] = RISK_TARGETS,
+    key: str = KEY,
+    models_dir: str | None = None,
+    reports_dir: str | None = None,
+    tune_on: str = "test",
+    seed: int | str = SEED,
+) -> dict[str, RiskResult]:
+    """The classifiers of ``train_risk_models``, all fitted, tuned and measured in the same scans.
+
+    The number of jobs does not grow with the targets (but for a quantile label's cut).  Each target has its own
+    stratified split and its features count as standardised on its own train rows; the stored models share one
+    preparation, fitted on all complete cases, so their coefficients are in its units.  ``drivers`` are in the target's.
+    Fits are exact to 1e-9, by Newton's method.
+    """
+    if tune_on not in ("test", "train"):
+        raise ValueError("tune_on is 'test' or 'train'")
+    clean = complete_cases(df, features.columns)
+    prep = fit_preparation(clean, features)
+    names = feature_names(prep, features)
+    specs = list(targets.values())
+    labels, flags = [f"_y{i}" for i in range(len(specs))], [f"_test{i}" for i in range(len(specs))]
+    cuts = []
+    for spec, label in zip(specs, labels):
+        clean, cut = make_target(clean, spec, label)
+        cuts.append(cut)
+    split = stratified_splits(clean, key, dict(zip(labels, flags)), TEST_SHARE, seed)
+    rows = prepare(prep, split).select(key, vector_to_array(FEATURES, "float64").alias("x"), *labels, *flags)
+    used = F.array(*[F.when(~F.col(t), F.col(y).cast("double")) for y, t in zip(labels, flags)])
+    with kept(rows.select(key, "x", used.alias("y"), F.array(*labels).alias("label"), F.array(*flags).alias("test"))) as rows:
+        train = rows.select("x", "y")
+        moments = target_moments(train, len(names), len(specs))
+        live = [_live(prep, features, m) for m in moments]
+        fits = fit_targets(train, len(names), moments, len(features.numeric), live=live)
+        for spec, fit in zip(specs, fits):
+            if fit is None:
+                warnings.warn(f"{spec.name}: only one class in its train rows", stacklevel=2)
+        fitted = [i for i, f in enumerate(fits) if f is not None]
+        if not fitted:
+            return {}
+        scored = _scores_of_all(rows, key, specs, fits)
+        with kept(scored if tune_on == "train" else scored.where("is_test")) as scored:
+            tuned = threshold_sweep(scored.where(F.col("is_test") == (tune_on == "test")), LABEL, "prob", by=["target"])
+            best = Window.partitionBy("target").orderBy(F.desc("f1"), "threshold")  # 17 rows a target
+            tuned = tuned.withColumn("_place", F.row_number().over(best)).where("_place = 1")
+            at = {r["target"]: r["threshold"] for r in tuned.collect()}
+            chosen = F.create_map(*[F.lit(v) for i in fitted for v in (specs[i].name, at.get(specs[i].name, DEFAULT_THRESHOLD))])
+            outcome = scored.where("is_test").withColumn("pred", (F.col("prob") >= chosen[F.col("target")]).cast("int"))
+            aucs = {r["model"]: r["auc"] for r in roc_aucs(outcome, "target", LABEL, "prob").collect()}
+            reports = computed(class_report(outcome, LABEL, "pred", ["target"]))
+            cells = computed(confusion(outcome, LABEL, "pred", ["target"]))
+    results = {}
+    all_scores = _scores_of_all(rows, key, specs, fits).where("is_test")
+    spark = df.sparkSession
+    for i in fitted:
+        name, fit, m = specs[i].name, fits[i], moments[i]
+        own = F.col("target") == name
+        scale = [m.std[j] if j < len(features.numeric) else 1.0 for j in range(len(names))]
+        table = spark.createDataFrame([(n, float(c * s)) for n, c, s in zip(names, fit.coefficients, scale)], "feature string, coef double")
+        threshold = at.get(name, DEFAULT_THRESHOLD)
+        r = results[name] = RiskResult(
+            target=name,
+            model=with_preparation(prep, logistic_model(fit.intercept, fit.coefficients)),
+            cut=cuts[i],
+            threshold=threshold,
+            auc=aucs.get(name),
+            report=reports.where(own).drop("target"),
+            confusion=cells.where(own).drop("target"),
+            train_share=spark.createDataFrame(
+                [(k, n, n / m.n) for k, n in ((0, m.n - m.ones), (1, m.ones))], f"{LABEL} int, n long, proportion double"
+            ),
+            drivers=logistic_sentences(logistic_drivers(table), name),
+            scored=all_scores.where(own).select(key, LABEL, "prob").withColumn("pred", apply_threshold("prob", threshold)),
+        )
+        if models_dir:
+            save_model(r.model, models_dir, CLASSIFIER_PREFIX + name, features, threshold)
+        if reports_dir:
+            save_drivers(r.drivers, reports_dir, "logreg", name)
+    return results
+
+
+def _live(prep: PipelineModel, features: FeatureSpec, m: Moments) -> np.ndarray:
+    """Features that a preparation of the target's own train rows would have: without the first level seen there."""
+    live, at = m.std > 0, len(features.numeric)
+    for levels in category_levels(prep, features).values():
+        own = slice(at, at + len(levels) - 1)
+        if m.n and m.mean[own].sum() > 1 - 0.5 / m.n and live[own].any():  # the first level of all is not there
+            live[at + int(np.argmax(m.mean[own] > 0))] = False
+        at += len(levels) - 1
+    return live
+
+
+def _scores_of_all(rows: DataFrame, key: str, specs: list[TargetSpec], fits: list[Fit | None]) -> DataFrame:
+    """(target, key, label, is_test, prob): a row for each record and fitted target, from one scan."""
+    which = [i for i, f in enumerate(fits) if f is not None]
+    slopes = np.stack([fits[i].coefficients for i in which], axis=1)
+    start = np.array([fits[i].intercept for i in which])
+    names = [specs[i].name for i in which]
+    places = F.array(*[F.struct(F.lit(n).alias("target"), F.get("label", F.lit(i)).cast("int").alias(LABEL), F.get("test", F.lit(i)).alias("is_test"), F.get("p", F.lit(k)).alias("prob")) for k, (i, n) in enumerate(zip(which, names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("x"), len(slopes))
+            p = 1.0 / (1.0 + np.exp(-(x @ slopes + start)))
+            ends = pa.array(np.arange(len(x) + 1) * len(start), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("label"), batch.column("test"), lists], names=[key, "label", "test", "p"])
+
+    kinds = dict(rows.dtypes)
+    scored = rows.mapInArrow(run, f"`{key}` {kinds[key]}, label {kinds['label']}, test {kinds['test']}, p array<double>")
+    return scored.select(key, F.explode(places).alias("s")).select("s.target", key, f"s.{LABEL}", "s.is_test", "s.prob").where(F.col(LABEL).isNotNull())
