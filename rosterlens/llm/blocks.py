@@ -1,10 +1,11 @@
-"""Documents gathered to blocks of bounded size, one row each, inside the tasks that read them."""
+"""Documents gathered to blocks of bounded size, one row each, inside the tasks that read them; small forms of arrays."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
@@ -47,3 +48,26 @@ def few_rows_a_batch(spark: SparkSession, rows: int = 8) -> Iterator[None]:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def pressed(raw: bytes) -> bytes:
+    """Compressed bytes, after their length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpressed(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def pressed_numbers(a: np.ndarray) -> bytes:
+    """Numbers from zero on, by planes of bytes, as many as the largest needs: equal planes take next to nothing."""
+    width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + pressed(planes.tobytes())
+
+
+def unpressed_numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpressed(raw[1:]), np.uint8).reshape(raw[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : raw[0]] = planes.T
+    return wide.view("<i8").ravel()

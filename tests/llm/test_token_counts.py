@@ -34,12 +34,25 @@ def test_random_texts_in_small_blocks(spark, library):
     assert sorted(want) == sorted(map(tuple, got))
 
 
-def test_each_pre_token_is_counted_once(odd):
+def test_pre_tokens_meet_in_buckets(odd, library):
     docs = odd.selectExpr("doc_id key", "text")
-    blocks = tc.frequencies(docs, PATH, block_chars=2000)
-    pieces = blocks.selectExpr("explode(pieces) piece")
-    sizes = tc.piece_sizes(pieces.distinct(), PATH).collect()
-    assert blocks.count() > 3 and pieces.count() > len(sizes) == len({r.piece for r in sizes})
+    packets = tc.frequencies(docs, PATH, block_chars=2000).selectExpr("block", "inline(packets)")
+    sizes = {(r.block, r.bucket): tc.unpressed_numbers(r.sizes).tolist() for r in tc.piece_sizes(packets, PATH).collect()}
+    bucket: dict = {}
+    found = 0
+    for r in packets.collect():
+        pieces = tc.unpacked(r.pieces)
+        assert sizes[r.block, r.bucket] == [len(library.encode(p, add_special_tokens=False).ids) for p in pieces]
+        assert all(bucket.setdefault(p, r.bucket) == r.bucket for p in pieces)
+        found += len(pieces)
+    assert found > 1.5 * len(bucket) and len(set(bucket.values())) > 100
+
+
+def test_memo_that_overflows_changes_nothing(odd, library, monkeypatch):
+    monkeypatch.setattr(tc, "MEMO_ENTRIES", 3)
+    sizes = tc.Sizes(tc.codec(tc.content(PATH)))
+    pieces = [" a", "word", "<|endoftext|>", " longer", "x" * 99, " a", "word", "q"]
+    assert [sizes[p] for p in pieces] == [len(library.encode(p, add_special_tokens=False).ids) for p in pieces] and len(sizes) <= 3
 
 
 def test_long_pieces(spark, library):
