@@ -5,9 +5,11 @@ language's words: a phrase that is frequent in the whole is frequent, by that me
 least.  Each shard is mined completely, one after the other, so only a shard's phrases are on disk at a time; what
 any shard found frequent is a candidate, and all candidates are then counted in every shard, by their words.
 
-A shard is no task: it consists of blocks of bounded size, whose phrases meet as 64-bit hashes in sums by key.  Hashes
-decide on candidates only, where two that meet can but add a candidate; the counts are of words.  A phrase that
-is everywhere is one row a block.
+A shard is no task: it consists of blocks of bounded size.  A block sends its phrases, as sorted 64-bit hashes with
+counts, in packets to ranges of hashes; there are as many ranges as keep one in memory, and a packet holds hundreds of
+phrases.  A range adds up the packets of all blocks to mine, and later tells each block which of its phrases are
+candidates.  Hashes decide on candidates only, where two that meet can but add a candidate; the counts are
+of words.  A phrase that is everywhere is one entry a block.
 
 Within a language a candidate is scored by its weakest cut, candidates that mostly occur inside a longer one are left
 out, and the best are returned.  Null texts are empty, a null language is ``und``; documents that repeat count as often
@@ -16,6 +18,7 @@ as they occur; an empty table, or one without frequent phrases, gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,8 +35,10 @@ from .blocks import PLACE_BITS, few_rows_a_batch, gathered
 from .common import small_batches, text_or_empty
 from .storage import written
 
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 4 << 20
 SHARDS = 5
+#: Phrases that a range of hashes should hold, and the bits that tell ranges apart, at least and at most.
+RANGE_KEYS, RANGE_BITS = 2 << 20, (6, 12)
 LEAST, LONGEST, TOP = 30, 4, 2000
 INSIDE_PERCENT = 80
 UNKNOWN = "und"
@@ -114,71 +119,110 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def phrase_keys(lang: str, words: list[str], places: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For 2 words and more: their number, where such phrases begin, and the phrases' hashes."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    word = np.append(hashes, np.uint64(0))[places]  # END is the last
-    keys = mixed(np.uint64(xxhash.xxh64_intdigest(lang)), word)
-    inside = places != END
+def phrase_keys(row: dict, longest: int) -> tuple[list[str], np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Words and places of a block, and for 2 words and more: where such phrases begin, and the phrases' hashes."""
+    words, places = row["words"], np.frombuffer(row["places"], np.int32)
+    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    word = np.append(own, np.uint64(0))[places]  # END is the last
+    keys = mixed(np.uint64(xxhash.xxh64_intdigest(row["lang"])), word)
+    at = np.flatnonzero(places != END)
+    keys, found = keys[at], []
     for k in range(2, longest + 1):
-        if len(places) < k:
-            return
-        keys = mixed(keys[:-1], word[k - 1 :])
-        inside = inside[:-1] & (places[k - 1 :] != END)
-        at = np.flatnonzero(inside)
-        yield k, at, keys[at]
+        on = places[np.minimum(at + k - 1, len(places) - 1)] != END  # a block ends with END
+        at = at[on]
+        keys = mixed(keys[on], word[at + k - 1])
+        found.append((k, at, keys))
+    return words, places, found
 
 
-def fields(row: dict) -> tuple[str, list[str], np.ndarray]:
-    return row["lang"], row["words"], np.frombuffer(row["places"], np.int32)
+PACKETS = T.StructType([T.StructField(c, t) for c, t in (("bucket", T.IntegerType()), ("block", T.LongType()), ("least", T.LongType()), ("keys", T.BinaryType()), ("counts", T.BinaryType()))])
 
 
-def mined(blocks: DataFrame, longest: int) -> DataFrame:
-    """Hashes of the phrases that are frequent in the blocks of one shard; ``least`` is the support there."""
+def packets(blocks: DataFrame, longest: int, bits: int) -> DataFrame:
+    """PACKETS of the blocks' distinct phrases, by the first bits of their hashes."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = [keys for _, _, keys in phrase_keys(*fields(row), longest)]
+                found = [keys for _, _, keys in phrase_keys(row, longest)[2]]
                 keys, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-                least = np.full(len(keys), row["least"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(least), pa.array(n)], names=["key", "least", "n"])
-
-    rows = blocks.select("lang", "words", "places", "least").mapInArrow(run, "key long, least long, n long")
-    return rows.groupBy("key", "least").agg(F.sum("n").alias("n")).where("n >= least").select("key")
-
-
-def counted(blocks: DataFrame, candidates: DataFrame, longest: int) -> DataFrame:
-    """lang, phrase, f: the candidates (``key``) in the blocks of one shard, counted by their words."""
-
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = [keys for _, _, keys in phrase_keys(*fields(row), longest)]
-                keys = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)])).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"], np.int64)), pa.array(keys)], names=["block", "key"])
+                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                n = n.astype(np.int32)
+                made = [
+                    pa.array([i for i, _, _ in some], pa.int32()),
+                    pa.array(np.full(len(some), row["block"], np.int64)),
+                    pa.array(np.full(len(some), row["least"], np.int64)),
+                    pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()),
+                    pa.array([n[a:b].tobytes() for _, a, b in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(made, names=PACKETS.names)
+
+    return blocks.select("block", "lang", "words", "places", "least").mapInArrow(run, PACKETS)
+
+
+def all_of(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of packed arrays, end to end, and how many each row has."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), kind), np.array([len(r) // np.dtype(kind).itemsize for r in raw], np.int64)
+
+
+def mined(blocks: DataFrame, longest: int, bits: int) -> DataFrame:
+    """(bucket, keys): phrases that are frequent in the blocks of one shard; ``least`` is the support there."""
+
+    def frequent(rows: pa.Table) -> pa.Table:
+        keys, size = all_of(rows.column("keys"), np.uint64)
+        n, _ = all_of(rows.column("counts"), np.int32)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.add.reduceat(n[order].astype(np.int64), first)
+        least = np.repeat(rows.column("least").to_numpy(), size)[order][first]
+        kept = keys[first][total >= least]
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "keys": pa.array([kept.tobytes()], pa.binary())})
+
+    return packets(blocks, longest, bits).groupBy("bucket").applyInArrow(frequent, "bucket int, keys binary")
+
+
+def counted(blocks: DataFrame, candidates: DataFrame, longest: int, bits: int) -> DataFrame:
+    """lang, phrase, f: the candidates (bucket, keys) in the blocks of one shard, counted by their words."""
+
+    def wanted(rows: pa.Table, some: pa.Table) -> pa.Table:
+        known = np.sort(all_of(some.column("keys"), np.uint64)[0])
+        keys, size = all_of(rows.column("keys"), np.uint64)
+        hit = among(keys, known)
+        hits = np.split(keys[hit], np.cumsum(np.add.reduceat(np.append(hit, 0), np.cumsum(size) - size) if len(size) else [])[:-1])
+        return pa.table({"block": rows.column("block"), "keys": pa.array([h.tobytes() for h in hits] if len(size) else [], pa.binary())})
 
     def count(block: pa.Table) -> pa.Table:
         (row,) = block.to_pylist()
-        wanted = np.sort(np.array(row["keys"], np.int64).view(np.uint64))
-        lang, words, places = fields(row)
-        phrases, n = [], []
-        for k, at, keys in phrase_keys(lang, words, places, longest):
-            at = at[wanted[np.searchsorted(wanted, keys).clip(max=len(wanted) - 1)] == keys]
+        known = np.sort(np.frombuffer(b"".join(row["keys"]), np.uint64))
+        words, places, found = phrase_keys(row, longest)
+        phrases, n = [], [np.zeros(0, np.int64)]
+        for k, at, keys in found:
+            at = at[among(keys, known)]
             same = np.stack([places[at + i] for i in range(k)])
-            order = np.lexsort(same)
-            same = same[:, order]
+            same = same[:, np.lexsort(same)]
             new = np.append(True, (same[:, 1:] != same[:, :-1]).any(axis=0)) if len(at) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             n.append(np.diff(np.append(first, len(at))))
             phrases += [" ".join([words[i] for i in phrase]) for phrase in same[:, first].T.tolist()]
-        return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(np.concatenate(n or [np.zeros(0)]).astype(np.int64))})
+        columns = {"lang": pa.array([row["lang"]] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string())}
+        return pa.table(columns | {"f": pa.array(np.concatenate(n).astype(np.int64))})
+
+    sent = packets(blocks, longest, bits).drop("counts", "least")
+    hits = sent.groupBy("bucket").cogroup(candidates.groupBy("bucket")).applyInArrow(wanted, "block long, keys binary")
+    hits = hits.where(F.length("keys") > 0).groupBy("block").agg(F.collect_list("keys").alias("keys"))
+    here = blocks.select("block", "lang", "words", "places").join(hits, "block").groupBy("block")
+    return here.applyInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
 
-    keys = blocks.select("block", "lang", "words", "places").mapInArrow(keys_of, "block long, key long")
-    wanted = keys.join(candidates, "key").groupBy("block").agg(F.collect_list("key").alias("keys"))
-    here = blocks.select("block", "lang", "words", "places").join(wanted, "block").groupBy("block")
-    found = here.applyInArrow(count, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``some``."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.searchsorted(some, keys).clip(max=len(some) - 1)] == keys
 
 
 def together(frames: list[DataFrame]) -> DataFrame:
@@ -199,13 +243,15 @@ def frequent(
     share = share.select("shard", "lang", F.greatest(support, F.lit(1).cast("long")).alias("least"))
     word = F.explode(F.arrays_zip("words", "counts")).alias("w")
     words = blocks.select("lang", word).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
-    own = [blocks.where(F.col("shard") == s) for s in range(shards)]
+    words = written(words.where(F.col("f") >= least), release=True)
+    n = blocks.agg(F.sum("n_words")).first()[0] or 0
+    bits = min(max(math.ceil(math.log2(max(n * (longest - 1) / shards / RANGE_KEYS, 1))), RANGE_BITS[0]), RANGE_BITS[1])
+    own = [attach(blocks.where(F.col("shard") == s), share.where(F.col("shard") == s).drop("shard"), ["lang"]) for s in range(shards)]
     with few_rows_a_batch(spark):
-        found = [written(mined(attach(b, share, ["shard", "lang"]), longest), release=True) for b in own]
-        candidates = written(together(found).distinct(), release=True)
-        parts = [written(counted(b, candidates, longest), release=True) for b in own]
-    phrases = together(parts).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return written(words.unionByName(phrases).where(F.col("f") >= least), release=True), total
+        candidates = together([written(mined(b, longest, bits), release=True) for b in own])
+        parts = [written(counted(b, candidates, longest, bits), release=True) for b in own]
+    phrases = together(parts).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return written(words.unionByName(phrases), release=True), total
 
 
 def collocations(
