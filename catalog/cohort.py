@@ -117,3 +117,15 @@ NUMERIC = ["o_totalprice", "c_acctbal", "qty", "disc"]
 COUNTED = [*NUMERIC, "n_lines"]
 CATEGORICAL = ["division_level", "mos", "rank", "trend"]
 FEATURES = FeatureSpec(("o_totalprice", "c_acctbal", "qty", "disc"), ("mos", "rank", "trend"))
+#: Nine 0/1 targets of the cohort.
+NINE = {
+    "returned": "returned",
+    "low_price": "low_flag",
+    "urgent": "cast(rank = '1-URGENT' as int)",
+    "low_rank": "cast(rank = '5-LOW' as int)",
+    "building": "cast(mos = 'BUILDING' as int)",
+    "pending": "cast(trend = 'P' as int)",
+    "europe": "cast(division_level = 'EUROPE' as int)",
+    "many_lines": "cast(n_lines >= 5 as int)",
+    "dear": "cast(o_totalprice > 200000 as int)",
+}

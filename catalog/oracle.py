@@ -9,6 +9,7 @@ from .cohort import (
     CATEGORICAL,
     COHORT_SQL,
     COUNTED,
+    NINE,
     NUMERIC,
     RISK_MODELS,
     SCENARIO,
@@ -914,6 +915,117 @@ from cohort, one, (select distinct f from one_long) x""",
     _cells,
     *stump("one", "cells"),
 )
+
+
+def boosted(cells: str, rounds: int = 2, depth: int = 2, rate: float = 0.5, penalty: float = 1.0) -> list[str]:
+    """Second-order trees on cells (i, fits, n_lines, returned, n, s, p): for each i those that fit are learned from.
+
+    The last table, ``done``, has the predictions p of all cells.  Nodes are numbered as in a heap; of equal gains the
+    first feature's lowest cut is taken.
+    """
+    out, last = [], cells
+    for k in range(1, rounds + 1):
+        out.append(f"r{k}_0 as (select *, 0 node from {last})")
+        for d in range(depth):
+            x, at = f"r{k}_{d}", f"r{k}_{d + 1}"
+            out += [
+                f"""{x}_long as (select i, node, 0 f, n_lines::double v, n * p - s g, n::double h from {x} where fits
+  union all select i, node, 1, returned, n * p - s, n from {x} where fits)""",
+                f"{x}_bins as (select i, node, f, v, sum(g) g, sum(h) h from {x}_long group by i, node, f, v)",
+                f"""{x}_cuts as (select i, node, f, v c, sum(g) over upto gl, sum(h) over upto hl, sum(g) over whole gt, sum(h) over whole ht
+  from {x}_bins window upto as (partition by i, node, f order by v), whole as (partition by i, node, f))""",
+                f"""{x}_gains as (select *, gl * gl / (hl + {penalty}) + (gt - gl) * (gt - gl) / (ht - hl + {penalty}) - gt * gt / (ht + {penalty}) gain
+  from {x}_cuts where hl >= 1 and ht - hl >= 1)""",
+                f"""{x}_best as (select * from {x}_gains where gain > 1e-6
+  qualify row_number() over (partition by i, node order by round(gain, 6) desc, f, c) = 1)""",
+                f"""{at} as (select x.* replace (case when b.c is null then -1 - node when case b.f when 0 then n_lines else returned end <= b.c
+  then 2 * node + 1 else 2 * node + 2 end as node) from {x} x left join {x}_best b using (i, node))""",
+            ]
+            if d + 1 < depth:  # a node without a split stays as it is
+                out[-1] = out[-1].replace("then -1 - node", "then node")
+        x = f"r{k}_{depth}"
+        out += [
+            f"{x}_leaves as (select i, node, sum(n * p - s) g, sum(n) h from {x} where fits group by i, node)",
+            f"r{k} as (select x.* exclude (node) replace (p - {rate} * coalesce(g / (h + {penalty}), 0) as p) from {x} x left join {x}_leaves using (i, node))",
+        ]
+        last = f"r{k}"
+    return [*out, f"done as (select * from {last})"]
+
+
+_one = "one_model as (select 0 i, true fits, *, sum(s) over () / sum(n) over () p from cells)"
+oracle(
+    "regularised_boosting",
+    "select n_lines, returned, n, round(p, 6) as prediction from done",
+    _cells,
+    _one,
+    *boosted("one_model"),
+)
+oracle(
+    "cv_regularised_boosting",
+    """
+select fold, sum(n)::bigint as n, round(sqrt(sum(q - 2 * p * s + n * p * p) / sum(n)), 6) as rmse,
+       round(1 - sum(q - 2 * p * s + n * p * p) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) as r2
+from done where not fits group by fold""",
+    f"folded as (select *, cast(ntile(5) over (order by {HASH}) - 1 as integer) as fold from cohort)",
+    "f as (select fold, n_lines, returned, count(*) n, sum(qty) s, sum(qty * qty) q from folded group by fold, n_lines, returned)",
+    """models as (select i, fold <> i as fits, f.*, sum(s) filter (where fold <> i) over (partition by i)
+  / sum(n) filter (where fold <> i) over (partition by i) as p from f, range(5) r(i))""",
+    *boosted("models"),
+)
+oracle(
+    "tree_scenario",
+    """
+select brigade_level, count(*) as n, round(avg(b.p), 5) as before, round(avg(a.p), 5) as after
+from cohort c join done b on b.n_lines = c.n_lines and b.returned = c.returned
+join done a on a.n_lines = least(c.n_lines + 1, 7) and a.returned = c.returned group by brigade_level""",
+    _cells,
+    """all_cells as (select n_lines, returned, coalesce(n, 0) n, coalesce(s, 0) s
+  from (select distinct n_lines from cells) cross join (select distinct returned from cells) left join cells using (n_lines, returned))""",
+    "one_model as (select 0 i, n > 0 fits, *, sum(s) over () / sum(n) over () p from all_cells)",
+    *boosted("one_model"),
+)
+SQL["cv_linear_by_sums"] = SQL["cv_linear"]
+oracle("boosted_attribution_adds_up", "select count(*) as n, 0::bigint as wrong from cohort")
+
+# Newton's method with two slopes, for nine targets at a time
+_nine = {name: e.replace("(rank =", '("rank" =') for name, e in NINE.items()}
+_labels = " union all ".join(f"select '{t}' as target, {e} as y, x1, x2 from z" for t, e in _nine.items())
+_newton = [
+    """z as (select *, (qty - avg(qty) over ()) / stddev_pop(qty) over () as x1,
+  (c_acctbal - avg(c_acctbal) over ()) / stddev_pop(c_acctbal) over () as x2 from cohort)""",
+    f"ys as ({_labels})",
+    "x as (select *, count(*) over (partition by target) / (2.0 * count(*) over (partition by target, y)) as w from ys)",
+    "n0 as (select distinct target, 0.0::double a, 0.0::double b, 0.0::double c from ys)",
+]
+for _i in range(1, 11):
+    _newton += [
+        f"""h{_i} as (select target, any_value(a) a, any_value(b) b, any_value(c) c, sum(w * (p - y)) g0, sum(w * (p - y) * x1) + any_value(b) g1, sum(w * (p - y) * x2) + any_value(c) g2, sum(v) h00, sum(v * x1) h01,
+  sum(v * x2) h02, sum(v * x1 * x1) + 1 h11, sum(v * x1 * x2) h12, sum(v * x2 * x2) + 1 h22
+  from (select *, w * p * (1 - p) v from (select *, 1 / (1 + exp(-a - b * x1 - c * x2)) p from x join n{_i - 1} using (target))) group by target)""",
+        f"""d{_i} as (select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) d from h{_i})""",
+        f"""n{_i} as (select target,
+  a - (g0 * (h11 * h22 - h12 * h12) + g1 * (h02 * h12 - h01 * h22) + g2 * (h01 * h12 - h02 * h11)) / d as a,
+  b - (g0 * (h12 * h02 - h01 * h22) + g1 * (h00 * h22 - h02 * h02) + g2 * (h01 * h02 - h00 * h12)) / d as b,
+  c - (g0 * (h01 * h12 - h11 * h02) + g1 * (h01 * h02 - h00 * h12) + g2 * (h00 * h11 - h01 * h01)) / d as c from d{_i})""",
+    ]
+oracle(
+    "logistic_nine_targets",
+    "select target, round(a, 4) as intercept, round(b, 4) as qty, round(c, 4) as c_acctbal from n10",
+    *_newton,
+)
+oracle(
+    "auc_nine",
+    """
+select model, sum(pos + neg)::bigint as n, round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) as auc
+from (select *, coalesce(sum(neg) over (partition by model order by p rows between unbounded preceding and 1 preceding), 0) as below
+      from (select model, p, count(*) filter (where y = 1) pos, count(*) filter (where y = 0) neg from pairs group by model, p))
+group by model""",
+    SCORED,
+    "pairs as ("
+    + union([f"select '{m} of {y}' as model, {_nine.get(y, y)} as y, round({m}, 9) as p from scored" for m in RISK_MODELS for y in ("returned", "low_flag", "urgent")])
+    + ")",
+)
+
 oracle("attribution_adds_up", "select count(*) as n, 0::bigint as wrong from cohort")
 oracle(
     "cv_stump",

@@ -12,12 +12,16 @@ from rosterlens.functions.small_tables import computed
 from rosterlens.operators import (
     association,
     attribution,
+    boosting,
     charts,
     clean,
     evaluate,
     explain,
+    foldstats,
     models,
+    newton,
     profile,
+    ranks,
     screening,
     split,
     units,
@@ -31,8 +35,8 @@ from rosterlens.operators.models import (
     make_target,
 )
 from rosterlens.operators.quantiles import exact_quantiles
-from rosterlens.operators.scoring import add_scores, apply_threshold, coefficient_table, linear_score
-from rosterlens.plans.risk_models import train_risk_models
+from rosterlens.operators.scoring import add_scores, apply_threshold, coefficient_table, linear_score, tree_score
+from rosterlens.plans.risk_models import train_risk_models, train_risk_models_together
 from rosterlens.schema import FeatureSpec, TargetSpec
 from rosterlens.sources.tables import load_table
 
@@ -41,6 +45,7 @@ from .cohort import (
     COUNTED,
     FEATURES,
     KEY,
+    NINE,
     NUMERIC,
     RISK_MODELS,
     SCENARIO,
@@ -768,6 +773,107 @@ def tree_attribution(df):
         return computed(attribution.attribution_summary(values))
 
 
+# --- many models in the same scans, trees as columns --------------------------------------------------------
+
+
+@query
+def logistic_nine_targets(df):
+    """Coefficients of class-balanced models of nine targets on two numbers, all from the same scans."""
+    spec = FeatureSpec(("qty", "c_acctbal"), ())
+    labels = F.array(*[F.expr(e).cast("double") for e in NINE.values()])
+    prepared = prepare(fit_preparation(df, spec), df.withColumn("y", labels))
+    with kept(prepared.select(vector_to_array("features").alias("x"), "y")) as rows:
+        moments = newton.target_moments(rows, 2, len(NINE))
+        fits = newton.fit_targets(rows, 2, moments, 2)
+    table = [(t, f.intercept, *map(float, f.coefficients)) for t, f in zip(NINE, fits)]
+    return rounded(df.sparkSession.createDataFrame(table, "target string, intercept double, qty double, c_acctbal double"), 4)
+
+
+@query
+def auc_nine(df):
+    """Areas under the curve of three scores for three labels, from one shuffle."""
+    labels = ("returned", "low_flag", "urgent")
+    scored = add_scores(df, RISK_MODELS).withColumn("urgent", F.expr(NINE["urgent"]))
+    pairs = [
+        F.struct(F.lit(f"{m} of {y}").alias("model"), F.col(y).alias("y"), r(F.col(m), 9).alias("p")) for m in RISK_MODELS for y in labels
+    ]
+    long = scored.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
+    return rounded(ranks.roc_aucs(long, "model", "y", "p"))
+
+
+@query
+def fit_nine_risk_models(df):
+    """Nine risk models split, fitted, tuned and measured together."""
+    specs = {t: TargetSpec(t, "binary") for t in NINE}
+    spec = FeatureSpec(("o_totalprice", "c_acctbal", "disc", "qty"), ("mos", "trend"))
+    fitted = train_risk_models_together(df.withColumns({t: F.expr(e) for t, e in NINE.items()}), spec, specs, KEY)
+    rows = [(t, float(x.threshold), float(x.auc), *line) for t, x in fitted.items() for line in x.confusion.collect()]  # four lines a target
+    return df.sparkSession.createDataFrame(rows, "target string, threshold double, auc double, label int, pred int, n long")
+
+
+def _regularised(depth: int = 2, rounds: int = 2):
+    return models.regularised_learner("qty", rounds=rounds, depth=depth, rate=0.5, share=1.0)
+
+
+@query
+def regularised_boosting(df):
+    """Two rounds of depth two with a leaf penalty of one."""
+    return _stump(df, _regularised())[1]
+
+
+@query
+def cv_regularised_boosting(df):
+    """Fold scores of the same; the models of all folds grow in the same passes."""
+    folded = split.assign_folds(df.select(KEY, "qty", *STUMP.columns), KEY, 5)
+    settings = boosting.Settings(rounds=2, depth=2, rate=0.5, row_share=1.0, column_share=1.0)
+    return rounded(boosting.cross_validate_boosted(folded, STUMP, "qty", "fold", 5, settings))
+
+
+@query
+def cv_linear_by_sums(df):
+    """Fold scores of a linear model from sums by fold: no model is fitted or scored on rows again."""
+    spec = FeatureSpec(("qty", "c_acctbal"), ())
+    folded = split.assign_folds(df.select(KEY, "o_totalprice", *spec.columns), KEY, 5)
+    return rounded(foldstats.cross_validate_linear(folded, spec, "o_totalprice", "fold", 5), 4)
+
+
+@query
+def cv_three_learners(df):
+    """Mean fold scores of the linear, forest and boosted learners on all features."""
+    folded = split.assign_folds(_regression_frame(df), KEY, 5)
+    with kept(folded) as rows:
+        scores = {
+            "linreg": foldstats.cross_validate_linear(rows, FEATURES, "y", "fold", 5),
+            "rfreg": evaluate.cross_validate(rows, FEATURES, forest_learner("y", trees=10, depth=6), "y", "fold", 5),
+            "xgbreg": boosting.cross_validate_boosted(rows, FEATURES, "y", "fold", 5, boosting.Settings(rounds=10, depth=4, rate=0.3, bins=64)),
+        }
+    lines = [evaluate.cv_summary(x).withColumn("learner", F.lit(name)) for name, x in scores.items()]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
+@query
+def tree_scenario(df):
+    """Mean predictions of a boosted model by unit, before and after orders gain a line, from one scan."""
+    score = tree_score(_stump(df, _regularised())[0], STUMP)
+    more = {"n_lines": F.least(F.col("n_lines") + 1, F.lit(7))}
+    both = add_scores(add_scores(df, {"m": score}, {"m": "before"}), {"m": score}, {"m": "after"}, more)
+    means = both.groupBy("brigade_level").agg(F.count(F.lit(1)).alias("n"), F.avg("before").alias("before"), F.avg("after").alias("after"))
+    return rounded(means, 5)
+
+
+@query
+def boosted_attribution_adds_up(df):
+    """Records whose Shapley values and the expectation do not sum to the prediction, for a model of deeper trees."""
+    with kept(_regression_frame(df)) as data:
+        model = fit_regressor(data, FEATURES, models.regularised_learner("y", rounds=5, depth=6, rate=0.3, bins=64))
+        prep, fitted = model.stages
+        values, expected = attribution.tree_attribution(prepare(prep, data), KEY, fitted, feature_names(prep, FEATURES))
+        total = values.groupBy(KEY).agg(F.sum("value").alias("total"))
+        gap = F.abs(F.col("total") + expected - F.col("prediction"))
+        both = model.transform(data).select(KEY, "prediction").join(total, KEY, "left")
+        return computed(both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(gap > 1e-9, F.lit(True))).alias("wrong")))
+
+
 # --- screening ----------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ a large forest; Spark hands the rows to tasks in Arrow batches.  The recursion i
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.small_tables import cut_lineage
 from .features import FEATURES
-from .trees import BLOCK_NODES, FlatTrees, saved_trees
+from .sums import matrix
+from .trees import BLOCK_NODES, FlatTrees, blocks_of
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A column of equally long lists as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def with_block(rows: DataFrame, block: FlatTrees) -> DataFrame:
+def with_block(rows: DataFrame, width: int, block: FlatTrees) -> DataFrame:
     """Rows of (key, x, phi) with the values of some trees added to ``phi``."""
     shipped = rows.sparkSession.sparkContext.broadcast(block)
     names = rows.columns
@@ -32,20 +28,15 @@ def with_block(rows: DataFrame, block: FlatTrees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, phi = matrix(batch.column(1)), matrix(batch.column(2))
+                x, phi = (matrix(batch.column(i), width) for i in (1, 2))
                 total = phi + shipped.value.shapley(x)
-                ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                ends = pa.array(np.arange(len(x) + 1) * width, pa.int32())
                 added = pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), added], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def blocks_of(model, block_nodes: int) -> Iterable[FlatTrees]:
-    own = getattr(model, "flat_trees", None)
-    return [own()] if own else saved_trees(model, block_nodes)
-
-
 def tree_attribution(
     prepared: DataFrame,
     key: str,
@@ -68,10 +59,10 @@ def tree_attribution(
     last = None
     for block in blocks_of(model, block_nodes):
         if last is not None:
-            rows = cut_lineage(with_block(rows, last))
+            rows = cut_lineage(with_block(rows, len(names), last))
         expected += block.expected()
         last = block
-    rows = with_block(rows, last)
+    rows = with_block(rows, len(names), last)
     labels = F.array(*[F.lit(n) for n in names])
     long = rows.select(key, F.posexplode("phi").alias("i", "value")).select(
         key, F.element_at(labels, F.col("i") + 1).alias("feature"), "value"

@@ -124,6 +124,16 @@ def scaling(prep: PipelineModel, spec: FeatureSpec) -> dict[str, tuple[float, fl
     }
 
 
+def scaler_steps(prep: PipelineModel, spec: FeatureSpec) -> dict[str, tuple[float, float, float]]:
+    """(mean, multiplier, second multiplier) per numeric column, as the preparation applies them in turn."""
+    if not spec.numeric:
+        return {}
+    scaler = next(s for s in prep.stages if isinstance(s, StandardScalerModel))
+    factor = float(next(s for s in prep.stages if isinstance(s, ElementwiseProduct)).getScalingVec()[0])
+    numbers = zip(spec.numeric, scaler.mean.toArray(), scaler.std.toArray(), strict=True)
+    return {c: (float(m), 1.0 / float(s) if s else 0.0, factor) for c, m, s in numbers}
+
+
 def feature_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Spread the feature vector into named double columns (for inspection)."""
     values = vector_to_array(FEATURES)

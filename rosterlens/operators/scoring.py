@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_col, clip
 from ..schema import FeatureSpec
-from .features import FEATURES, category_levels, feature_names, scaling
+from .features import FEATURES, category_levels, feature_names, scaler_steps, scaling
+from .trees import FlatTrees, blocks_of, joined
 
 
 @dataclass(frozen=True)
@@ -74,6 +77,96 @@ class LinearScore:
         return replace(self, bounds=(low, high))
 
 
+#: Nodes up to which trees are written out as conditions; more of them are walked in Arrow batches.
+WRITTEN_NODES = 400
+
+
+@dataclass(frozen=True)
+class TreeScore:
+    """Trees as one column over the raw inputs: thresholds are on the inputs themselves, levels are 0/1 features.
+
+    Like a ``LinearScore`` it can stand several times in a query, over changed inputs too, in one scan.  A row with a
+    missing numeric input has no score.
+    """
+
+    trees: FlatTrees
+    numeric: tuple[str, ...] = ()
+    levels: tuple[tuple[str, str], ...] = ()
+    bounds: tuple[float, float] | None = None
+
+    @property
+    def columns(self) -> list[str]:
+        return list(dict.fromkeys([*self.numeric, *(c for c, _ in self.levels)]))
+
+    def score(self, inputs: Mapping[str, Column] | None = None) -> Column:
+        at = _lookup(inputs)
+        t = self.trees
+        used = sorted({int(f) for f in t.feature if f >= 0})
+        hits = {}
+        for f in used:
+            if f < len(self.numeric):
+                hits[f] = at(self.numeric[f]).cast("double")
+            else:
+                c, level = self.levels[f - len(self.numeric)]
+                hits[f] = F.coalesce(at(c).cast("string") == level, F.lit(False))
+        y = self._written(hits) if len(t.feature) <= WRITTEN_NODES else self._walked(hits, used)
+        whole = reduce(lambda a, b: a & b, [at(c).isNotNull() & ~F.isnan(at(c).cast("double")) for c in self.numeric], F.lit(True))
+        y = F.when(whole, y)
+        return clip(y, *self.bounds) if self.bounds else y
+
+    def _written(self, hits: Mapping[int, Column]) -> Column:
+        t = self.trees
+
+        def node(i: int) -> Column:
+            f = int(t.feature[i])
+            if f < 0:
+                return F.lit(float(t.value[i]))
+            low = hits[f] <= float(t.threshold[i]) if f < len(self.numeric) else ~hits[f]
+            return F.when(low, node(t.left[i])).otherwise(node(t.right[i]))
+
+        return reduce(lambda a, b: a + b, [node(r) for r in t.roots], F.lit(float(t.base)))
+
+    def _walked(self, hits: Mapping[int, Column], used: list[int]) -> Column:
+        place = np.full(max(used) + 1, -1)
+        place[used] = np.arange(len(used))
+        t = replace(self.trees, feature=np.where(self.trees.feature >= 0, place[self.trees.feature], -1))
+        shipped = SparkSession.active().sparkContext.broadcast(t)
+
+        @F.pandas_udf("double")
+        def walked(*x: pd.Series) -> pd.Series:
+            return pd.Series(shipped.value.predict(np.column_stack([v.to_numpy(dtype=float) for v in x])))
+
+        return walked(*[hits[f].cast("double") for f in used])
+
+
+def tree_score(model: PipelineModel, spec: FeatureSpec) -> TreeScore:
+    """Read a fitted forest or boosted pipeline (preparation, model) as a ``TreeScore``, equal in every comparison."""
+    prep, fitted = model.stages
+    t = joined(list(blocks_of(fitted)))
+    raw = t.threshold.copy()
+    for j, (c, (mean, by, factor)) in enumerate(scaler_steps(prep, spec).items()):
+        prepared = lambda v: (v - mean) * by * factor  # noqa: B023, E731
+        for i in np.flatnonzero(t.feature == j):
+            raw[i] = _largest_up_to(prepared, t.threshold[i], mean + t.threshold[i] / (by * factor) if by else 0.0)
+    levels = tuple((c, level) for c, all_ in category_levels(prep, spec).items() for level in all_[1:])
+    return TreeScore(replace(t, threshold=raw), spec.numeric, levels)
+
+
+def _largest_up_to(f, limit: float, start: float) -> float:
+    """The largest number whose image under a growing function is at most ``limit``."""
+    if f(start) == f(start + 1.0):  # a constant feature
+        return np.inf if f(start) <= limit else -np.inf
+    reach = max(abs(start), 1.0) * 1e-9
+    low, high = start - reach, start + reach
+    while f(low) > limit:
+        low, reach = low - reach, 2 * reach
+    while f(high) <= limit:
+        high, reach = high + reach, 2 * reach
+    while low < (middle := (low + high) / 2) < high:
+        low, high = (middle, high) if f(middle) <= limit else (low, middle)
+    return float(low)
+
+
 def _lookup(inputs: Mapping[str, Column] | None):
     return lambda c: (inputs or {}).get(c, F.col(c))
 
@@ -96,7 +189,7 @@ def linear_score(model: PipelineModel, spec: FeatureSpec) -> LinearScore:
 
 def add_scores(
     df: DataFrame,
-    models: Mapping[str, LinearScore | PipelineModel],
+    models: Mapping[str, LinearScore | TreeScore | PipelineModel],
     names: Mapping[str, str] | None = None,
     inputs: Mapping[str, Column] | None = None,
     bounds: Mapping[str, tuple[float, float]] | None = None,
@@ -110,7 +203,7 @@ def add_scores(
     """
     names = names or {m: m for m in models}
     bounds = bounds or {}
-    inline = {m: s for m, s in models.items() if isinstance(s, LinearScore)}
+    inline = {m: s for m, s in models.items() if isinstance(s, (LinearScore, TreeScore))}
     piped = {m: p for m, p in models.items() if m not in inline}
     scores = {names[m]: _bounded(s.score(inputs), bounds.get(m)) for m, s in inline.items()}
     out = df.withColumns(scores) if scores else df

@@ -204,6 +204,23 @@ def saved_trees(model, block_nodes: int = BLOCK_NODES) -> Iterator[FlatTrees]:
         first = last
 
 
+def blocks_of(model, block_nodes: int = BLOCK_NODES) -> Iterator[FlatTrees]:
+    """The trees of a fitted model of this library or of MLlib, some at a time."""
+    own = getattr(model, "flat_trees", None)
+    return iter([own()]) if own else saved_trees(model, block_nodes)
+
+
+def joined(blocks: list[FlatTrees]) -> FlatTrees:
+    """Several blocks as one; their predictions add up."""
+    offset = np.cumsum([0, *(len(b.feature) for b in blocks)])
+
+    def moved(name: str) -> np.ndarray:
+        return np.concatenate([np.where(getattr(b, name) >= 0, getattr(b, name) + o, -1) for b, o in zip(blocks, offset)])
+
+    same = {c: np.concatenate([getattr(b, c) for b in blocks]) for c in ("feature", "threshold", "value", "cover")}
+    return FlatTrees(**same, left=moved("left"), right=moved("right"), roots=moved("roots"), base=sum(b.base for b in blocks))
+
+
 def _flat(nodes, weights: np.ndarray) -> FlatTrees:
     tree, inner = nodes["tree"].to_numpy(), nodes["left"].to_numpy() >= 0
     roots = np.flatnonzero(nodes["id"].to_numpy() == 0)
