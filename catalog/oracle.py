@@ -1043,6 +1043,23 @@ from (select f.*, case when v <= c then ml else mr end p from f join best on bes
 
 # --- screening
 
+# power iteration on the correlations of four numbers
+_four = ("o_totalprice", "c_acctbal", "qty", "n_lines")
+_power = [
+    "cor as (select " + ", ".join(f"corr({a}, {b}) as c{i}{j}" for i, a in enumerate(_four) for j, b in enumerate(_four)) + " from cohort)",
+    """v as (with recursive it(i, v0, v1, v2, v3, size) as (
+  select 0, 1.0::double, 0.9::double, 0.8::double, 0.7::double, 1.0::double
+  union all select i + 1, w0 / z, w1 / z, w2 / z, w3 / z, z from (select i, w0, w1, w2, w3, sqrt(w0 * w0 + w1 * w1 + w2 * w2 + w3 * w3) z from (
+    select i, """
+    + ", ".join(f"c{j}0 * v0 + c{j}1 * v1 + c{j}2 * v2 + c{j}3 * v3 w{j}" for j in range(4))
+    + " from it, cor where i < 300)))\n  select * from it where i = 300)",
+]
+oracle("component_shares", "select 1 as component, round(size / 4, 6) as share from v", *_power)
+oracle(
+    "component_loadings",
+    union([f"select 1 as component, 'num__{c}' as feature, round(v{j} * sign(list_extract(list_sort([v0, v1, v2, v3], 'desc'), 1)), 5) as loading from v" for j, c in enumerate(_four)]),
+    *_power,
+)
 oracle("kmeans_stable", "select count(*) as n, 0::bigint as strays, 0::bigint as moved from cohort")
 
 oracle(

@@ -917,6 +917,20 @@ def zscore_scaled(df):
     return rounded(screening.normalise(df, ["qty", "c_acctbal"]).select(KEY, "qty", "c_acctbal"))
 
 
+@query
+def component_shares(df):
+    """The share of the strongest component of four numbers in their variance."""
+    shares, _ = screening.principal_components(df, FeatureSpec(("o_totalprice", "c_acctbal", "qty", "n_lines"), ()), 1)
+    return rounded(shares)
+
+
+@query
+def component_loadings(df):
+    """The direction of the strongest component."""
+    _, loadings = screening.principal_components(df, FeatureSpec(("o_totalprice", "c_acctbal", "qty", "n_lines"), ()), 1)
+    return rounded(loadings, 5)
+
+
 @query
 def kmeans_groups(df):
     with kept(df.select(KEY, *FEATURES.columns)) as data:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from ..functions.columns import number, present, text_is
 from ..functions.small_tables import attach, cut_lineage
 from ..functions.student_t import chi2_tail_p, f_tail_p, two_sided_p
 
+#: Rows that a task counts the cells of at a time.
+COUNTED_ROWS = 200_000
+
 
 def welch_stats(df: DataFrame, group: str, value: str, high: str, low: str) -> DataFrame:
     """One row: n, mean, variance of both groups, t statistic and Satterthwaite degrees of freedom.
@@ -78,18 +83,42 @@ def welch_test(
 
 
 def _cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Contingency counts of all pairs in one pass: (a, b, x, y, n)."""
+    """Contingency counts of all pairs in one pass: (a, b, x, y, n).
+
+    Tasks number the levels of each column and count pairs of numbers, some rows at a time; what is shuffled
+    are the cells that occur there, not a row for each record and pair.
+    """
     cols = sorted({c for p in pairs for c in p})
-    text = df.select([F.coalesce(F.col(c).cast("string"), F.lit("Missing")).alias(c) for c in cols])
-    structs = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in pairs
-    ]
-    return (
-        text.select(F.inline(F.array(*structs)))
-        .groupBy("a", "b", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    text = df.select([F.coalesce(F.col(c).cast("string"), F.lit("Missing")).alias(f"c{i}") for i, c in enumerate(cols)])
+    place = {c: i for i, c in enumerate(cols)}
+    at = [(place[a], place[b]) for a, b in pairs]
+
+    def counted(rows: pa.Table) -> pa.RecordBatch:
+        coded = [c.combine_chunks().dictionary_encode() for c in rows.columns]
+        codes = [c.indices.to_numpy() for c in coded]
+        found = []
+        for i, j in at:
+            width = len(coded[j].dictionary)
+            cell, n = np.unique(codes[i].astype(np.int64) * width + codes[j], return_counts=True)
+            found.append((np.full(len(cell), len(found)), coded[i].dictionary.take(pa.array(cell // width)), coded[j].dictionary.take(pa.array(cell % width)), n))
+        pair, x, y, n = zip(*found)
+        columns = [pa.array(np.concatenate(pair).astype(np.int32)), pa.concat_arrays(x), pa.concat_arrays(y), pa.array(np.concatenate(n))]
+        return pa.RecordBatch.from_arrays(columns, names=["pair", "x", "y", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= COUNTED_ROWS:
+                yield counted(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield counted(pa.Table.from_batches(held))
+
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    cells = text.mapInArrow(run, "pair int, x string, y string, n long").groupBy("pair", "x", "y").agg(F.sum("n").alias("n"))
+    return cells.select(F.get(names, F.col("pair")).alias("p"), "x", "y", "n").select("p.a", "p.b", "x", "y", "n")
 
 
 def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

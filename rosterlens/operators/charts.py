@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import number, present
@@ -16,6 +16,8 @@ from .split import sample_n
 
 BINS = 30
 GRID_POINTS = 200
+#: Moments that a box has of its rows, and the bandwidths up to which it adds to the grid.
+TERMS, REACH = 16, 8
 BANDWIDTHS_BEYOND = 3.0
 WHISKER = 1.5
 
@@ -75,7 +77,10 @@ def density_by_group(
     """Gaussian density curve per group, each scaled to the group's share of all rows.
 
     Bandwidth by Scott's rule, ``points`` grid points from three bandwidths below the minimum to
-    three above the maximum.  Rows add to the grid where they are, only its sums are shuffled.
+    three above the maximum.  A row is not spread over the grid: it adds ``TERMS`` moments to its box (a fast Gauss
+    transform), and boxes are summed on the grid.  A row's kernel, of height 1, is off by less than 1e-11: with
+    half a bandwidth to the middle of the box, Cramer's bound leaves 1.09 times the sum of 0.5^n / sqrt(n!) from
+    ``TERMS`` on, 4e-12, and beyond ``REACH`` bandwidths a kernel is under 2e-14.
     ``pre_bins`` (opt-in, approximate) first rounds values to that many steps of their range.
     """
     key = group or "_all"
@@ -101,21 +106,45 @@ def density_by_group(
         rounded = F.col("lo") + F.round((F.col("v") - F.col("lo")) / step) * step
         keep = [key, "size", "bw", "lo", "hi", "total"]
         joined = joined.groupBy(*keep, rounded.alias("v")).agg(F.sum("w").alias("w"))
+    # each row adds to the moments about the middle of its box, one bandwidth wide
+    box = F.floor((F.col("v") - F.col("lo")) / F.col("bw"))
+    t = (F.col("v") - (F.col("lo") + (F.col("box") + 0.5) * F.col("bw"))) / (F.col("bw") * math.sqrt(2))
+    power, moments = F.col("w").cast("double"), []
+    for k in range(TERMS):
+        moments.append(F.sum(power).alias(f"m{k}"))
+        power = power * F.col("t") / (k + 1)
+    boxes = joined.withColumn("box", box).withColumn("t", t).groupBy(key, "bw", "lo", "hi", "total", "box").agg(*moments)
+    sums = boxes.select(key, "bw", "lo", "hi", "total", "box", F.array(*[F.col(f"m{k}") for k in range(TERMS)]).alias("moments"))
+    # boxes end at zero so far away that no point there would show it
+    near = F.col("bw") * (REACH + 0.5)
     start = F.col("lo") - BANDWIDTHS_BEYOND * F.col("bw")
-    stop = F.col("hi") + BANDWIDTHS_BEYOND * F.col("bw")
-    x = start + F.col("point") * (stop - start) / (points - 1)
-    z = (F.col("x") - F.col("v")) / F.col("bw")
-    curve = (
-        joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", x)
-        .groupBy(key, "point", "x", "bw", "total")
-        .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("kernel_sum"))
-    )
+    step = (F.col("hi") + BANDWIDTHS_BEYOND * F.col("bw") - start) / (points - 1)
+    middle = F.col("lo") + (F.col("box") + 0.5) * F.col("bw")
+    first = F.greatest(F.lit(0), F.ceil((middle - near - start) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((middle + near - start) / step)).cast("int")
+    x = start + F.col("point") * step
+    at = sums.withColumn("point", F.explode(F.sequence(first, last))).withColumn("x", x)
+    added = _hermite_sum((F.col("x") - middle) / (F.col("bw") * math.sqrt(2)), F.col("moments"))
+    curve = at.groupBy(key, "point", "x", "bw", "total").agg(F.sum(added).alias("kernel_sum"))
     height = F.col("kernel_sum") / (F.col("total") * F.col("bw") * math.sqrt(2 * math.pi))
-    out = curve.select(key, "point", "x", height.alias("density"))
+    # every grid point is there, whether a box is near or not
+    grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x).select(key, "point", "x")
+    curve = grid.join(curve.select(key, "point", height.alias("density")), [key, "point"], "left")
+    out = curve.select(key, "point", "x", F.greatest(F.coalesce("density", F.lit(0.0)), F.lit(0.0)).alias("density"))
     return out if group else out.drop(key)
 
 
+def _hermite_sum(x: Column, moments: Column) -> Column:
+    """exp(-x^2) times the sum of moments times Hermite polynomials of x, from one to the next."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("now"), F.lit(0.0).alias("before"), F.lit(0.0).alias("k"))
+
+    def step(s: Column, m: Column) -> Column:
+        after = 2 * x * s["now"] - 2 * s["k"] * s["before"]
+        return F.struct((s["sum"] + m * s["now"]).alias("sum"), after.alias("now"), s["now"].alias("before"), (s["k"] + 1.0).alias("k"))
+
+    return F.aggregate(moments, start, step, lambda s: s["sum"]) * F.exp(-x * x)
+
+
 def pair_points(df: DataFrame, key: str, cols: Sequence[str], hue: str, n: int) -> DataFrame:
     """Scatter points of every column pair on a seeded sample of ``n`` records.
 

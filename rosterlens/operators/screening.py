@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import number
 from ..schema import SEED, FeatureSpec
-from .features import FEATURES, fit_preparation
+from .features import FEATURES, feature_names, fit_preparation, prepare
 from .quantiles import exact_quantiles
+from .sums import BATCH, matrix
 
 
 def row_total(
@@ -99,3 +104,35 @@ def fit_groups(
         source = "components"
     stages.append(KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=source, predictionCol="group"))
     return PipelineModel(stages=[prep, *Pipeline(stages=stages).fit(prep.transform(df)).stages])
+
+
+def principal_components(df: DataFrame, features: FeatureSpec, k: int) -> tuple[DataFrame, DataFrame]:
+    """(component, share) of the ``k`` strongest, and (component, feature, loading), of the prepared features.
+
+    Tasks reduce their rows to the triangle of a QR decomposition, and triangles to one, in two rounds: products
+    of columns, which square the error, are never formed.  A first column of ones takes the means out.  A
+    component's largest loading is positive.
+    """
+    prep = fit_preparation(df, features)
+    names = feature_names(prep, features)
+    width = len(names) + 1
+    rows = prepare(prep, df).select(F.concat(F.array(F.lit(1.0)), vector_to_array(FEATURES, "float64")).alias("x"))
+
+    def triangle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                r = np.linalg.qr(np.concatenate([r, matrix(batch.slice(at, BATCH).column(0), width)]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.float64()))], names=["x"])
+
+    first = rows.mapInArrow(triangle, "x array<double>")
+    parts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    second = first.coalesce(parts).mapInArrow(triangle, "x array<double>").toArrow()  # parts x width rows
+    r = np.linalg.qr(matrix(second.column(0).combine_chunks(), width), mode="r") if second.num_rows else np.zeros((0, width))
+    _, s, v = np.linalg.svd(r[1:, 1:], full_matrices=False)
+    v *= np.sign(np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1))
+    spark, total = df.sparkSession, float((s**2).sum()) or 1.0
+    shares = [(i + 1, float(x * x / total)) for i, x in enumerate(s[:k])]
+    loadings = [(i + 1, f, float(x)) for i, row in enumerate(v[:k]) for f, x in zip(names, row)]
+    return spark.createDataFrame(shares, "component int, share double"), spark.createDataFrame(loadings, "component int, feature string, loading double")
