@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>"  # a quote opens a value after = only
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )

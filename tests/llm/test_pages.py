@@ -70,3 +70,16 @@ def test_query_rows(spark, chain):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
     empty = frame.where("false")
     assert pages.texts(empty).count() == 0
+
+
+def test_quotes_open_a_value_only_after_an_equals_sign():
+    def texts(page):
+        return [x.text for x in leaves(page)]
+
+    assert texts("<p title=it's>One two three.</p><p>Don't lose four five six.</p><p>Seven</p>") == ["One two three.", "Don't lose four five six.", "Seven"]
+    assert texts('<p><img alt="5" wide">One</p><p>it\'s "two"</p>') == ["One", 'it\'s "two"']
+    assert texts('<p title="never closed>One</p><p>Two</p>') == ["One", "Two"]
+    assert texts("<p title='never closed>One</p><p>Two</p>") == ["One", "Two"]
+    assert texts("<p a='x > y' class = \"b > c\" d>One</p><p e=f=\"g\">Two</p>") == ["One", "Two"]
+    (leaf,) = leaves("<p class='mainText' title=it's>One</p>")
+    assert {".main", ".text"} <= leaf.around
