@@ -5,13 +5,21 @@ Each pass counts the scores of every query in equal bins over a range, then the
 bin that holds the k-th best, until bins are single integers.  A last pass keeps what reaches that score;
 ties at it are broken by the smaller vec_id.
 
+Doubles add up such scores exactly as long as the product of two vectors' norms is under 2^53, which bounds every partial sum.
+Vectors of a norm of 2^26 or more are rare; whatever they take part in, as queries or as candidates, is scored in whole
+numbers of any size, in blocks as well, and merged.  A score beyond 64 bits is ranked by its value and returned as the
+nearest number of 64 bits.
+
 A part of the vectors that has k scores above some bin itself need not report lower ones: the k-th best
 of all is no worse than that of any part.  So parts send a few bins for a query, and at last k rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +31,22 @@ from .storage import written
 
 BINS = 256
 COLUMNS = 512  # vectors scored at a time
-EXACT = 1 << 53  # integers that double arithmetic keeps exact
+LARGE = float(1 << 26)  # norms under which double arithmetic keeps scores exact
+RARE_ROWS = 256  # large vectors that are with the tasks at a time
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, v): components floor(scale * x) as doubles that hold integers.
 
-    Vectors that are null, hold a null or non-finite component, or have no id, take no part.
+    Vectors that are null, hold a null component or one that is not finite (once scaled), or have no id, take no part.
     """
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("double"))
-    fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    def whole(c):  # doubles from 2^52 on are whole; floor() would cut them off at 64 bits
+        scaled = c.cast("double") * F.lit(float(scale))
+        return F.when(F.abs(scaled) < float(1 << 52), F.floor(scaled).cast("double")).otherwise(scaled)
+
+    x = F.transform("embedding", whole)
+    fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & ((F.abs(c.cast("double") * F.lit(float(scale))) < F.lit(float("inf")))))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(
         F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")
     )
@@ -128,34 +142,108 @@ def reaching(vectors: DataFrame, block: Block, k: int) -> DataFrame:
     return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def exact_scores(rows: DataFrame, block: pa.Table, k: int, are_queries: bool) -> DataFrame:
+    """(query_id, vec_id, score in digits): the rows against a block of vectors, in whole numbers of any size.
+
+    The block's vectors are the queries or the candidates.  Of each query every part keeps its k best.
+    """
+    ids = block.column("vec_id").to_pylist()
+    whole = [list(map(int, v)) for v in block.column("v").to_pylist()]
+    shared = rows.sparkSession.sparkContext.broadcast((ids, whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, whole = shared.value
+        best: dict[int, list[tuple[int, int]]] = {}
+
+        def rows_of(q: int, found: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+            return [(q, v, str(-s)) for s, v in heapq.nsmallest(k, found)]
+
+        def batch_of(made: list[tuple[int, int, str]]) -> pa.RecordBatch:
+            q, v, s = zip(*made) if made else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.string())], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            made = []
+            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
+                v = list(map(int, v))
+                scores = [(-sum(map(operator.mul, v, w)), j) for j, w in zip(ids, whole) if j != i]
+                if not are_queries:
+                    made += rows_of(i, scores)
+                    continue
+                for s, j in scores:
+                    found = best.setdefault(j, [])
+                    found.append((s, i))
+                    if len(found) >= 4 * k:
+                        best[j] = heapq.nsmallest(k, found)
+            yield batch_of(made)
+        yield batch_of([r for j, found in best.items() for r in rows_of(j, found)])
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, score string")
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query of (query_id, vec_id, score in digits): a few rows a query and part."""
+
+    def best(rows: pa.Table) -> pa.Table:
+        table = sorted((-int(s), v) for v, s in zip(rows.column("vec_id").to_pylist(), rows.column("score").to_pylist()))[:k]
+        columns = {
+            "query_id": rows.column("query_id").slice(0, len(table)),
+            "rank": pa.array(range(1, len(table) + 1), pa.int32()),
+            "vec_id": pa.array([v for _, v in table], pa.int64()),
+            "score": pa.array([min(max(-s, LONG[0]), LONG[1]) for s, _ in table], pa.int64()),
+        }
+        return pa.table(columns)
+
+    return found.groupBy("query_id").applyInArrow(best, "query_id long, rank int, vec_id long, score long")
+
+
+def blocks_of(rows: DataFrame, n: int, block_rows: int) -> Iterator[pa.Table]:
+    """All of ``n`` rows (vec_id, v), at most about ``block_rows`` at a time, by a hash of the id."""
+    parts = -(-n // block_rows)
+    for i in range(parts):
+        block = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i).orderBy("vec_id").toArrow()
+        if block.num_rows:
+            yield block
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query.
 
     Both frames: vec_id, v as ``quantized`` makes them.  Candidates are all vectors of the query's length
     but those of its own id; queries that share an id count once, with the smallest vector.  At most
-    ``block_rows`` queries are with the driver and the tasks at a time.
+    ``block_rows`` queries are with the driver and the tasks at a time.  Empty tables give no rows, vectors that
+    repeat are candidates each, and columns but these two are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4 * COLUMNS)
-    vectors = written(vectors)
-    queries = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
-    peak = {r.n: r for r in vectors.groupBy(F.size("v").alias("n")).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).collect()}
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for n, rows in queries.groupBy(F.size("v")).count().collect():
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    vectors = written(vectors.select("vec_id", "v", F.size("v").alias("n"), norm.alias("norm")))
+    queries = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.size("v").alias("n"), norm.alias("norm")))
+    usual = F.col("norm") < LARGE
+    peak = {r.n: r for r in vectors.groupBy("n").agg(F.max(F.when(usual, F.col("norm"))).alias("norm"), F.count_if(~usual).alias("large")).collect()}
+    found, exact = [], []
+    for n, rows, large in queries.groupBy("n").agg(F.count_if(usual), F.count_if(~usual)).collect():  # a row for each length
         if n not in peak:
             continue
-        blocks = -(-rows // block_rows)
-        here = vectors.where(F.size("v") == n)
-        for i in range(blocks):
-            mine = queries.where((F.size("v") == n) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)).orderBy("vec_id").toArrow()
-            if not mine.num_rows:
-                continue
-            q = matrix(mine.column("v").combine_chunks())
-            bound = np.ceil(np.sqrt((q * q).sum(axis=1) * peak[n].norm)) + 1
-            if bound.max() * max(n, 1) >= EXACT:
-                raise ValueError("vectors too large for exact scores")
-            block = Block(mine.column("vec_id").to_numpy(), q, bound, k)
-            narrowed(here, block)
-            out = out.unionByName(written(reaching(here, block, k)))
+        own, here = (x.where(F.col("n") == n).select("vec_id", "v", usual.alias("usual")) for x in (queries, vectors))
+        if rows and peak[n].norm is not None:
+            for mine in blocks_of(own.where("usual").drop("usual"), rows, block_rows):
+                q = matrix(mine.column("v").combine_chunks())
+                block = Block(mine.column("vec_id").to_numpy(), q, np.ceil(np.sqrt((q * q).sum(axis=1)) * peak[n].norm) + 1, k)
+                ordinary = here.where("usual").drop("usual")
+                narrowed(ordinary, block)
+                found.append(written(reaching(ordinary, block, k)))
+        if rows and peak[n].large:
+            for some in blocks_of(here.where("not usual").drop("usual"), peak[n].large, RARE_ROWS):
+                exact.append(written(exact_scores(own.where("usual").drop("usual"), some, k, are_queries=False)))
+        if large:
+            for mine in blocks_of(own.where("not usual").drop("usual"), large, RARE_ROWS):
+                exact.append(written(exact_scores(here.drop("usual"), mine, k, are_queries=True)))
+    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    if found:
+        out = reduce(DataFrame.unionByName, found)
+    if exact:
+        digits = reduce(DataFrame.unionByName, exact, out.withColumn("score", F.col("score").cast("string")))
+        return merged(digits, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rosterlens.llm import topk
 
@@ -40,3 +41,24 @@ def test_fewer_than_k_and_no_rows(spark):
     rows = [(i, [float(i), 1.0], 0) for i in (0, 1, 2, 20)]
     assert run(spark, rows) == brute([(i, v) for i, v, _ in rows])
     assert run(spark, []) == []
+
+
+def test_large_vectors_leave_all_scores_exact(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(size=5)], 1) for i in range(130)]
+    big = [[3e13, 1.0, 1.0, 1.0, 1.0], [-3e13, 2.0, 0.0, 1.0, 1.0], [1e7] * 5, [-1e7] * 5, [3e15, 1.0, 1.0, 1.0, 1.0], [3e38] * 5, [-3e38, 1.0, 0.0, 0.0, 0.0]]
+    rows += [(i, [float(np.float32(x)) for x in v], 1) for i, v in zip((200, 201, 220, 221, 240, 241, 242), big)]
+    low, high = topk.LONG
+    want = [(q, n, j, min(max(s, low), high)) for q, n, j, s in brute([(i, v) for i, v, _ in rows])]
+    assert any(abs(s) == high for *_, s in want) and any(2**53 < abs(s) < 2**62 for *_, s in want)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(topk, "RARE_ROWS", 2)
+    assert run(spark, rows, block_rows=3) == want
+
+
+def test_columns_of_other_names(spark):
+    rows = [(i, [float(i % 7), 1.0], 0) for i in range(50)]
+    want = run(spark, rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    v = topk.quantized(frame).withColumns({c: F.lit("mine") for c in ("n", "norm", "q", "score", "rank", "query_id", "usual")})
+    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 20 = 0")).collect())) == want
