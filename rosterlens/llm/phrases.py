@@ -5,9 +5,9 @@ language's words: a phrase that is frequent in the whole is frequent, by that me
 least.  Each shard is mined completely, one after the other, so only a shard's phrases are on disk at a time; what
 any shard found frequent is a candidate, and all candidates are then counted in every shard, by their words.
 
-A shard is no task: it consists of blocks of bounded size.  A block sends its phrases, as sorted 64-bit hashes with
+A shard is no task: it consists of blocks of bounded size.  A block sends its phrases, as sorted hashes with
 counts, in packets to ranges of hashes; there are as many ranges as keep one in memory, and a packet holds hundreds of
-phrases.  A range adds up the packets of all blocks to mine, and later tells each block which of its phrases are
+phrases, 32 bits each besides the bits of its range.  A range adds up the packets of all blocks to mine, and later tells each block which of its phrases are
 candidates.  Hashes decide on candidates only, where two that meet can but add a candidate; the counts are
 of words.  A phrase that is everywhere is one entry a block.
 
@@ -57,7 +57,7 @@ BLOCKS = T.StructType(
         T.StructField("lang", T.StringType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("counts", T.ArrayType(T.IntegerType())),
+        T.StructField("hashes", T.BinaryType()),  # of the words
         T.StructField("places", T.BinaryType()),  # numbers of the words, END between pieces
     ]
 )
@@ -96,11 +96,10 @@ def blocks_of(docs: DataFrame, shards: int, block_chars: int) -> DataFrame:
             partition = place >> PLACE_BITS
             for lang, own in by_lang.items():
                 words, places = numbered(own)
-                seen = places[places != END]
-                counts = np.bincount(seen, minlength=len(words)).astype(np.int32)
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
                 row = [
-                    [partition << PLACE_BITS | n], [(place + partition) % shards], [lang], [len(seen)],
-                    [[w.decode("utf-8", "surrogatepass") for w in words]], [counts], [places.tobytes()],
+                    [partition << PLACE_BITS | n], [(place + partition) % shards], [lang], [int(np.count_nonzero(places != END))],
+                    [[w.decode("utf-8", "surrogatepass") for w in words]], [hashes.tobytes()], [places.tobytes()],
                 ]
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, KINDS)], names=BLOCKS.names)
@@ -108,7 +107,7 @@ def blocks_of(docs: DataFrame, shards: int, block_chars: int) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
-KINDS = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
+KINDS = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,47 +118,56 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def phrase_keys(row: dict, longest: int) -> tuple[list[str], np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Words and places of a block, and for 2 words and more: where such phrases begin, and the phrases' hashes."""
-    words, places = row["words"], np.frombuffer(row["places"], np.int32)
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    word = np.append(own, np.uint64(0))[places]  # END is the last
+def phrase_keys(row: dict, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Places of a block, and by number of words: where such phrases begin, and the phrases' hashes."""
+    places = np.frombuffer(row["places"], np.int32)
+    word = np.append(np.frombuffer(row["hashes"], np.uint64), np.uint64(0))[places]  # END is the last
     keys = mixed(np.uint64(xxhash.xxh64_intdigest(row["lang"])), word)
     at = np.flatnonzero(places != END)
-    keys, found = keys[at], []
+    keys = keys[at]
+    found = [(1, at, keys)]
     for k in range(2, longest + 1):
         on = places[np.minimum(at + k - 1, len(places) - 1)] != END  # a block ends with END
         at = at[on]
         keys = mixed(keys[on], word[at + k - 1])
         found.append((k, at, keys))
-    return words, places, found
+    return places, found
 
 
-PACKETS = T.StructType([T.StructField(c, t) for c, t in (("bucket", T.IntegerType()), ("block", T.LongType()), ("least", T.LongType()), ("keys", T.BinaryType()), ("counts", T.BinaryType()))])
+PACKETS = T.StructType([T.StructField(c, t) for c, t in (("bucket", T.IntegerType()), ("block", T.LongType()), ("least", T.LongType()), ("keys", T.BinaryType()), ("counts", T.BinaryType()), ("more", T.BinaryType()))])
+
+
+KEPT = np.uint64(32)  # bits of a hash that packets hold, after the bits of the range
+
+
+def short(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> (np.uint64(64 - bits) - KEPT)
 
 
 def packets(blocks: DataFrame, longest: int, bits: int) -> DataFrame:
     """PACKETS of the blocks' distinct phrases, by the first bits of their hashes."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << KEPT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = [keys for _, _, keys in phrase_keys(row, longest)[2]]
-                keys, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+                found = [short(keys, bits) for _, _, keys in phrase_keys(row, longest)[1]]
+                keys, n = np.unique(np.concatenate(found), return_counts=True)
                 cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                 some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                n = n.astype(np.int32)
+                keys, few = keys.astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
                 made = [
                     pa.array([i for i, _, _ in some], pa.int32()),
                     pa.array(np.full(len(some), row["block"], np.int64)),
                     pa.array(np.full(len(some), row["least"], np.int64)),
                     pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()),
-                    pa.array([n[a:b].tobytes() for _, a, b in some], pa.binary()),
+                    # a byte each, and the whole count of those that it does not hold
+                    pa.array([few[a:b].tobytes() for _, a, b in some], pa.binary()),
+                    pa.array([n[a:b][few[a:b] == 255].tobytes() for _, a, b in some], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(made, names=PACKETS.names)
 
-    return blocks.select("block", "lang", "words", "places", "least").mapInArrow(run, PACKETS)
+    return blocks.select("block", "lang", "hashes", "places", "least").mapInArrow(run, PACKETS)
 
 
 def all_of(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -172,13 +180,15 @@ def mined(blocks: DataFrame, longest: int, bits: int) -> DataFrame:
     """(bucket, keys): phrases that are frequent in the blocks of one shard; ``least`` is the support there."""
 
     def frequent(rows: pa.Table) -> pa.Table:
-        keys, size = all_of(rows.column("keys"), np.uint64)
-        n, _ = all_of(rows.column("counts"), np.int32)
+        keys, size = all_of(rows.column("keys"), np.uint32)
+        n = all_of(rows.column("counts"), np.uint8)[0].astype(np.int64)
+        n[n == 255] = all_of(rows.column("more"), np.int64)[0]
         order = np.argsort(keys)
         keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        total = np.add.reduceat(n[order].astype(np.int64), first)
-        least = np.repeat(rows.column("least").to_numpy(), size)[order][first]
+        total = np.add.reduceat(n[order], first)
+        # phrases of two languages may meet: the lower support counts
+        least = np.minimum.reduceat(np.repeat(rows.column("least").to_numpy(), size)[order], first)
         kept = keys[first][total >= least]
         return pa.table({"bucket": rows.column("bucket").slice(0, 1), "keys": pa.array([kept.tobytes()], pa.binary())})
 
@@ -189,19 +199,21 @@ def counted(blocks: DataFrame, candidates: DataFrame, longest: int, bits: int) -
     """lang, phrase, f: the candidates (bucket, keys) in the blocks of one shard, counted by their words."""
 
     def wanted(rows: pa.Table, some: pa.Table) -> pa.Table:
-        known = np.sort(all_of(some.column("keys"), np.uint64)[0])
-        keys, size = all_of(rows.column("keys"), np.uint64)
+        known = np.sort(all_of(some.column("keys"), np.uint32)[0])
+        keys, size = all_of(rows.column("keys"), np.uint32)
         hit = among(keys, known)
-        hits = np.split(keys[hit], np.cumsum(np.add.reduceat(np.append(hit, 0), np.cumsum(size) - size) if len(size) else [])[:-1])
-        return pa.table({"block": rows.column("block"), "keys": pa.array([h.tobytes() for h in hits] if len(size) else [], pa.binary())})
+        first = np.uint64(rows.column("bucket")[0].as_py() if len(size) else 0) << KEPT
+        ends = np.cumsum(np.add.reduceat(np.append(hit, 0), np.cumsum(size) - size)) if len(size) else []
+        hits = np.split(keys[hit].astype(np.uint64) | first, ends[:-1]) if len(size) else []
+        return pa.table({"block": rows.column("block"), "keys": pa.array([h.tobytes() for h in hits], pa.binary())})
 
     def count(block: pa.Table) -> pa.Table:
         (row,) = block.to_pylist()
         known = np.sort(np.frombuffer(b"".join(row["keys"]), np.uint64))
-        words, places, found = phrase_keys(row, longest)
+        words, (places, found) = row["words"], phrase_keys(row, longest)
         phrases, n = [], [np.zeros(0, np.int64)]
         for k, at, keys in found:
-            at = at[among(keys, known)]
+            at = at[among(short(keys, bits), known)]
             same = np.stack([places[at + i] for i in range(k)])
             same = same[:, np.lexsort(same)]
             new = np.append(True, (same[:, 1:] != same[:, :-1]).any(axis=0)) if len(at) else np.zeros(0, bool)
@@ -211,10 +223,10 @@ def counted(blocks: DataFrame, candidates: DataFrame, longest: int, bits: int) -
         columns = {"lang": pa.array([row["lang"]] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string())}
         return pa.table(columns | {"f": pa.array(np.concatenate(n).astype(np.int64))})
 
-    sent = packets(blocks, longest, bits).drop("counts", "least")
+    sent = packets(blocks, longest, bits).drop("counts", "more", "least")
     hits = sent.groupBy("bucket").cogroup(candidates.groupBy("bucket")).applyInArrow(wanted, "block long, keys binary")
     hits = hits.where(F.length("keys") > 0).groupBy("block").agg(F.collect_list("keys").alias("keys"))
-    here = blocks.select("block", "lang", "words", "places").join(hits, "block").groupBy("block")
+    here = blocks.select("block", "lang", "words", "hashes", "places").join(hits, "block").groupBy("block")
     return here.applyInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -241,17 +253,14 @@ def frequent(
     # rounded up; the product may pass 64 bits
     support = F.expr(f"(cast(own as decimal(19,0)) * {least} + n - 1) div greatest(n, 1)")
     share = share.select("shard", "lang", F.greatest(support, F.lit(1).cast("long")).alias("least"))
-    word = F.explode(F.arrays_zip("words", "counts")).alias("w")
-    words = blocks.select("lang", word).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
-    words = written(words.where(F.col("f") >= least), release=True)
     n = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(max(math.ceil(math.log2(max(n * (longest - 1) / shards / RANGE_KEYS, 1))), RANGE_BITS[0]), RANGE_BITS[1])
+    bits = min(max(math.ceil(math.log2(max(n * longest / shards / RANGE_KEYS, 1))), RANGE_BITS[0]), RANGE_BITS[1])
     own = [attach(blocks.where(F.col("shard") == s), share.where(F.col("shard") == s).drop("shard"), ["lang"]) for s in range(shards)]
     with few_rows_a_batch(spark):
         candidates = together([written(mined(b, longest, bits), release=True) for b in own])
         parts = [written(counted(b, candidates, longest, bits), release=True) for b in own]
     phrases = together(parts).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return written(words.unionByName(phrases), release=True), total
+    return written(phrases, release=True), total
 
 
 def collocations(
