@@ -2,7 +2,9 @@
 
 The probability of a token is a mixture of the maximum-likelihood estimates of all orders and a uniform one.
 The weights depend on how often the context was seen (buckets by powers of two) and are learned by
-expectation-maximisation on a deleted part: its n-grams, with the counts of the other training documents.
+expectation-maximisation on a deleted part: its n-grams, with the counts of the other training documents.  A bucket's
+weights are learned in a task of its own.  Where the longest contexts were never seen, the bucket is that of the
+longest one that was, and the orders beyond have no weight: probabilities sum to one after any words.
 
 N-gram tables grow with the corpus, so they are never in one place.  Documents are dealt by hash of id and text to
 blocks of a bounded size, n-grams to as many shards, by ranges of their keys.  A block counts its own n-grams and
@@ -34,7 +36,9 @@ TURNS = 2
 HELD_OUT, DELETED = 0, 1
 TEST, PART, FIT = 0, 1, 2
 END, START = b" end", b" start"  # no word holds a blank
-STEPS = 8  # classes of a power of two, for ratios in the weights' statistics
+#: Classes of a power of two, for ratios in the weights' statistics.  A bucket of contexts seen 2^b times has at most
+#: STEPS^3 x 40 x 40 x b classes of order three, whatever the size of the corpus.
+STEPS = 4
 MEMO = 300_000
 
 
@@ -147,8 +151,9 @@ def dealt_keys(b: Block, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """All n-grams of a block by shard and key: their order, the shards that occur, and where each begins."""
     keys = np.concatenate(b.keys)
     order = np.argsort(keys, kind="stable")
-    found, starts = np.unique(shard_of(keys[order], shards), return_index=True)
-    return order, found.astype(np.int64), starts
+    shard = shard_of(keys[order], shards).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+    return order, shard[starts], starts
 
 
 def blocked(docs: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
@@ -261,12 +266,24 @@ def contexts(b: Block, counts: list[np.ndarray]) -> list[np.ndarray]:
     return [b.before(c[p], ends[0]) for c, p in zip(counts[:-1], b.place)]
 
 
-def bucket(count: np.ndarray) -> np.ndarray:
-    """0 for none, else one more than the power of two below."""
-    return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0)
+BUCKETS = 64
 
 
-BUCKETS = 64
+def unseen(order: int, seen: int) -> int:
+    """The bucket of a token whose contexts were seen up to those of order ``seen`` only."""
+    return BUCKETS - order + seen
+
+
+def bucket(context: list[np.ndarray], tokens: int) -> np.ndarray:
+    """Of every token: one more than the power of two below its longest context's count, see ``unseen`` for none."""
+    order = len(context) + 1
+    if order == 1:
+        return np.zeros(tokens, np.int64)
+    found = np.full(tokens, unseen(order, 1))
+    for k, count in enumerate(context[:-1]):
+        found[count > 0] = unseen(order, k + 2)
+    last = context[-1]
+    return np.where(last > 0, np.floor(np.log2(np.maximum(last, 1))).astype(np.int64) + 1, found)
 
 
 def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
@@ -286,7 +303,7 @@ def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
         total[np.argsort(np.concatenate(b.keys), kind="stable")] = end_to_end(unpacked(x.as_py() for x in right.sort_by("shard").column("fit")))
         counts = np.split(total, np.cumsum([len(k) for k in b.keys])[:-1])
         context = contexts(b, counts)
-        columns = [bucket(context[-1]) if order > 1 else np.zeros(int(b.size.sum()), np.int64)]
+        columns = [bucket(context, int(b.size.sum()))]
         for k in range(order):
             c = counts[k][b.place[k]]
             ratio = np.log2(np.maximum(c, 1) / (np.maximum(context[k - 1], 1) if k else 1))
@@ -301,36 +318,42 @@ def statistics(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("bucket", *names).agg(F.sum("n").alias("n"))
 
 
-def weights(rows: pa.Table, totals: Totals, order: int, rounds: int = 60) -> np.ndarray:
-    """Mixture weights by bucket (rows) of: uniform, order one, and so on.
-
-    Buckets that the deleted part does not reach get the weights of all buckets together; a context that
-    was never seen gives its order no weight.
-    """
-    out = np.full((BUCKETS, order + 1), 1 / (order + 1))
-    column = lambda c: rows.column(c).to_numpy()
-    where, n = column("bucket"), column("n").astype(np.float64)
+def learned(c: np.ndarray, n: np.ndarray, totals: Totals, rounds: int = 60) -> np.ndarray:
+    """Weights of uniform, order one, and so on, that make ``n`` tokens of the classes ``c`` (a column an order) likeliest."""
+    order = c.shape[1]
     p = np.empty((len(n), order + 1))
     p[:, 0] = 1 / (totals.fit_types + 1)
-    for k in range(order):
-        c = column(f"c{k}")
-        p[:, k + 1] = np.where(c <= -1000, 0, 2.0 ** (c / STEPS) / (max(totals.fit_tokens, 1) if k == 0 else 1))
-
-    def learned(rows: np.ndarray) -> np.ndarray:
-        w = np.full(order + 1, 1 / (order + 1))
-        for _ in range(rounds):
-            share = w * p[rows]
-            share *= (n[rows] / share.sum(axis=1))[:, None]
-            w = share.sum(axis=0) + 1e-3
-            w /= w.sum()
-        return w
-
-    if len(n):
-        out[:] = learned(np.arange(len(n)))
-        for b in np.unique(where):
-            out[b] = learned(np.flatnonzero(where == b))
-    if order > 1:
-        out[0, -1] = 0
+    p[:, 1:] = np.where(c <= -1000, 0, 2.0 ** (c / STEPS))
+    p[:, 1] /= max(totals.fit_tokens, 1)
+    w = np.full(order + 1, 1 / (order + 1))
+    for _ in range(rounds):
+        share = w * p
+        share *= (n / share.sum(axis=1))[:, None]
+        w = share.sum(axis=0) + 1e-3
+        w /= w.sum()
+    return w
+
+
+def weights(rows: DataFrame, totals: Totals, order: int) -> np.ndarray:
+    """Mixture weights by bucket (rows) of: uniform, order one, and so on.  One row a bucket comes to the driver.
+
+    Buckets that the deleted part does not reach get the weights of the next lower one; orders whose context
+    was never seen have no weight.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        c = np.stack([rows.column(f"c{k}").to_numpy() for k in range(order)], axis=1)
+        w = learned(c, rows.column("n").to_numpy().astype(np.float64), totals)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "w": pa.array([w.tolist()])})
+
+    found = {r.bucket: r.w for r in rows.groupBy("bucket").applyInArrow(run, "bucket long, w array<double>").collect()}
+    out = np.full((BUCKETS, order + 1), 1.0)
+    for b in range(BUCKETS):
+        out[b] = found.get(b, out[max(b - 1, 0)])
+    for seen in range(1, order):
+        b = unseen(order, seen)
+        out[b] = found.get(b, np.ones(order + 1))
+        out[b, seen + 1 :] = 0
     return out / out.sum(axis=1, keepdims=True)
 
 
@@ -343,14 +366,14 @@ def scored(docs: DataFrame, answers: DataFrame, totals: Totals, mix: np.ndarray,
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         left = every_row(left)
         b = Block.of(left.column("text").to_pylist(), left.column("part").to_pylist(), order)
-        by, _, _ = dealt_keys(b, shards)
+        by = np.argsort(np.concatenate(b.keys), kind="stable")
         total = np.concatenate([b.counts(k, FIT) + b.counts(k, PART) for k in range(order)])
         total[by] += end_to_end(unpacked(x.as_py() for x in right.sort_by("shard").column("others")))
         counts = np.split(total, np.cumsum([len(k) for k in b.keys])[:-1])
         context = contexts(b, counts)
         single = counts[0][b.place[0]]
         p = np.full(len(single), 1 / (v + 1))
-        which = bucket(context[-1]) if order > 1 else np.zeros(len(single), np.int64)
+        which = bucket(context, len(single))
         p *= mix[which, 0]
         p += mix[which, 1] * single / max(n, 1)
         for k in range(1, order):
@@ -386,5 +409,5 @@ def scores(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS)
     dealt, blocks = blocked(docs, block_chars)
     shards = blocks
     answers, totals = counted(dealt, order, shards)
-    mix = weights(statistics(dealt, answers, order).toArrow(), totals, order)
+    mix = weights(statistics(dealt, answers, order), totals, order)
     return scored(dealt, answers, totals, mix, order, shards)

@@ -32,14 +32,14 @@ def test_scores_equal_dictionaries(odd, clashing, block):
     dealt, blocks = lm.blocked(odd, block)
     answers, totals = lm.counted(dealt, 2, 2 * blocks)
     assert (totals.tokens, totals.types) == (n, v)
-    mix = lm.weights(lm.statistics(dealt, answers, 2).toArrow(), totals, 2)
+    mix = lm.weights(lm.statistics(dealt, answers, 2), totals, 2)
     assert abs(mix.sum(axis=1) - 1).max() < 1e-9
     want = {}
     for i, t in docs:
         score = 0.0
         for u, w in zip([None, *t], t):
             context = single[u] if u else start
-            m = mix[context.bit_length()]
+            m = mix[context.bit_length() if context else lm.unseen(2, 1)]
             score += math.log10(m[0] / (v + 1) + m[1] * single[w] / n + m[2] * pair[u, w] / max(context, 1))
         base = sum(math.log10((single[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
         want[i] = (fold(i) == 0, len(t), sum(w in single for w in t), n, base, score)
@@ -91,3 +91,40 @@ def test_registered_model_is_of_order_three(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got, want = (sorted((r.doc_id, round(r.score, 6)) for r in d.collect()) for d in (queries.op5_interpolated_lm(spark, str(tmp_path)), lm.scores(docs, order=3)))
     assert got == want
+
+
+def test_probabilities_sum_to_one_after_any_words(odd):
+    docs = [t for i, t in ((r.doc_id, tokens(r.text)) for r in odd.select("doc_id", "text").collect()) if fold(i) > 0]
+    grams = [Counter(), Counter(), Counter()]
+    for t in docs:
+        for k in range(3):
+            padded = [None] * k + t
+            grams[k].update(tuple(padded[i : i + k + 1]) for i in range(len(t)))
+    n, v = sum(grams[0].values()), len(grams[0])
+    dealt, _ = lm.blocked(odd, 100_000)
+    answers, totals = lm.counted(dealt, 3, 4)
+    mix = lm.weights(lm.statistics(dealt, answers, 3), totals, 3)
+    contexts = [Counter(), Counter()]
+    for k in (1, 2):
+        for g, c in grams[k].items():
+            contexts[k - 1][g[:-1]] += c
+    for words in ((b"of", b"many"), (b"never", b"text"), (b"text", b"never"), (b"never", b"written")):
+        pair, both = contexts[0][words[1:]], contexts[1][words]
+        m = mix[both.bit_length() if both else lm.unseen(3, 2 if pair else 1)]
+        total = m[0]  # v known words and one for all others
+        for (w,), c in grams[0].items():
+            total += m[1] * c / n + m[2] * grams[1][(words[1], w)] / max(pair, 1) + m[3] * grams[2][(*words, w)] / max(both, 1)
+        assert abs(total - 1) < 1e-9
+
+
+def test_classes_of_estimates_give_the_weights_of_exact_ones():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    totals = lm.Totals(100_000, 5000, 0, 0)
+    count = np.floor(2.0 ** r.uniform(0, 12, 20_000))
+    exact = np.stack([count, r.uniform(0.001, 1, 20_000), r.uniform(0.01, 1, 20_000) * (r.uniform(size=20_000) < 0.6)], axis=1)
+    classes = np.where(exact > 0, np.rint(lm.STEPS * np.log2(np.maximum(exact, 1e-9))), -1000)
+    n = r.integers(1, 50, 20_000).astype(float)
+    fine = np.where(exact > 0, lm.STEPS * np.log2(np.maximum(exact, 1e-9)), -1000)
+    assert np.abs(lm.learned(classes, n, totals) - lm.learned(fine, n, totals)).max() < 0.01
