@@ -11,6 +11,8 @@ sums; no rows move.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -94,35 +96,52 @@ def _inside(i: int) -> Column:
     return _open(i) & F.coalesce(F.col("_v") > lo, F.lit(True)) & F.coalesce(F.col("_v") < hi, F.lit(True))
 
 
+def _leaders(slots: int, same: Sequence[str]) -> Column:
+    """For each slot the first one that is open and equal to it in some arrays; what these share is done once."""
+
+    def leader(i: int) -> Column:
+        alike = [F.when(reduce(and_, [F.col(c)[j].eqNullSafe(F.col(c)[i]) for c in same], _open(j)), j) for j in range(i)]
+        return F.coalesce(*alike, F.lit(i))
+
+    return F.array(*[leader(i) for i in range(slots)])
+
+
 def _narrowed(values: DataFrame, state: DataFrame, fits: bool, keys: list[str], slots: int) -> DataFrame:
     """The state after one round."""
     grid = [i / EDGES for i in range(EDGES + 1)]
+    state = state.withColumn("_by", _leaders(slots, ("_lo", "_hi", "_below")))
     joined = join_pinned(values, state, fits, keys)
-    sketch = [F.percentile_approx(F.when(_inside(i), F.col("_v")), grid, ACCURACY).alias(f"_e{i}") for i in range(slots)]
+    sketch = [
+        F.percentile_approx(F.when((F.col("_by")[i] == i) & _inside(i), F.col("_v")), grid, ACCURACY).alias(f"_e{i}") for i in range(slots)
+    ]
     edges = state.join(joined.groupBy(*keys).agg(*sketch), keys)
+    every = F.array(*[F.col(f"_e{i}") for i in range(slots)])
     at = [(F.col("_rank")[i] - F.col("_below")[i] + 0.5) / F.greatest(F.col("_in")[i], F.lit(1)) * EDGES for i in range(slots)]
     slack = 2.0 * EDGES / ACCURACY + 1
-    pick = lambda i, x: F.element_at(F.col(f"_e{i}"), F.greatest(F.lit(1), F.least(F.lit(EDGES + 1), x.cast("int") + 1)))
+    pick = lambda i, x: F.element_at(every[F.col("_by")[i]], F.greatest(F.lit(1), F.least(F.lit(EDGES + 1), x.cast("int") + 1)))
     low = F.array(*[pick(i, F.floor(at[i] - slack)) for i in range(slots)])
     high = F.array(*[pick(i, F.ceil(at[i] + slack)) for i in range(slots)])
-    cut, fits = pinned(edges.select(*state.columns, low.alias("_a"), high.alias("_b")))
+    cut, fits = pinned(edges.select(*[c for c in state.columns if c != "_by"], low.alias("_a"), high.alias("_b")))
+    cut = cut.withColumn("_by", _leaders(slots, ("_a", "_b")))
     joined = join_pinned(values, cut, fits, keys)
     v, counts = F.col("_v"), []
     for i in range(slots):
         a, b = F.col("_a")[i], F.col("_b")[i]
         tests = {"lt": v < a, "at": v == a, "mid": (v > a) & (v < b), "end": (v == b) & (a < b)}
-        counts += [F.count(F.when(t, 1)).alias(f"_{k}{i}") for k, t in tests.items()]
+        counts += [F.count(F.when((F.col("_by")[i] == i) & t, 1)).alias(f"_{k}{i}") for k, t in tests.items()]
     told = cut.join(joined.groupBy(*keys).agg(*counts), keys)
+    told = told.withColumns({f"_{k}": F.array(*[F.col(f"_{k}{i}") for i in range(slots)]) for k in ("lt", "at", "mid", "end")})
     new: dict[str, list[Column]] = {c: [] for c in ("_lo", "_hi", "_below", "_in", "_stat")}
     for i in range(slots):
-        rank, start = F.col("_rank")[i], F.col(f"_lt{i}")
-        middle = start + F.col(f"_at{i}")
-        end = middle + F.col(f"_mid{i}")
+        by = F.col("_by")[i]
+        rank, start = F.col("_rank")[i], F.col("_lt")[by]
+        middle = start + F.col("_at")[by]
+        end = middle + F.col("_mid")[by]
         found = (
-            F.when((rank >= start) & (rank < middle), F.col("_a")[i]).when((rank >= end) & (rank < end + F.col(f"_end{i}")), F.col("_b")[i])
+            F.when((rank >= start) & (rank < middle), F.col("_a")[i]).when((rank >= end) & (rank < end + F.col("_end")[by]), F.col("_b")[i])
         )
         kept = ~_open(i) | (rank < start) | (rank >= end)  # as it was: settled, or its box could not be cut
-        for c, value in (("_lo", F.col("_a")[i]), ("_hi", F.col("_b")[i]), ("_below", middle), ("_in", F.col(f"_mid{i}"))):
+        for c, value in (("_lo", F.col("_a")[i]), ("_hi", F.col("_b")[i]), ("_below", middle), ("_in", F.col("_mid")[by])):
             new[c].append(F.when(kept, F.col(c)[i]).otherwise(value))
         new["_stat"].append(F.when(_open(i), found).otherwise(F.col("_stat")[i]))
     return told.select(*keys, "_n", "_rank", *[F.array(*e).alias(c) for c, e in new.items()])
