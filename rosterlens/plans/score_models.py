@@ -13,10 +13,12 @@ from ..functions.caching import kept
 from ..functions.columns import number
 from ..functions.small_tables import computed
 from ..operators.attribution import attribution_summary, tree_attribution
+from ..operators.boosting import BoostedTrees, cross_validate_boosted
 from ..operators.clean import complete_cases
 from ..operators.evaluate import cross_validate, cv_summary, regression_metrics, residuals
 from ..operators.explain import forest_importance, linear_drivers, linear_sentences
 from ..operators.features import feature_names, prepare
+from ..operators.foldstats import cross_validate_linear
 from ..operators.models import LEARNERS, fit_regressor
 from ..operators.scoring import coefficient_table
 from ..operators.split import assign_folds, random_split, sample_n
@@ -91,7 +93,7 @@ def _one(kind, learner: Estimator, train, test, folded, k, features, target, key
         drivers = linear_sentences(linear_drivers(coefficient_table(model, features)), target)
     else:
         importance = forest_importance(model, features)
-    cv = cv_summary(cross_validate(folded, features, learner, target, "fold", k)) if k else None
+    cv = cv_summary(_fold_scores(kind, learner, folded, features, target, k)) if k else None
     return ScoreResult(
         name=f"{kind}_{target}",
         model=model,
@@ -103,6 +105,15 @@ def _one(kind, learner: Estimator, train, test, folded, k, features, target, key
     )
 
 
+def _fold_scores(kind, learner: Estimator, folded, features, target, k) -> DataFrame:
+    """Fold scores; linear and boosted models take the passes of one fit for all folds."""
+    if kind == "linreg":
+        return cross_validate_linear(folded, features, target, "fold", k)
+    if isinstance(learner, BoostedTrees):
+        return cross_validate_boosted(folded, features, target, "fold", k, learner.settings())
+    return cross_validate(folded, features, learner, target, "fold", k)
+
+
 def forest_attribution(
     rows: DataFrame, model: PipelineModel, features: FeatureSpec, key: str = KEY, n: int | None = None
 ) -> tuple[DataFrame, DataFrame, float]:
