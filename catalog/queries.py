@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import columns as C
-from rosterlens.functions.caching import kept
+from rosterlens.functions.caching import at_once, kept
 from rosterlens.functions.small_tables import computed
 from rosterlens.operators import (
     association,
@@ -840,13 +840,13 @@ def cv_linear_by_sums(df):
 @query
 def cv_three_learners(df):
     """Mean fold scores of the linear, forest and boosted learners on all features."""
-    folded = split.assign_folds(_regression_frame(df), KEY, 5)
-    with kept(folded) as rows:
+    with kept(_regression_frame(df)) as base, kept(split.assign_folds(base, KEY, 5)) as rows:
         scores = {
-            "linreg": foldstats.cross_validate_linear(rows, FEATURES, "y", "fold", 5),
-            "rfreg": evaluate.cross_validate(rows, FEATURES, forest_learner("y", trees=10, depth=6), "y", "fold", 5),
-            "xgbreg": boosting.cross_validate_boosted(rows, FEATURES, "y", "fold", 5, boosting.Settings(rounds=10, depth=4, rate=0.3, bins=64)),
+            "linreg": lambda: foldstats.cross_validate_linear(rows, FEATURES, "y", "fold", 5),
+            "rfreg": lambda: evaluate.cross_validate(rows, FEATURES, forest_learner("y", trees=10, depth=6), "y", "fold", 5),
+            "xgbreg": lambda: boosting.cross_validate_boosted(rows, FEATURES, "y", "fold", 5, boosting.Settings(rounds=10, depth=4, rate=0.3, bins=64)),
         }
+        scores = dict(zip(scores, at_once(lambda fit: fit(), scores.values()), strict=True))  # a level of trees alone leaves cores idle
     lines = [evaluate.cv_summary(x).withColumn("learner", F.lit(name)) for name, x in scores.items()]
     return lines[0].unionByName(lines[1]).unionByName(lines[2])
 

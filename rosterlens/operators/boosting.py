@@ -287,12 +287,10 @@ def boost(prepared: DataFrame, label: str, s: Settings, fold: str | None = None,
     y = number(label)
     models = max(1, folds)
     part = [F.when(F.col(fold) != m, y) if folds else y for m in range(models)]
-    width = F.max(F.size(vector_to_array(FEATURES)))
-    n, low, high, features, *start = prepared.where(y.isNotNull()).agg(
-        F.count(y), F.min(y), F.max(y), width, *[F.avg(p) for p in part]
-    ).first()
+    n, low, high, *start = prepared.where(y.isNotNull()).agg(F.count(y), F.min(y), F.max(y), *[F.avg(p) for p in part]).first()
     if not n or any(v is None for v in start):
         raise ValueError("no rows to learn from")
+    features = prepared.select(FEATURES).first()[0].size
     edges = bin_edges(prepared.where(y.isNotNull()), features, s.bins)
     # residuals are within a few spans of the label; sums of all rows stay within 62 bits, those of a block are exact
     span = 8.0 * (high - low) or 1.0

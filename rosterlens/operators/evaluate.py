@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.caching import at_once, kept
 from ..functions.columns import number
 from ..schema import DEFAULT_THRESHOLD, FeatureSpec
-from .features import fit_preparation, prepare
+from .features import FEATURES, fit_preparation, prepare
 
 # fixed values: 17 candidate thresholds from 0.1 to 0.9, as floating point gives them
 CANDIDATES = [float(t) for t in np.linspace(0.1, 0.9, 17)]
@@ -161,7 +162,11 @@ def cross_validate(
     def one(i: int) -> tuple:
         train, held_out = rows.filter(F.col(fold) != i), rows.filter(F.col(fold) == i)
         prep = fit_preparation(train, features)
-        model = learner.copy().fit(prepare(prep, train))
+        prepared = prepare(prep, train.select(label, *features.columns)).select(label, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = learner.copy().fit(prepared)  # a learner reads its rows several times before it has its own form of them
+        finally:
+            prepared.unpersist()
         scored = model.transform(prepare(prep, held_out))
         r = regression_metrics(scored, label, model.getPredictionCol()).first()
         return i, r["n"], r["rmse"], r["r2"]

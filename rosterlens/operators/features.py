@@ -19,8 +19,8 @@ from pyspark.ml.feature import (
     VectorAssembler,
     VectorSlicer,
 )
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FeatureSpec
@@ -28,6 +28,8 @@ from ..schema import FeatureSpec
 FEATURES = "features"
 #: Levels that a categorical feature may have: all of them are held by the driver and in every vector.
 MAX_LEVELS = 10_000
+#: Features up to which ``prepare`` writes the stages out as column expressions.
+WRITTEN_OUT = 200
 _NUM, _SCALED, _STD, _ALL = "_num", "_scaled", "_std", "_all_features"
 
 
@@ -93,9 +95,36 @@ def _labels(prep: PipelineModel) -> list[list[str]]:
 
 
 def prepare(prep: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``features`` and drop the helper columns."""
+    """Add ``features`` and drop the helper columns.
+
+    Up to ``WRITTEN_OUT`` features are computed by column expressions with the arithmetic of the stages, since a row
+    is otherwise turned into a vector and back by each of them.
+    """
     out = prep.transform(df)
-    return out.select(*df.columns, FEATURES)
+    written = _written_out(prep)
+    if written is None:
+        return out.select(*df.columns, FEATURES)
+    about = out.schema[FEATURES].metadata  # trees read there which features are 0 or 1
+    return df.select(*df.columns, array_to_vector(F.array(*written)).alias(FEATURES, metadata=about))
+
+
+def _written_out(prep: PipelineModel) -> list[Column] | None:
+    """The features as doubles, in order; None if they are too many or the stages others than ``fit_preparation`` makes."""
+    first = prep.stages[0] if prep.stages else None
+    numeric = first.getInputCols() if isinstance(first, VectorAssembler) and first.getOutputCol() == _NUM else []
+    indexers = [s for s in prep.stages if isinstance(s, StringIndexerModel)]
+    levels = [(c, list(of)) for s in indexers for c, of in zip(s.getInputCols(), s.labelsArray, strict=True)]
+    width = len(numeric) + sum(max(0, len(of) - 1) for _, of in levels)
+    if not 0 < width <= WRITTEN_OUT or prep.stages[-1].getOutputCol() != FEATURES:
+        return None
+    steps = scaler_steps(prep, FeatureSpec(tuple(numeric), ()))
+    out = []
+    for c, (mean, times, again) in steps.items():
+        x = F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+        out.append((x - F.lit(mean)) * F.lit(times) * F.lit(again))
+    for c, of in levels:
+        out += [F.coalesce((F.col(c).cast("string") == F.lit(level)).cast("double"), F.lit(0.0)) for level in of[1:]]
+    return out
 
 
 def category_levels(prep: PipelineModel, spec: FeatureSpec) -> dict[str, list[str]]:

@@ -138,3 +138,18 @@ def test_clamped_score_and_null_input(spark):
     m = LinearScore(0.0, (("x", 0.0, 1.0, 1.0), ("x", 0.0, 0.0, 9.0)), link="identity")
     got = add_scores(df, {"a": m.clamped(), "b": m}, bounds={"b": (-1.0, 2.0)}).orderBy("id").collect()
     assert [r.a for r in got] == [1.0, 0.0, None] and [r.b for r in got] == [2.0, -1.0, None]
+
+
+def test_written_out_features_equal_those_of_the_stages(spark, monkeypatch):
+    rows = [(1, 1.5, 2, 7.0, "a", 3), (2, -0.5, 4, 7.0, "b", 5), (3, 9.25, 1, 7.0, "c", 3), (4, 0.1, 8, 7.0, "b", 9)]
+    kinds = "id int, x double, n int, same double, word string, code int"
+    spec = FeatureSpec(("x", "n", "same"), ("word", "code"))
+    prep = P.fit_preparation(spark.createDataFrame(rows, kinds), spec)
+    more = spark.createDataFrame([*rows, (5, None, 3, 1.0, None, None), (6, 2.0, 0, 7.0, "new", 4), (7, float("nan"), 1, 7.0, "c", 5)], kinds)
+    out = P.prepare(prep, more)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("UDF(") == 1  # a vector is made once
+    monkeypatch.setattr(P, "WRITTEN_OUT", 0)
+    stages = P.prepare(prep, more)
+    assert out.schema["features"].metadata == stages.schema["features"].metadata
+    for a, b in zip(out.orderBy("id").collect(), stages.orderBy("id").collect()):
+        np.testing.assert_array_equal(a["features"].toArray(), b["features"].toArray())
