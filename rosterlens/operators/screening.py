@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -127,8 +126,9 @@ def principal_components(df: DataFrame, features: FeatureSpec, k: int) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.float64()))], names=["x"])
 
     first = rows.mapInArrow(triangle, "x array<double>")
-    parts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-    second = first.coalesce(parts).mapInArrow(triangle, "x array<double>").toArrow()  # parts x width rows
+    # shuffled, not coalesced: the first round keeps its tasks, and only triangles meet in the fewer ones of the second
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    second = first.repartition(parts).mapInArrow(triangle, "x array<double>").toArrow()  # parts x width rows at most
     r = np.linalg.qr(matrix(second.column(0).combine_chunks(), width), mode="r") if second.num_rows else np.zeros((0, width))
     _, s, v = np.linalg.svd(r[1:, 1:], full_matrices=False)
     v *= np.sign(np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1))

@@ -45,3 +45,21 @@ def test_cells_do_not_depend_on_how_rows_are_counted(soldiers, monkeypatch):
     assert want == sorted(map(tuple, association._cells(soldiers.repartition(3), pairs).collect()))
     direct = soldiers.groupBy("rank", "mos").count().collect()
     assert sorted((r["rank"], r["mos"], r["count"]) for r in direct) == sorted(r[2:] for r in want if r[:2] == ("rank", "mos"))
+
+
+def test_rows_keep_their_tasks_while_triangles_meet_in_few(spark, tmp_path):
+    seen = str(tmp_path)
+
+    @F.udf("double")
+    def told(i):
+        import os
+
+        from pyspark import TaskContext
+
+        open(os.path.join(seen, f"{TaskContext.get().stageId()}-{TaskContext.get().partitionId()}"), "w").close()
+        return float(i * i % 17)
+
+    rows = spark.range(640).repartition(32, "id").select("id", F.rand(1).alias("x"), told.asNondeterministic()("id").alias("y"))
+    shares, _ = screening.principal_components(rows, FeatureSpec(("x", "y")), 1)
+    stages = [name.partition("-")[0] for name in __import__("os").listdir(seen)]
+    assert shares.count() == 1 and all(stages.count(s) == 32 for s in set(stages))
