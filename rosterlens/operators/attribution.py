@@ -26,10 +26,11 @@ def with_block(rows: DataFrame, width: int, block: FlatTrees) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shipped.value.explainers()
         for batch in batches:
             if batch.num_rows:
                 x, phi = (matrix(batch.column(i), width) for i in (1, 2))
-                total = phi + shipped.value.shapley(x)
+                total = phi + shipped.value.shapley(x, trees)
                 ends = pa.array(np.arange(len(x) + 1) * width, pa.int32())
                 added = pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), added], names=names)

@@ -5,6 +5,9 @@ level.  The weight of a subset of size s out of m - 1 is the integral of t^s (1
 all subsets is the integral of a product with one factor (1 - t) z + t o for each feature of the path: z is the
 share of training rows that its splits let through, o is 1 if the row passes them.  Gauss-Legendre nodes integrate that
 polynomial exactly.  Every factor is positive and none is ever divided by a share alone, so long paths lose no digits.
+
+What a leaf adds depends only on which features of its path a row passes.  Trees of few features a path (``LeafTables``) have
+those sums written out by leaf and pattern, and a row looks them up; the others walk.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from ..functions.small_tables import shared_dir
 
 #: Tree nodes that are read at a time, unless one tree has more.
 BLOCK_NODES = 200_000
-#: Doubles that one step of the Shapley recursion may hold.
+#: Doubles that one step of the Shapley recursion may hold, and all tables by leaf and pattern.
 STEP_DOUBLES = 4 << 20
+#: Rows that look their values up at a time.
+LOOKUP_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -62,17 +67,93 @@ class FlatTrees:
         for root in self.roots:
             yield Layers.of(self, int(root))
 
-    def shapley(self, x: np.ndarray) -> np.ndarray:
+    def explainers(self) -> list[LeafTables | Layers]:
+        """For each tree of more than a leaf its tables while there is room for them, else its levels."""
+        found, room = [], STEP_DOUBLES
+        for root in self.roots:
+            if self.feature[root] >= 0:
+                tables = LeafTables.of(self, int(root), room)
+                room -= tables.size if tables else 0
+                found.append(tables or Layers.of(self, int(root)))
+        return found
+
+    def shapley(self, x: np.ndarray, explainers: list[LeafTables | Layers] | None = None) -> np.ndarray:
         """Values per row and feature; a row's sum is its prediction less the expectation."""
         phi = np.zeros_like(x, dtype=float)
-        for tree in self.layers():
-            if len(tree.nodes) > 1:
-                step = max(1, STEP_DOUBLES // (len(tree.nodes) * tree.points))
-                for i in range(0, len(x), step):
-                    tree.add_shapley(self, x[i : i + step], phi[i : i + step])
+        for tree in self.explainers() if explainers is None else explainers:
+            step = tree.rows_at_once()
+            for i in range(0, len(x), step):
+                tree.add_shapley(self, x[i : i + step], phi[i : i + step])
         return phi
 
 
+@dataclass
+class LeafTables:
+    """What each leaf adds to the values of its path's features, by the features that a row passes (a bit each)."""
+
+    root: int
+    place: np.ndarray  # by node: the bit of the feature that it splits by, -1 at leaves
+    new: np.ndarray  # by node: no node above splits by that feature
+    features: dict[int, list[int]]  # by leaf
+    values: dict[int, np.ndarray]  # by leaf: (feature, pattern)
+    size: int
+
+    @classmethod
+    def of(cls, t: FlatTrees, root: int, most: int) -> LeafTables | None:
+        """The tables of a tree; None if they have more than ``most`` numbers."""
+        place, new, paths, size = np.full(len(t.feature), -1), np.zeros(len(t.feature), bool), {}, 0
+        todo = [(root, {})]  # the path's features in order, with the share of rows that their splits let through
+        while todo:
+            node, path = todo.pop()
+            f = int(t.feature[node])
+            if f < 0:
+                paths[node] = path
+                size += len(path) << len(path)
+                if size > most:
+                    return None
+                continue
+            new[node] = f not in path
+            place[node] = len(path) if new[node] else list(path).index(f)
+            for child in (int(t.left[node]), int(t.right[node])):
+                todo.append((child, path | {f: path.get(f, 1.0) * t.cover[child] / t.cover[node]}))
+        values = {leaf: t.value[leaf] * _by_pattern(np.array(list(path.values()))) for leaf, path in paths.items()}
+        return cls(root, place, new, {leaf: list(path) for leaf, path in paths.items()}, values, size)
+
+    def rows_at_once(self) -> int:
+        return LOOKUP_ROWS
+
+    def add_shapley(self, t: FlatTrees, x: np.ndarray, phi: np.ndarray) -> None:
+        columns = np.ascontiguousarray(x.T)
+        total = np.zeros(columns.shape)
+        todo = [(self.root, np.zeros(len(x), np.intp))]
+        while todo:
+            node, passed = todo.pop()
+            f, bit = t.feature[node], self.place[node]
+            if f < 0:
+                for of, values in zip(self.features[node], self.values[node]):
+                    total[of] += values[passed]
+                continue
+            left = (columns[f] <= t.threshold[node]).astype(np.intp) << bit
+            right = left ^ (1 << bit)
+            if self.new[node]:
+                todo += [(t.left[node], passed | left), (t.right[node], passed | right)]
+            else:
+                others = ~(1 << bit)
+                todo += [(t.left[node], passed & (left | others)), (t.right[node], passed & (right | others))]
+        phi += total.T
+
+
+def _by_pattern(z: np.ndarray) -> np.ndarray:
+    """Values of a leaf of weight one for each feature and pattern, from the shares that the features let through."""
+    m = len(z)
+    t, w = np.polynomial.legendre.leggauss(-(-m // 2))
+    t, w = (t + 1) / 2, w / 2
+    o = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+    factors = (1 - t)[:, None, None] * z + t[:, None, None] * o
+    rest = [np.delete(factors, j, axis=2).prod(axis=2) for j in range(m)]
+    return np.stack([(o[:, j] - z[j]) * (w @ rest[j]) for j in range(m)])
+
+
 @dataclass
 class Layers:
     """One tree by level.  The children of a level's inner nodes are the next level, in pairs."""
@@ -119,6 +200,9 @@ class Layers:
             many[here] = many[up] + (found == 0)
         return cls(nodes, starts, parent, before, split, share, max(1, -(-int(many.max()) // 2)))
 
+    def rows_at_once(self) -> int:
+        return max(1, STEP_DOUBLES // (len(self.nodes) * self.points))
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """By node and case: what the path's product is multiplied with, and what the feature's term grows by.
 

@@ -95,3 +95,19 @@ def test_saved_trees_predict_as_the_model(soldiers, kind):
 def _renamed(t: T.FlatTrees, used: list[int]) -> T.FlatTrees:
     place = {f: i for i, f in enumerate(used)}
     return T.FlatTrees(np.array([place.get(int(f), -1) for f in t.feature]), t.threshold, t.left, t.right, t.value, t.cover, t.roots)
+
+
+@pytest.mark.parametrize(("depth", "features"), [(1, 2), (3, 1), (6, 5), (7, 12)])
+def test_tables_by_leaf_equal_the_recursion(depth, features):
+    t, x = grown(depth, features, 300, seed=5)
+    tables = t.explainers()
+    assert [type(e) for e in tables] == [T.LeafTables]
+    np.testing.assert_allclose(t.shapley(x, tables), t.shapley(x, list(t.layers())), atol=1e-12)
+
+
+def test_trees_without_room_for_tables_walk(monkeypatch):
+    t, x = grown(6, 5, 300)
+    both = T.joined([t, t])
+    monkeypatch.setattr(T, "STEP_DOUBLES", t.explainers()[0].size)
+    assert [type(e) for e in both.explainers()] == [T.LeafTables, T.Layers]
+    np.testing.assert_allclose(both.shapley(x[:20]), 2 * t.shapley(x[:20]), atol=1e-12)
