@@ -21,6 +21,7 @@ from .clean import seeded_hash
 
 PREFIX = 4  # hex digits a round: 65,536 about equal buckets in what is left
 HASH_DIGITS = 32
+COUNTED_PREFIX = 3  # of hashes counted for many labels at once: 4,096 buckets, which a task can add up
 RANKED_ROWS = 100_000  # rows of one bucket that are ranked in one task
 
 
@@ -149,23 +150,45 @@ def stratified_splits(
 ) -> DataFrame:
     """Add a test flag for each of several 0/1 labels (label: flag column), as ``stratified_split`` sets it.
 
-    All labels share the passes over the rows.  The flag is null where the label is.
+    All labels share the passes over the rows.  The flag is null where the label is.  The first pass counts the classes of all
+    labels by hash prefix; only rows whose prefix holds a wanted rank get a row for each label, so what is shuffled and kept
+    does not grow with rows times labels.
     """
-    strata = F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("int").alias("_class")) for c in labels]))
-    hashed = df.select(strata.alias("_s"), seeded_hash(key, seed).alias("_h")).select("_s.*", "_h").where("_class is not null")
-    hashed = hashed.persist(StorageLevel.MEMORY_AND_DISK)
+    names = list(labels)
+    hashed = df.select(*[F.col(c).cast("int").alias(f"_c{i}") for i, c in enumerate(names)], seeded_hash(key, seed).alias("_h"))
+    pairs = [(i, k) for i in range(len(names)) for k in (0, 1)]
+    prefix = F.substring("_h", 1, COUNTED_PREFIX)
+    by_prefix = hashed.groupBy(prefix.alias("_bucket")).agg(*[F.count_if(F.col(f"_c{i}") == k).alias(f"_n{i}_{k}") for i, k in pairs])
+    table = by_prefix.orderBy("_bucket").collect()  # 4,096 rows at most
+    sizes = [(names[i], k, n) for i, k in pairs if (n := sum(r[f"_n{i}_{k}"] for r in table))]
+    spark, by = df.sparkSession, ["_of", "_class"]
+    quotas = test_quotas(spark.createDataFrame(sizes, "_of string, _class int, _n long"), "_class", test_share, ["_of"]).collect()
+    inside = []  # (label, class, prefix, rank among the rows of that prefix)
+    for q in quotas:
+        column, left = f"_n{names.index(q['_of'])}_{q['_class']}", q["_rank"]
+        for r in table:
+            if left <= r[column]:
+                inside.append((q["_of"], q["_class"], r["_bucket"], left))
+                break
+            left -= r[column]
+    # a prefix that several labels want is a row of each; the ranks within prefixes are found as in ``hash_cuts``
+    wanted = spark.createDataFrame(inside, "_of string, _class int, _bucket string, _rank long")
+    strata = F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(f"_c{i}").alias("_class")) for i, c in enumerate(names)]))
+    some = hashed.where(prefix.isin(sorted({w[2] for w in inside})))
+    some = some.select("_h", prefix.alias("_bucket"), strata.alias("_s")).select("_h", "_bucket", "_s.*")
+    some = some.join(F.broadcast(wanted.drop("_rank")), [*by, "_bucket"]).select(*by, "_h").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cuts = hash_cuts(hashed, ["_of", "_class"], lambda n: test_quotas(n, "_class", test_share, ["_of"])).collect()  # two a label
+        cuts = hash_cuts(some, by, lambda _: wanted.select(*by, "_rank")).collect()  # two a label
     finally:
-        hashed.unpersist()
+        some.unpersist()
     at = {(c["_of"], c["_class"]): c["_cut"] for c in cuts}
-    h = seeded_hash(key, seed)
+    h = F.col("_h")  # a column of its own: within the flags the hash would be worked out again for each label
 
     def flag(c: str) -> Column:
         low = F.when(F.col(c) == 1, h <= F.lit(at.get((c, 1), ""))).otherwise(h <= F.lit(at.get((c, 0), "")))
         return F.when(F.col(c).isNotNull(), low)
 
-    return df.withColumns({name: flag(c) for c, name in labels.items()})
+    return df.withColumn("_h", seeded_hash(key, seed)).withColumns({name: flag(c) for c, name in labels.items()}).drop("_h")
 
 
 def random_split(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator, Mapping
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,19 +144,24 @@ def train_risk_models_together(
     """
     if tune_on not in ("test", "train"):
         raise ValueError("tune_on is 'test' or 'train'")
-    clean = complete_cases(df, features.columns)
-    prep = fit_preparation(clean, features)
-    names = feature_names(prep, features)
     specs = list(targets.values())
     labels, flags = [f"_y{i}" for i in range(len(specs))], [f"_test{i}" for i in range(len(specs))]
-    cuts = []
-    for spec, label in zip(specs, labels):
-        clean, cut = make_target(clean, spec, label)
-        cuts.append(cut)
-    split = stratified_splits(clean, key, dict(zip(labels, flags)), TEST_SHARE, seed)
-    rows = prepare(prep, split).select(key, vector_to_array(FEATURES, "float64").alias("x"), *labels, *flags)
-    used = F.array(*[F.when(~F.col(t), F.col(y).cast("double")) for y, t in zip(labels, flags)])
-    with kept(rows.select(key, "x", used.alias("y"), F.array(*labels).alias("label"), F.array(*flags).alias("test"))) as rows:
+    with ExitStack() as read, ExitStack() as fitting:  # the table is evaluated once for preparation, cuts, splits and rows
+        needed = dict.fromkeys([key, *features.columns, *[s.source for s in specs]])
+        clean = read.enter_context(kept(complete_cases(df.select(*needed), features.columns)))
+        prep = fit_preparation(clean, features)
+        names = feature_names(prep, features)
+        cuts = []
+        for spec, label in zip(specs, labels):
+            clean, cut = make_target(clean, spec, label)
+            cuts.append(cut)
+        split = stratified_splits(clean, key, dict(zip(labels, flags)), TEST_SHARE, seed)
+        rows = prepare(prep, split).select(key, vector_to_array(FEATURES, "float64").alias("x"), *labels, *flags)
+        small = [F.col(y).cast("tinyint") for y in labels]  # labels are 0 and 1
+        used = F.array(*[F.when(~F.col(t), y) for y, t in zip(small, flags)])
+        made = rows.select(key, "x", used.alias("y"), F.array(*small).alias("label"), F.array(*flags).alias("test"))
+        rows = fitting.enter_context(kept(made))
+        read.close()
         train = rows.select("x", "y")
         moments = target_moments(train, len(names), len(specs))
         live = [_live(prep, features, m) for m in moments]
@@ -166,7 +172,7 @@ def train_risk_models_together(
         fitted = [i for i, f in enumerate(fits) if f is not None]
         if not fitted:
             return {}
-        scored = _scores_of_all(rows, key, specs, fits)
+        scored = _scores_of_all(rows, key, specs, fits).drop(key)
         with kept(scored if tune_on == "train" else scored.where("is_test")) as scored:
             tuned = threshold_sweep(scored.where(F.col("is_test") == (tune_on == "test")), LABEL, "prob", by=["target"])
             best = Window.partitionBy("target").orderBy(F.desc("f1"), "threshold")  # 17 rows a target

@@ -62,3 +62,18 @@ def test_splits_of_all_labels_equal_single_splits(soldiers):
         one = split.stratified_split(rows, KEY, label).select(KEY, "is_test")
         assert one.join(both.where(F.col(label).isNotNull()), KEY).where(F.col("is_test") != F.col(flag)).count() == 0
     assert both.where("b is null and tb is not null").count() == 0
+
+
+def test_splits_of_many_labels_keep_no_row_for_each_label(spark, monkeypatch):
+    labels = {f"c{i}": f"t{i}" for i in range(6)}
+    rows = spark.range(40_000).select("id", *[F.when(F.col("id") % 11 != i, (F.col("id") % (i + 2) == 0).cast("int")).alias(c) for i, c in enumerate(labels)])
+    seen = []
+    ranked = split.hash_cuts
+    monkeypatch.setattr(split, "hash_cuts", lambda hashed, *more: seen.append(hashed.count()) or ranked(hashed, *more))
+    got = split.stratified_splits(rows, "id", labels).persist()
+    assert sum(seen) < 1_000  # of 240,000 rows times labels
+    monkeypatch.undo()
+    for label, flag in list(labels.items())[:2]:
+        one = split.stratified_split(rows, "id", label).select("id", "is_test")
+        assert one.join(got.where(F.col(label).isNotNull()), "id").where(F.col("is_test") != F.col(flag)).count() == 0
+    assert split.stratified_splits(rows.where("id < 0"), "id", labels).count() == 0
