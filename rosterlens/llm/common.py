@@ -81,3 +81,12 @@ def fold(column: str | Column, n: int) -> Column:
 
 def text_or_empty(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def shuffled_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the input, which is never a broadcast.
+
+    Spark sizes a side by the bytes of the files or shuffles under it.  An explode is not counted, so a side of many
+    times those rows would pass for a small table and be collected on the driver.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)

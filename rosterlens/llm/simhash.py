@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, fresh
+from .common import add_columns, fresh, shuffled_join
 from .components import components
 from .storage import written
 
@@ -95,9 +95,9 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket_rows: int
     piece = F.coalesce(*[F.when(F.col("p.seg") == i, segment(fp, i, segments)) for i in searched])
     probes = fps.select("fp", masks.alias("p")).select("p.seg", piece.bitwiseXOR(F.col("p.mask")).alias("key"), "fp")
     sizes = table.groupBy("seg", "key").agg(F.count("*").alias("n"))
-    small = table.withColumnRenamed("fp", "other").join(sizes.where(F.col("n") <= bucket_rows), ["seg", "key"]).drop("n")
-    near = probes.join(small, ["seg", "key"]).where("fp < other").where(F.bit_count(fp.bitwiseXOR(F.col("other"))) <= max_bits)
-    crowd = probes.join(sizes.where(F.col("n") > bucket_rows), ["seg", "key"]).select("fp").distinct()
+    small = shuffled_join(table.withColumnRenamed("fp", "other"), sizes.where(F.col("n") <= bucket_rows), ["seg", "key"]).drop("n")
+    near = shuffled_join(probes, small, ["seg", "key"]).where("fp < other").where(F.bit_count(fp.bitwiseXOR(F.col("other"))) <= max_bits)
+    crowd = shuffled_join(probes, sizes.where(F.col("n") > bucket_rows), ["seg", "key"]).select("fp").distinct()
     return near.select(fp.alias("a"), F.col("other").alias("b")).unionByName(half_way(crowd, max_bits)).distinct()
 
 
@@ -109,7 +109,7 @@ def half_way(fps: DataFrame, max_bits: int) -> DataFrame:
         "fp", F.col("fp").bitwiseXOR(F.col("w.mask")).alias("word"), F.col("w.near").alias("near")
     )
     hubs = told.where("near").groupBy("word").agg(F.min("fp").alias("hub"))
-    return told.join(hubs, "word").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+    return shuffled_join(told, hubs, "word").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
 
 
 def groups(fingerprints: DataFrame, max_bits: int = 2, segments: int = 2, bucket_rows: int = 256) -> DataFrame:
@@ -120,9 +120,9 @@ def groups(fingerprints: DataFrame, max_bits: int = 2, segments: int = 2, bucket
     """
     nodes = written(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     roots = components(links(nodes.select("fp"), max_bits, segments, bucket_rows)).withColumnRenamed("node", "fp")
-    rooted = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = written(shuffled_join(nodes, roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    return shuffled_join(rooted, least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int = 2, bucket_rows: int = 256) -> DataFrame:
@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segmen
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marked = written(with_fingerprints(docs, shingle=shingle))
     found = written(groups(marked, max_bits, segments, bucket_rows))
-    return marked.join(found, "fp").select(
+    return shuffled_join(marked, found, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

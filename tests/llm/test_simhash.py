@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.llm import simhash
 from rosterlens.llm.components import components
+from rosterlens.llm.storage import written
 
 from .conftest import EXTRA, LOW
 
@@ -91,3 +92,23 @@ def test_no_rows(nothing):
 def test_native_hash_is_the_same(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("ab cd ef"))).first()[0]
     assert got == np.uint64(xxhash.xxh64_intdigest("ab cd ef", 42)).astype(np.int64)
+
+
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    """An explode is not counted in Spark's sizes: probes of 34 rows a fingerprint passed for a small table."""
+    r = random.Random(10)
+    docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(9)) if i % 5 else "these are copies of one text") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    for size in (256, 0):
+        fps = written(simhash.with_fingerprints(frame).select("fp").distinct())
+        seen(simhash.links(fps, bucket_rows=size))
+    seen(simhash.near_duplicates(frame))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not [p for p in plans if "Broadcast" in p]
