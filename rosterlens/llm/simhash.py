@@ -151,7 +151,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     names = marked.select("doc_id", F.col(fp).alias("fp"))
     found = groups(names, max_bits)
     first = F.min(F.struct("doc_id", "fp")).alias("first")
-    keep = names.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(first)
+    keep = shuffled_join(names, found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(first)
     keep = keep.select(F.col("first.doc_id").alias(of), F.col("first.fp").alias(its))
     same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(fp) == F.col(its))
-    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", fp]).select(*docs.columns)
+    return shuffled_join(marked, keep, same, "left_semi").dropDuplicates(["doc_id", fp]).select(*docs.columns)

@@ -110,5 +110,6 @@ def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
         fps = written(simhash.with_fingerprints(frame).select("fp").distinct())
         seen(simhash.links(fps, bucket_rows=size))
     seen(simhash.near_duplicates(frame))
-    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    seen(simhash.one_of_each(frame))
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
     assert not [p for p in plans if "Broadcast" in p]
