@@ -247,7 +247,7 @@ def frequent(
     """lang, phrase, f of all phrases of 1 to ``longest`` words that occur ``least`` times; lang, n (words)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_or_empty(docs).alias("text"))
-    blocks = written(blocks_of(docs, shards, block_chars))
+    blocks = written(blocks_of(docs, shards, block_chars), large_rows=True)
     total = written(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")))
     share = blocks.groupBy("shard", "lang").agg(F.sum("n_words").alias("own")).join(total, "lang")
     # rounded up; the product may pass 64 bits
@@ -257,7 +257,7 @@ def frequent(
     bits = min(max(math.ceil(math.log2(max(n * longest / shards / RANGE_KEYS, 1))), RANGE_BITS[0]), RANGE_BITS[1])
     own = [attach(blocks.where(F.col("shard") == s), share.where(F.col("shard") == s).drop("shard"), ["lang"]) for s in range(shards)]
     with few_rows_a_batch(spark):
-        candidates = together([written(mined(b, longest, bits), release=True) for b in own])
+        candidates = together([written(mined(b, longest, bits), release=True, large_rows=True) for b in own])
         parts = [written(counted(b, candidates, longest, bits), release=True) for b in own]
     phrases = together(parts).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return written(phrases, release=True), total

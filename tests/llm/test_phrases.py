@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from rosterlens.llm import phrases
+from rosterlens.llm.storage import written
 
 from .conftest import LOW
 
@@ -86,3 +88,21 @@ def test_hashes_that_meet_change_no_count(spark, random_rows, monkeypatch):
 
 def test_nothing(nothing):
     assert phrases.collocations(nothing).collect() == []
+
+
+def test_no_task_holds_many_blocks(spark, monkeypatch):
+    """Rows of blocks have megabytes: a task must not hold all of a file's when it writes or reads it."""
+    paths = []
+
+    def seen(df, *args, **options):
+        out = written(df, *args, **options)
+        paths.append((out.columns, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(phrases, "written", seen)
+    docs = spark.createDataFrame([("en", f"some words and number {i}") for i in range(60)], "lang string, text string").coalesce(1)
+    phrases.frequent(docs, least=2, block_chars=20)
+    blocks = [f for columns, files in paths if "words" in columns for f in files]
+    groups = [m.row_group(i).num_rows for m in (pq.read_metadata(f.removeprefix("file:")) for f in blocks) for i in range(m.num_row_groups)]
+    assert sum(groups) == 60
+    assert max(groups) <= 8
