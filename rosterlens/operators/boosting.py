@@ -40,6 +40,12 @@ CHECKPOINT_ROUNDS = 10
 BLOCK_ROWS = 16_384
 ALL = -1  # the fold of rows that no model leaves out
 LEAST_GAIN = 1e-6
+#: Rows that a task should have at least: every level is a pass of its own, and starting a task takes as long as many rows.
+TASK_ROWS = 1 << 18
+#: Cells of a level, 16 bytes each, that a task adds up over its blocks; of more it sends each block's own.
+TASK_CELLS = 1 << 20
+#: Levels of splits whose leaves have numbers of one byte.
+BYTE_LEVELS = 8
 
 BLOCKS = T.StructType(
     [
@@ -83,6 +89,38 @@ class Tree:
 
     def nodes_of(self, codes: np.ndarray) -> np.ndarray:
         """The node that each row has come to."""
+        ends, path = self.paths(codes)
+        return ends.take(path)
+
+    def values_of(self, codes: np.ndarray) -> np.ndarray:
+        """The value of the node that each row has come to."""
+        ends, path = self.paths(codes)
+        return self.value[ends].take(path)
+
+    def paths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes, and for each row the place of its own among them.
+
+        Few levels are compared as a whole, a byte a row and node; each side of a split is picked from what lies below it.
+        """
+        split = np.flatnonzero(self.feature >= 0)
+        levels = int(split[-1] + 1).bit_length() if len(split) else 0
+        if levels > BYTE_LEVELS:
+            return np.arange(len(self.feature)), self._walked(codes)
+        ends: list[int] = [0] * 2**levels
+
+        def below(node: int, left: int, first: int) -> np.ndarray | np.uint8:
+            if self.feature[node] < 0:
+                ends[first] = node
+                return np.uint8(first)
+            half = 2 ** (left - 1)
+            low, high = below(2 * node + 1, left - 1, first), below(2 * node + 2, left - 1, first + half)
+            right = np.negative((codes[self.feature[node]] > np.uint8(self.bin[node])).view(np.uint8))  # all bits or none
+            return low ^ ((low ^ high) & right)
+
+        path = below(0, levels, 0)
+        return np.array(ends), np.broadcast_to(path, codes.shape[1])
+
+    def _walked(self, codes: np.ndarray) -> np.ndarray:
         at = np.zeros(codes.shape[1], np.int64)
         rows = np.arange(codes.shape[1])
         for _ in range(self.depth):
@@ -150,7 +188,7 @@ def drawn_columns(features: int, share: float, model: int, round_: int, seed: in
 def margins(codes: np.ndarray, margin: np.ndarray, since: list[list[Tree]]) -> np.ndarray:
     """The predictions with the trees of some rounds added."""
     for trees in since:
-        margin = margin + np.stack([t.value[t.nodes_of(codes)] for t in trees])
+        margin = margin + np.stack([t.values_of(codes) for t in trees])
     return margin
 
 
@@ -166,6 +204,7 @@ def level_sums(
     offset = np.cumsum([0, *stride])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, int(offset[-1])), np.int64) if offset[-1] <= TASK_CELLS else None
         for batch in batches:
             for codes, y, draw, fold, margin in arrays(batch, len(trees)):
                 margin = margins(codes, margin, since)
@@ -175,15 +214,23 @@ def level_sums(
                     slot = tree.nodes_of(codes) - first
                     here = np.flatnonzero(sample & (fold != m) & (slot >= 0) & (slot < nodes))
                     grad = np.rint((margin[m, here] - y[here]) / unit)
+                    base = slot[here] * s.bins
                     for f in columns[m]:
-                        place = slot[here] * s.bins + codes[f, here]
+                        place = base + codes[f].take(here)
                         count = np.bincount(place, minlength=nodes * s.bins)
                         found = np.flatnonzero(count)
                         node, b = np.divmod(found, s.bins)
                         cells.append(offset[m] + (node * (columns[m][-1] + 1) + f) * s.bins + b)
                         h.append(count[found])
                         g.append(np.bincount(place, grad, nodes * s.bins)[found].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (cells, g, h)], names=["cell", "g", "h"])
+                cells, g, h = (np.concatenate(v) for v in (cells, g, h))
+                if total is not None:
+                    total[:, cells] += [g, h]  # a block has a cell once
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cells, g, h)], names=["cell", "g", "h"])
+        if total is not None:
+            found = np.flatnonzero(total[1])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (found, *total[:, found])], names=["cell", "g", "h"])
 
     sums = state.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     table = sums.toArrow().sort_by("cell")  # nodes x features x bins at most
@@ -296,7 +343,8 @@ def boost(prepared: DataFrame, label: str, s: Settings, fold: str | None = None,
     span = 8.0 * (high - low) or 1.0
     unit = 2.0 ** math.ceil(math.log2(span * max(2.0**-34, n / 2.0**61)))
     start = [round(v / unit) * unit for v in start]
-    state = blocked(prepared, label, edges, fold, start).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = max(prepared.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    state = blocked(prepared, label, edges, fold, start).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     found: list[list[Tree]] = []
     since: list[list[Tree]] = []
     for r in range(s.rounds):

@@ -127,3 +127,36 @@ def test_odd_tables(data):
     assert known == M.regularised_learner("y", rounds=2, depth=2).fit(gaps.where("y is not null")).getOrDefault("trees")
     with pytest.raises(ValueError, match="no rows"):
         M.regularised_learner("y").fit(gaps.where("y is null"))
+
+
+def test_nodes_of_rows_by_whole_levels():
+    """Trees of few levels compare all rows at every split; rows come where a walk down the tree takes them."""
+    r = np.random.default_rng(5)
+    for depth, rows, share in ((0, 9, 1), (1, 0, 1), (3, 200, 0.7), (4, 200, 1), (8, 200, 0.9), (9, 200, 1)):
+        t = B.Tree(depth)
+        for i in range(2**depth - 1):
+            if r.random() < share and (not i or t.feature[(i - 1) // 2] >= 0):
+                t.feature[i], t.bin[i] = r.integers(3), r.integers(255)
+        t.value = r.normal(size=len(t.value))
+        codes = r.integers(0, 256, (3, rows)).astype(np.uint8)
+        want = []
+        for row in codes.T:
+            i = 0
+            while i < 2**depth - 1 and t.feature[i] >= 0:
+                i = 2 * i + 1 + int(row[t.feature[i]] > t.bin[i])
+            want.append(i)
+        assert t.nodes_of(codes).tolist() == want
+        assert t.values_of(codes).tolist() == t.value[want].tolist()
+
+
+def test_a_task_of_a_level_has_many_rows_and_sends_a_cell_once(spark, monkeypatch):
+    """Levels were passes of as many tasks as the input had parts, each with cells for every block."""
+    r = np.random.default_rng(6)
+    rows = spark.createDataFrame([(float(r.normal()), float(r.normal())) for _ in range(600)], "a double, y double").repartition(40)
+    prepared = prepare(fit_preparation(rows, FeatureSpec(("a",), ())), rows)
+    s = B.Settings(rounds=2, depth=3, rate=0.3, bins=16)
+    fitted = B.boost(prepared, "y", s)
+    assert fitted.state.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    want = [(t.feature.tolist(), t.bin.tolist(), t.value.tolist()) for t in fitted.trees[0]]
+    monkeypatch.setattr(B, "TASK_CELLS", 0)
+    assert [(t.feature.tolist(), t.bin.tolist(), t.value.tolist()) for t in B.boost(prepared, "y", s).trees[0]] == want
